@@ -68,6 +68,10 @@ COURSE_ROW_PATTERN = (
     r"(\d-\d-\d|NC-NC-NC|\d\s*\(\s*\d\s*,\s*\d\s*\))"
 )
 FEE_ROW_PATTERN = r"(?i)(.{1,100}?)(?:Rs\.?|PKR|Rupees|RS)\s*([0-9,]{1,20})"
+# What any match of the row patterns contains.
+FACULTY_ROW_NEEDS = r"(?i)Chair|Dean|Professor|Lecturer|Instructor"
+COURSE_ROW_NEEDS = r"(?i)\d-\d-\d|NC-NC-NC|\d\s*\(\s*\d\s*,\s*\d\s*\)"
+FEE_ROW_NEEDS = r"(?i)(?:Rs\.?|PKR|Rupees)\s*[0-9,]"
 
 DOCUMENT_SECTIONS = {
     "faculty": ["faculty", "chairperson", "chairman", "dean", "professor", "lecturer", "faculty members", "staff"],

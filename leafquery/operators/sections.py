@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import (all_matches, contains_any, first_group, first_match, java_regex, matches, strip,
-                              strip_markup, text_or_null)
+                              strip_markup)
 
 #: a code point that no text may contain, used to mark cut places
 CUT = "﷐"
@@ -158,24 +158,33 @@ def all_codes_and_programs(text: Column) -> dict[str, Column]:
     }
 
 
-def _rows(text: Column, pattern: str, fields: list[str], stripped: tuple[str, ...] = ()) -> Column:
-    """One struct per match; the groups line up because each call walks the same matches."""
-    groups = [all_matches(text, pattern, i + 1) for i in range(len(fields))]
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, fields)])
-    return F.transform(zipped, lambda r: F.struct(*[
-        (strip(r[n]) if n in stripped else r[n]).alias(n) for n in fields]))
+def _rows(text: Column, pattern: str, needs: str, fields: list[str], stripped: tuple[str, ...] = ()) -> Column:
+    """One struct per match of a lazy row pattern.
+
+    The patterns try up to a hundred lengths at every character, so only texts with the
+    part that a match must have (``needs``, a linear scan) are searched, once; the groups
+    then come from the short matches.
+    """
+    found = F.when(matches(text, needs), all_matches(text, pattern)).otherwise(F.array().cast("array<string>"))
+
+    def group(match: Column, i: int, name: str) -> Column:
+        value = F.regexp_extract(match, java_regex(pattern), i)
+        return (strip(value) if name in stripped else value).alias(name)
+
+    return F.transform(found, lambda m: F.struct(*[group(m, i, n) for i, n in enumerate(fields, 1)]))
 
 
 def extract_faculty_rows(text: Column) -> Column:
-    return _rows(text, fv.FACULTY_ROW_PATTERN, ["designation", "person_name"], ("person_name",))
+    return _rows(text, fv.FACULTY_ROW_PATTERN, fv.FACULTY_ROW_NEEDS, ["designation", "person_name"], ("person_name",))
 
 
 def extract_course_rows(text: Column) -> Column:
-    return _rows(text, fv.COURSE_ROW_PATTERN, ["course_code", "course_title", "credit_hours"], ("course_title",))
+    return _rows(text, fv.COURSE_ROW_PATTERN, fv.COURSE_ROW_NEEDS, ["course_code", "course_title", "credit_hours"],
+                 ("course_title",))
 
 
 def extract_fee_rows(text: Column) -> Column:
-    return _rows(text, fv.FEE_ROW_PATTERN, ["fee_type", "amount"])
+    return _rows(text, fv.FEE_ROW_PATTERN, fv.FEE_ROW_NEEDS, ["fee_type", "amount"])
 
 
 def fee_amount(amount: Column) -> Column:

@@ -71,6 +71,10 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def _keyed_grams(text: Column, n: int) -> Column:
+    return F.transform(_grams(text, n), lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_gram")))
+
+
 def detect_names(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, department, faculty, program, designation) whose alias is a substring of the question.
 
@@ -84,8 +88,7 @@ def detect_names(queries: DataFrame, aliases: DataFrame) -> DataFrame:
                                   F.when(size >= ANCHOR_LENGTHS[0], ANCHOR_LENGTHS[0]))
     keyed = (aliases.filter(size > 0).withColumn("_n", anchor_len)
              .withColumn("_gram", F.substring(F.col("alias"), F.lit(1), F.col("_n"))))
-    grams = F.flatten(F.array(*[F.transform(_grams(F.col("_q"), n), lambda g, n=n: F.struct(
-        F.lit(n).alias("_n"), g.alias("_gram"))) for n in ANCHOR_LENGTHS]))
+    grams = F.flatten(F.array(*[_keyed_grams(F.col("_q"), n) for n in ANCHOR_LENGTHS]))
     asked = low.select("query_id", F.explode(grams).alias("_g")).select("query_id", "_g._n", "_g._gram")
     candidates = asked.join(keyed, ["_n", "_gram"]).select("query_id", "kind", "name", "alias")
     found = candidates.join(low, "query_id").filter(F.contains("_q", F.col("alias")))

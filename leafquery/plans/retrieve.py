@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.staging import stage
 from ..operators.bm25 import bm25_search
 from ..operators.context import pack_context
 from ..operators.dense import knn_search
@@ -61,7 +62,7 @@ def retrieve(queries: DataFrame, corpus: Corpus, dense: bool = True, sparse: boo
     queries: query_id, text, vec, is_pg, is_ug, use_pg. With one leg switched off (an
     index that is not there) the other one alone decides.
     """
-    q = prepared(queries, corpus)
+    q = stage(prepared(queries, corpus))  # read by both searches, fusion and rerank
     packed = pack_context(retrieve_pool(q, corpus, dense, sparse))
     return queries.select("query_id").join(packed, "query_id", "left").withColumn(
         "context", F.coalesce("context", F.lit("")))
