@@ -20,6 +20,8 @@ BROADCAST_BYTES = 64 << 20
 CELL_ROWS = 16384
 CELL_QUERIES = 4096
 _MATMUL_ROWS = 512
+#: stands for a missing filter or field value
+NO_VALUE = 0
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -37,10 +39,9 @@ def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
         q_rows = {g: np.asarray(i) for g, i in q.reset_index(drop=True).groupby("grp").indices.items()}
         c_rows = c.reset_index(drop=True).groupby("grp").indices
         q_ids, c_ids = q["qid"].to_numpy(), c["cid"].to_numpy()
-        q_facets = [(q[f"f_{f}"].notna().to_numpy(), q[f"f_{f}"].fillna(0).to_numpy(np.int64)) for f in FACETS]
-        c_facets = [(c[f].notna().to_numpy(), c[f].fillna(0).to_numpy(np.int64)) for f in FACETS]
-        q_code, codes = q["f_code"], c["codes"].to_numpy()
-        q_has_code, q_code = q_code.notna().to_numpy(), q_code.fillna(0).to_numpy(np.int64)
+        q_facets = [q[f"f_{f}"].to_numpy(np.int64) for f in FACETS]
+        c_facets = [c[f].to_numpy(np.int64) for f in FACETS]
+        q_code, codes = q["f_code"].to_numpy(np.int64), c["codes"].to_numpy()
         for g, ci in c_rows.items():
             rows = q_rows.get(g)
             if rows is None:
@@ -50,10 +51,11 @@ def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
                 qi = rows[at:at + _MATMUL_ROWS]
                 score = np.round(qv[qi] @ cv[ci].T, RANK_DIGITS)
                 ok = np.ones(score.shape, dtype=bool)
-                for (qs, qx), (cs, cx) in zip(q_facets, c_facets):
-                    ok &= ~qs[qi][:, None] | (cs[ci][None, :] & (qx[qi][:, None] == cx[ci][None, :]))
-                for r in np.flatnonzero(q_has_code[qi]):
-                    ok[r] &= np.array([x is not None and q_code[qi[r]] in x for x in codes[ci]], dtype=bool)
+                for wanted, have in zip(q_facets, c_facets):
+                    if wanted[qi].any():
+                        ok &= (wanted[qi] == NO_VALUE)[:, None] | (wanted[qi][:, None] == have[ci][None, :])
+                for r in np.flatnonzero(q_code[qi] != NO_VALUE):
+                    ok[r] &= np.fromiter((q_code[qi[r]] in x for x in codes[ci]), dtype=bool, count=len(ci))
                 score[~ok] = -np.inf
                 n = min(k, score.shape[1])
                 floor = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
@@ -72,28 +74,28 @@ def _reduce(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
     return rows.groupby("qid", sort=False).head(k)
 
 
-def _hash(col: Column) -> Column:
-    return F.when(col.isNotNull(), F.xxhash64(col))
+def _hash(df: DataFrame, name: str) -> Column:
+    """64-bit stand-in for a value to compare; a missing one is NO_VALUE, so the column has no NULL."""
+    if name not in df.columns:
+        return F.lit(NO_VALUE).cast("long")
+    return F.when(F.col(name).isNull(), F.lit(NO_VALUE).cast("long")).otherwise(F.xxhash64(name))
 
 
 def _question_side(queries: DataFrame, query_id: str, vec: str, level: str | None) -> DataFrame:
-    have = set(queries.columns)
-    cols = [F.col(query_id).alias("qid"), F.col(vec).alias("vec"),
-            (F.xxhash64(level) if level else F.lit(0).cast("long")).alias("grp")]
-    cols += [(_hash(F.col(f"f_{f}")) if f"f_{f}" in have else F.lit(None).cast("long")).alias(f"f_{f}") for f in FACETS]
-    cols.append((_hash(F.col("f_course_code")) if "f_course_code" in have
-                 else F.lit(None).cast("long")).alias("f_code"))
-    return queries.filter(F.col(vec).isNotNull()).select(*cols)
+    group = F.xxhash64(level) if level else F.lit(0).cast("long")
+    return queries.filter(F.col(vec).isNotNull()).select(
+        F.col(query_id).alias("qid"), F.col(vec).alias("vec"), group.alias("grp"),
+        *[_hash(queries, f"f_{f}").alias(f"f_{f}") for f in FACETS], _hash(queries, "f_course_code").alias("f_code"))
 
 
 def _corpus_side(corpus: DataFrame, chunk_id: str, vec: str, level: str | None) -> DataFrame:
-    have = set(corpus.columns)
-    cols = [F.col(chunk_id).alias("cid"), F.col(vec).alias("vec"),
-            (F.xxhash64(level) if level else F.lit(0).cast("long")).alias("grp")]
-    cols += [(_hash(F.col(f)) if f in have else F.lit(None).cast("long")).alias(f) for f in FACETS]
-    cols.append((F.transform("course_codes", lambda x: F.xxhash64(F.upper(x))) if "course_codes" in have
-                 else F.lit(None).cast("array<long>")).alias("codes"))
-    return corpus.filter(F.col(vec).isNotNull()).select(*cols)
+    group = F.xxhash64(level) if level else F.lit(0).cast("long")
+    codes = F.array().cast("array<long>")
+    if "course_codes" in corpus.columns:
+        codes = F.coalesce(F.transform("course_codes", lambda x: F.xxhash64(F.upper(x))), codes)
+    return corpus.filter(F.col(vec).isNotNull()).select(
+        F.col(chunk_id).alias("cid"), F.col(vec).alias("vec"), group.alias("grp"),
+        *[_hash(corpus, f).alias(f) for f in FACETS], codes.alias("codes"))
 
 
 def _hit_schema(q: DataFrame, c: DataFrame) -> T.StructType:

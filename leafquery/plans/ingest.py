@@ -56,7 +56,7 @@ def build_corpus(chunks: DataFrame, vectors: DataFrame | None = None, **embed_op
     """Corpus tables as plans over ``chunks``. Copies of a chunk id are one chunk."""
     unique = searchable(chunks).dropDuplicates(["chunk_id"])
     with_text = unique.withColumn("_embed", embedding_text())
-    embedded = (unique.join(vectors.select("chunk_id", "vec"), "chunk_id") if vectors is not None
+    embedded = (unique.join(vectors.select("chunk_id", "vec"), "chunk_id", "left") if vectors is not None
                 else embed(with_text, "_embed", **embed_options).drop("_embed"))
     return Corpus(embedded, bm25_index(unique, rich_text()), all_aliases(unique), keyword_vocab(unique))
 
