@@ -3,19 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    Meant for question-sized tables that several branches read; chunk tables are staged as
-    parquet (``plans.ingest.write_corpus``). Survives the loss of executors.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate results that every executor reaches (``spark.checkpoint.dir``)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        # a local folder only where nothing is configured, as in tests
+        # a folder of our own only where nothing is configured, as in tests
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafquery-"))
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for question-sized tables that several branches read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: for large tables, whose columns stay prunable."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a source yields fewer partitions than there are cores.
+
+    A small file is one scan task; a large input has many and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

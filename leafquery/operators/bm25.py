@@ -7,35 +7,48 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.staging import stage_table
 from ..functions.text import tokenize
 from .ranking import by_score, top_k
 
 FACETS = ("department", "section", "faculty", "course_codes")
 #: postings of one token that stay together; a token with more is split over several shards
 ROWS_PER_SHARD = 1_000_000
+#: question terms (one row per question, level and token) that may be broadcast
+BROADCAST_TERMS = 500_000
 
 
 @dataclass
 class Bm25Index:
-    """postings(level, token, shard, chunk_id, tf, doc_len, facets), terms(level, token, df, idf, shards), corpus(level, n, avgdl)."""
+    """postings(academic_level, token, chunk_id, tf, doc_len, facets), terms(academic_level, token, df, idf,
+    shards), corpus(academic_level, n, avgdl). ``by_chunk``: postings already lie hashed by chunk_id."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    by_chunk: bool = False
 
     def write(self, path: str) -> None:
-        for name in ("postings", "terms", "corpus"):
-            table = getattr(self, name)
-            if name == "postings":
-                # one file range per token, so a scan for some tokens skips row groups
-                table = table.repartitionByRange("academic_level", "token", "shard").sortWithinPartitions(
-                    "academic_level", "token", "shard")
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        """Parquet folders; postings keep their layout by chunk and are sorted by token inside each file."""
+        self.postings.sortWithinPartitions("academic_level", "token").write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Bm25Index":
         return Bm25Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus")])
 
+    def save_tables(self, prefix: str, buckets: int) -> None:
+        """Catalog tables; postings bucketed by chunk_id, so that a search never shuffles them again."""
+        (self.postings.repartition(buckets, "chunk_id").write.mode("overwrite").bucketBy(buckets, "chunk_id")
+         .sortBy("chunk_id").saveAsTable(f"{prefix}_postings"))
+        self.terms.write.mode("overwrite").saveAsTable(f"{prefix}_terms")
+        self.corpus.write.mode("overwrite").saveAsTable(f"{prefix}_corpus")
+
+    @staticmethod
+    def from_tables(spark: SparkSession, prefix: str) -> "Bm25Index":
+        return Bm25Index(*[spark.table(f"{prefix}_{n}") for n in ("postings", "terms", "corpus")], by_chunk=True)
+
 
 def rich_text() -> Column:
     """Program, heading path and text; a missing field adds nothing."""
@@ -58,22 +71,25 @@ def searchable(chunks: DataFrame, align_sections: bool = True) -> DataFrame:
 
 
 def bm25_index(chunks: DataFrame, text: Column | None = None, level: str = "academic_level",
-               chunk_id: str = "chunk_id", rows_per_shard: int = ROWS_PER_SHARD) -> Bm25Index:
+               chunk_id: str = "chunk_id", rows_per_shard: int = ROWS_PER_SHARD, staged: bool = False) -> Bm25Index:
     """Index tables of a chunk table.
 
-    Counting is a two-step hash aggregation (partial before the shuffle); all three
-    tables read that one shuffle. Fields that filters test travel with the postings, so
-    a filter applies before scores are summed.
+    Texts are hashed by chunk before they are cut into tokens: that moves the text once
+    instead of its much wider token rows, and counting then is local. Fields that filters test
+    travel with the postings, so a filter applies before scores are summed. ``staged`` writes the
+    postings to the shared folder; otherwise every use counts again.
     """
     facets = [f for f in FACETS if f in chunks.columns]
     docs = chunks.select(F.col(level).alias("academic_level"), F.col(chunk_id).alias("chunk_id"), *facets,
-                         tokenize(F.col("text") if text is None else text).alias("_tokens"))
-    tokens = docs.select("academic_level", "chunk_id", *facets, F.size("_tokens").alias("doc_len"),
-                         F.explode("_tokens").alias("token"))
-    tf = (tokens.groupBy("academic_level", "token", "chunk_id", "doc_len", *facets)
-          .agg(F.count(F.lit(1)).alias("tf")))
+                         (F.col("text") if text is None else text).alias("_text")).repartition("chunk_id")
+    tokens = docs.withColumn("_tokens", tokenize(F.col("_text"))).select(
+        "academic_level", "chunk_id", *facets, F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("token"))
+    postings = (tokens.groupBy("academic_level", "token", "chunk_id", "doc_len", *facets)
+                .agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    if staged:
+        postings = stage_table(postings)
     counts = chunks.groupBy(F.col(level).alias("academic_level")).agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("academic_level", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_cf"))
+    df = postings.groupBy("academic_level", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_cf"))
     lengths = df.groupBy("academic_level").agg(F.sum("_cf").alias("_len"))
     corpus = counts.join(lengths, "academic_level", "left").select(
         "academic_level", "n", (F.coalesce("_len", F.lit(0)) / F.col("n")).alias("avgdl"))
@@ -81,14 +97,7 @@ def bm25_index(chunks: DataFrame, text: Column | None = None, level: str = "acad
     terms = df.join(corpus, "academic_level").select(
         "academic_level", "token", "df", F.log((n - d + 0.5) / (d + 0.5) + 1.0).alias("idf"),
         F.ceil(d / F.lit(rows_per_shard)).cast("int").alias("shards"))
-    # Only tokens above one shard are looked up: at most (postings / rows_per_shard) rows.
-    hot = df.filter(d > rows_per_shard).select(
-        "academic_level", "token", F.ceil(d / F.lit(rows_per_shard)).cast("int").alias("_shards"))
-    shard = F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("_shards")), F.lit(0)).cast("int")
-    postings = tf.join(hot, ["academic_level", "token"], "left").select(
-        "academic_level", "token", shard.alias("shard"), "chunk_id", F.col("tf").cast("int").alias("tf"),
-        "doc_len", *facets)
-    return Bm25Index(postings, terms, corpus)
+    return Bm25Index(postings, terms, corpus, by_chunk=not staged)
 
 
 def metadata_filter(have: list[str] | None = None) -> Column:
@@ -105,33 +114,50 @@ def metadata_filter(have: list[str] | None = None) -> Column:
 
 
 def bm25_scores(queries: DataFrame, index: Bm25Index, k1: float = fv.BM25_K1, b: float = fv.BM25_B,
-                carry: tuple[str, ...] = ()) -> DataFrame:
+                carry: tuple[str, ...] = (), broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, academic_level, chunk_id, score) of every chunk that shares a token.
 
     ``queries``: query_id, academic_level (one row per level searched), text and optional
     f_* filters. Repeated question tokens count again. ``carry`` names per-question columns to keep.
+
+    Question terms of checked size are broadcast to the postings, which lie by chunk: a
+    posting is shuffled at most once, whatever the number of questions, and the
+    sum per (question, chunk) needs no shuffle of its own. Larger question tables meet the
+    postings by (level, token, shard), where frequent tokens are spread over shards.
     """
     filters = [c for c in queries.columns if c.startswith("f_")]
     asked = (queries.select("query_id", "academic_level", *filters, *carry, F.explode(tokenize(F.col("text"))).alias("token"))
              .groupBy("query_id", "academic_level", "token", *filters, *carry).agg(F.count(F.lit(1)).alias("_qtf")))
-    # question terms take their idf, then one copy per shard of the token
     terms = (asked.join(index.terms, ["academic_level", "token"]).join(index.corpus, "academic_level")
-             .select("query_id", "academic_level", "token", *filters, *carry, "_qtf", "idf", "avgdl",
-                     F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")))
-    hits = terms.join(index.postings, ["academic_level", "token", "shard"])
+             .withColumn("_weight", F.col("_qtf") * F.col("idf")).drop("n", "df", "idf", "_qtf"))
+    token = ["academic_level", "token"]
+    if asked.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        postings = index.postings
+        if not index.by_chunk:
+            needed = F.broadcast(asked.select(*token).distinct())
+            postings = postings.join(needed, token, "left_semi").repartition("chunk_id")
+        hits = postings.join(F.broadcast(terms.drop("shards")), token)
+    else:
+        # only tokens of more than one shard are looked up: at most postings / rows_per_shard of them
+        hot = index.terms.filter(F.col("shards") > 1).select(*token, "shards")
+        shard = F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("shards")), F.lit(0)).cast("int")
+        spread_out = index.postings.join(hot, token, "left").withColumn("shard", shard).drop("shards")
+        copies = terms.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+        hits = copies.join(spread_out, [*token, "shard"])
     if filters:
         hits = hits.filter(metadata_filter([f for f in FACETS if f in index.postings.columns]))
     tf = F.col("tf").cast("double")
-    weight = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
+    weight = F.col("_weight") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     return (hits.groupBy("query_id", "academic_level", "chunk_id", *carry)
-            .agg(F.sum(weight * F.col("_qtf")).alias("score")).filter(F.col("score") != 0))
+            .agg(F.sum(weight).alias("score")).filter(F.col("score") != 0))
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, k: int | str, k_max: int | None = None,
-                per_level: bool = True) -> DataFrame:
+                per_level: bool = True, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, academic_level, chunk_id, score, rank): best ``k`` per level, or over all levels."""
     keys = ["query_id", "academic_level"] if per_level else ["query_id"]
     order = by_score("score", "chunk_id")
     if isinstance(k, int):
-        return top_k(bm25_scores(queries, index), keys, order, k)
-    return top_k(bm25_scores(queries, index, carry=(k,)), keys, order, F.col(k), k_max).drop(k)
+        return top_k(bm25_scores(queries, index, broadcast_terms=broadcast_terms), keys, order, k)
+    scores = bm25_scores(queries, index, carry=(k,), broadcast_terms=broadcast_terms)
+    return top_k(scores, keys, order, F.col(k), k_max).drop(k)

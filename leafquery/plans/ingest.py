@@ -52,13 +52,16 @@ class Corpus:
     vocabulary: DataFrame
 
 
-def build_corpus(chunks: DataFrame, vectors: DataFrame | None = None, **embed_options) -> Corpus:
-    """Corpus tables as plans over ``chunks``. Copies of a chunk id are one chunk."""
+def build_corpus(chunks: DataFrame, vectors: DataFrame | None = None, staged: bool = False, **embed_options) -> Corpus:
+    """Corpus tables as plans over ``chunks``. Copies of a chunk id are one chunk.
+
+    ``staged`` writes the postings once instead of counting them in each use.
+    """
     unique = searchable(chunks).dropDuplicates(["chunk_id"])
     with_text = unique.withColumn("_embed", embedding_text())
     embedded = (unique.join(vectors.select("chunk_id", "vec"), "chunk_id", "left") if vectors is not None
                 else embed(with_text, "_embed", **embed_options).drop("_embed"))
-    return Corpus(embedded, bm25_index(unique, rich_text()), all_aliases(unique), keyword_vocab(unique))
+    return Corpus(embedded, bm25_index(unique, rich_text(), staged=staged), all_aliases(unique), keyword_vocab(unique))
 
 
 def write_corpus(chunks: DataFrame, path: str, **embed_options) -> None:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from leafquery.functions.staging import spread
+
 NL = "chr(10)"
 DOC = "cast(floor(doc_id / 10) as bigint)"
 LEVEL = "case when floor(doc_id / 10) % 3 = 0 then 'postgraduate' else 'undergraduate' end"
@@ -54,8 +56,13 @@ QUESTION_TEXT = f"""case {_K}
 QUESTIONS = {"query_id": "conv_id * 1000 + turn", "conv_id": "conv_id", "turn": "turn", "text": QUESTION_TEXT}
 
 
+TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; text tables cost much work per byte and are spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _derive(df: DataFrame, exprs: dict[str, str]) -> DataFrame:

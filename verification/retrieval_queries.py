@@ -81,14 +81,21 @@ def _(spark, sf):
 @query("bm25_search", BENCH_SQL + """ select query_id, academic_level, chunk_id, rank, round(score, 5) as score from (select *,
  cast(row_number() over (partition by query_id, academic_level order by round(score, 6) desc, chunk_id) - 1 as int) as rank from sc) where rank < 10""")
 def _(spark, sf):
-    hits = BM.bm25_search(benchmark_questions(spark, sf), BM.bm25_index(documents(spark, sf)), 10)
+    hits = BM.bm25_search(benchmark_questions(spark, sf), BM.bm25_index(documents(spark, sf), staged=True), 10)
+    return hits.select("query_id", "academic_level", "chunk_id", "rank", F.round("score", 5).alias("score"))
+
+
+@query("bm25_search_shards", SQL["bm25_search"])
+def _(spark, sf):
+    index = BM.bm25_index(documents(spark, sf), rows_per_shard=100)
+    hits = BM.bm25_search(benchmark_questions(spark, sf), index, 10, broadcast_terms=0)
     return hits.select("query_id", "academic_level", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query("merge_levels", BENCH_SQL + """ select query_id, academic_level, chunk_id, rank from (select *,
  cast(row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) - 1 as int) as rank from sc) where rank < 12""")
 def _(spark, sf):
-    hits = BM.bm25_search(benchmark_questions(spark, sf), BM.bm25_index(documents(spark, sf)), 12)
+    hits = BM.bm25_search(benchmark_questions(spark, sf), BM.bm25_index(documents(spark, sf), staged=True), 12)
     english = F.col("academic_level") == "en"
     return FU.merge_levels([hits.filter(english), hits.filter(~english)], 12).select("query_id", "academic_level", "chunk_id", "rank")
 
@@ -361,7 +368,7 @@ def _(spark, sf):
 def corpus(spark, sf):
     ch = BM.searchable(chunks(spark, sf))
     vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    return Corpus(ch.join(vec, "doc_id", "left"), BM.bm25_index(ch, BM.rich_text()), K.all_aliases(ch), K.keyword_vocab(ch))
+    return Corpus(ch.join(vec, "doc_id", "left"), BM.bm25_index(ch, BM.rich_text(), staged=True), K.all_aliases(ch), K.keyword_vocab(ch))
 
 
 _WITH_FILTER = FILTER_SQL.replace("f_department is null", "not aq.uf or f_department is null").replace(
