@@ -11,7 +11,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
 from ..operators.understand import (academic_level, detect_course, detect_entity, detect_fee_type, detect_person,
@@ -23,7 +23,6 @@ from ..plans.retrieve import retrieve
 from ..sources.pages import PAGE_SCHEMA
 from ..sources.tables import read_or_empty, replace_level
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATUS_LOG_SCHEMA = T.StructType([
     T.StructField("academic_level", T.StringType()), T.StructField("ingestion_status", T.StringType()),
     T.StructField("ingestion_error", T.StringType()), T.StructField("batch_id", T.LongType()),
@@ -121,83 +120,81 @@ REUSE_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField
                              T.StructField("answer", T.StringType()), T.StructField("hit", T.BooleanType())])
 
 
-class _ReuseState(StatefulProcessor):
-    """The answer of a key, kept until its time to live has passed."""
+def _keep_for(state: GroupState, latest: pd.Timestamp | None, ttl_ms: int) -> None:
+    """Let the state expire ``ttl_ms`` of event time after its latest row."""
+    seen = int(latest.timestamp() * 1000) if latest is not None else 0
+    state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + ttl_ms)
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.answer = handle.getValueState("answer", "answer string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.answer.get()[0] if self.answer.exists() else None
-        fresh = known
-        for batch in rows:
-            answers, hits = [], []
-            # arrival order inside one micro-batch is the order of query_id
-            for given in batch.sort_values("query_id")["answer"]:
-                hits.append(fresh is not None)
-                answers.append(fresh if fresh is not None else given)
-                fresh = fresh if fresh is not None else given
-            out = batch.sort_values("query_id")
-            yield pd.DataFrame({"key": key[0], "query_id": out["query_id"], "answer": answers, "hit": hits})
-        if fresh is not None and known is None:
-            self.answer.update((fresh,))
-
-    def close(self) -> None:
-        pass
+def _later(latest: pd.Timestamp | None, times: pd.Series) -> pd.Timestamp | None:
+    newest = times.max() if len(times) else None
+    return newest if latest is None or (newest is not None and newest > latest) else latest
 
 
-def stream_exact_reuse(questions: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def stream_exact_reuse(questions: DataFrame, watermark: str = "1 hour", ttl_ms: int = 3_600_000) -> DataFrame:
     """(key, query_id, answer, hit): an answer seen for the same key before is given again.
 
-    questions: key, query_id, answer (of the generator, NULL if there is none yet). The time to live
-    bounds the state; a global cap could not be partitioned.
+    questions: key, query_id, ts, answer (of the generator, NULL if there is none yet). The state of a
+    key is one answer, dropped ``ttl_ms`` of event time after its last question; a global cap could
+    not be partitioned. Inside one micro-batch the order is that of query_id.
     """
-    questions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return questions.select("key", "query_id", "answer").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_ReuseState(ttl_ms), outputStructType=REUSE_SCHEMA, outputMode="Append",
-        timeMode="ProcessingTime")
+    def reuse(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, latest = (state.get[0] if state.exists else None), None
+        for batch in batches:
+            latest = _later(latest, batch["ts"])
+            batch = batch.sort_values("query_id")
+            answers, hits = [], []
+            for given in batch["answer"]:
+                hits.append(known is not None)
+                known = given if known is None else known
+                answers.append(known)
+            yield pd.DataFrame({"key": key[0], "query_id": batch["query_id"].to_numpy(), "answer": answers, "hit": hits})
+        if known is not None:
+            state.update((known,))
+            _keep_for(state, latest, ttl_ms)
+
+    rows = questions.select("key", "query_id", "ts", "answer").withWatermark("ts", watermark)
+    return rows.groupBy("key").applyInPandasWithState(
+        reuse, REUSE_SCHEMA, "answer string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 HISTORY_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                                T.StructField("history", T.StringType()), T.StructField("n_turns", T.IntegerType())])
 
 
-class _HistoryState(StatefulProcessor):
-    """The last n turns of a conversation."""
+def stream_history(turns: DataFrame, n: int = fv.PROMPT_TURNS, watermark: str = "1 hour",
+                   ttl_ms: int = 3_600_000) -> DataFrame:
+    """(conv_id, turn, history, n_turns): the last ``n`` turns before each arriving turn.
 
-    def __init__(self, n: int, ttl_ms: int):
-        self.n, self.ttl_ms = n, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turns = handle.getListState("turns", "turn long, role string, text string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
-        for batch in rows:
-            out = []
+    turns: conv_id, turn, role, text, ts. The state of a conversation is its last ``n`` turns, dropped
+    ``ttl_ms`` of event time after the last one. Turns older than the watermark, or older than
+    one already seen, are dropped.
+    """
+    def remember(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        numbers, lines = (list(x) for x in state.get) if state.exists else ([], [])
+        latest = None
+        for batch in batches:
+            latest, out = _later(latest, batch["ts"]), []
             for turn, role, text in batch.sort_values("turn")[["turn", "role", "text"]].itertuples(index=False):
-                if held and turn <= held[-1][0]:
-                    continue  # a late turn: what came after it has been shown already
-                line = "\n".join(f"{'User' if r == 'user' else 'Assistant'}: {x}" for _, r, x in held)
-                out.append((key[0], int(turn), line, len(held)))
-                held = (held + [(int(turn), role, text)])[-self.n:]
+                if numbers and turn <= numbers[-1]:
+                    continue
+                out.append((key[0], int(turn), "\n".join(lines), len(lines)))
+                numbers = (numbers + [int(turn)])[-n:]
+                lines = (lines + [f"{'User' if role == 'user' else 'Assistant'}: {text}"])[-n:]
             yield pd.DataFrame(out, columns=["conv_id", "turn", "history", "n_turns"])
-        if held:
-            self.turns.put(held)
-
-    def close(self) -> None:
-        pass
-
+        state.update((numbers, lines))
+        _keep_for(state, latest, ttl_ms)
 
-def stream_history(turns: DataFrame, n: int = fv.PROMPT_TURNS, ttl_ms: int = 3_600_000) -> DataFrame:
-    """(conv_id, turn, history, n_turns): the last ``n`` turns before each arriving turn."""
-    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=_HistoryState(n, ttl_ms), outputStructType=HISTORY_SCHEMA, outputMode="Append",
-        timeMode="ProcessingTime")
+    rows = turns.select("conv_id", "turn", "role", "text", "ts").withWatermark("ts", watermark)
+    return rows.groupBy("conv_id").applyInPandasWithState(
+        remember, HISTORY_SCHEMA, "numbers array<bigint>, lines array<string>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_folder(stream: DataFrame, path: str, checkpoint: str, name: str | None = None) -> StreamingQuery:

@@ -410,10 +410,10 @@ def entries(spark, sf):
     asked = t.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
     return t.filter("role = 'assistant'").join(asked, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), RE.exact_key(F.col("query"), F.lit("")).alias("key"),
-        F.substring("query", 1, 5).alias("start"), F.col("text").alias("answer"), "conv_id", "query")
+        F.length("query").cast("string").alias("size"), F.col("text").alias("answer"), "conv_id", "query")
 
 
-ENTRIES_SQL = f"""(select a.conv_id * 1000 + a.turn as seq, md5(concat(lower(trim(u.text, {TRIM})), '|')) as key, substr(u.text, 1, 5) as start, a.text as answer, a.conv_id, u.text as query
+ENTRIES_SQL = f"""(select a.conv_id * 1000 + a.turn as seq, md5(concat(lower(trim(u.text, {TRIM})), '|')) as key, cast(length(u.text) as varchar) as size, a.text as answer, a.conv_id, u.text as query
   from conversations a join conversations u on u.conv_id = a.conv_id and u.turn = a.turn - 1 where a.role = 'assistant' and u.role = 'user')"""
 
 
@@ -434,10 +434,10 @@ def _(spark, sf):
     return RE.exact_lookup(q, cache).select("conv_id", "turn", "hit", F.coalesce(F.md5("answer"), F.lit("NULL")).alias("md5"))
 
 
-@query("fifo_cap", f"""with m as (select start as key, min(seq) as seq, arg_max(answer, seq) as answer from {ENTRIES_SQL} group by 1)
+@query("fifo_cap", f"""with m as (select size as key, min(seq) as seq, arg_max(answer, seq) as answer from {ENTRIES_SQL} group by 1)
  select key, seq, md5(answer) as md5 from m order by seq desc limit 64""")
 def _(spark, sf):
-    e = entries(spark, sf).drop("key").withColumnRenamed("start", "key")
+    e = entries(spark, sf).drop("key").withColumnRenamed("size", "key")
     return RE.fifo_cap(e, 64).select("key", "seq", F.md5("answer").alias("md5"))
 
 

@@ -34,6 +34,11 @@ def folders(spark, *names):
     return [f"{base}/{n}" for n in names]
 
 
+def clock():
+    """Event time of a turn: one minute each."""
+    return F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60).alias("ts")
+
+
 def replay(spark, df, path, files: int = 2):
     """Write the rows as files and read them as a stream, one file per micro-batch."""
     df.repartition(files).write.parquet(path)
@@ -73,13 +78,13 @@ def _(spark, sf):
     return spark.read.parquet(out).select("query_id", "intent", shown("seat_route", "seat_route"), "is_pg", "is_ug")
 
 
-@query("stream_exact_reuse", f"""with k as (select conv_id * 1000 + turn as query_id, md5(concat(substr(lower(trim(text, {TRIM})), 1, 3), '|')) as key from conversations where role = 'user')
+@query("stream_exact_reuse", f"""with k as (select conv_id * 1000 + turn as query_id, md5(concat('turn ', cast(turn as string), '|')) as key from conversations where role = 'user')
  select key, count(*) as asked, count(*) - 1 as hits, 1 as answers from k group by 1""")
 def _(spark, sf):
     source, out, checkpoint = folders(spark, "in", "out", "checkpoint")
     t = table(spark, sf, "conversations").filter("role = 'user'")
-    q = t.select(exact_key(F.substring(F.lower(F.btrim("text")), 1, 3), F.lit("")).alias("key"),
-                 (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"))
+    q = t.select(exact_key(F.concat(F.lit("Turn "), F.col("turn").cast("string")), F.lit("")).alias("key"),
+                 (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"), clock())
     ST.run_to_folder(ST.stream_exact_reuse(replay(spark, q, source)), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).groupBy("key").agg(
         F.count(F.lit(1)).alias("asked"), F.sum(F.col("hit").cast("int")).alias("hits"),
@@ -92,7 +97,7 @@ def _(spark, sf):
    concat(case when role = 'user' then 'User: ' else 'Assistant: ' end, text) end, chr(10) order by t2), '')) as md5 from t group by 1, 2""")
 def _(spark, sf):
     source, out, checkpoint = folders(spark, "in", "out", "checkpoint")
-    t = table(spark, sf, "conversations")
+    t = table(spark, sf, "conversations").select("*", clock())
     # the turns of a conversation arrive in order: early turns in the first files
     early = t.filter("turn < 2").coalesce(1)
     early.write.parquet(source)
