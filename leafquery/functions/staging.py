@@ -1,4 +1,4 @@
-"""Cut a plan where a small intermediate table is used many times."""
+"""Cut a plan where an intermediate table is used many times."""
 
 from __future__ import annotations
 
@@ -18,13 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for question-sized tables that several branches read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write to the shared folder and read back.
 
-
-def stage_table(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: for large tables, whose columns stay prunable."""
+    Cuts the plan where several branches read one intermediate table; columns stay prunable, and
+    the result outlives the executors that made it.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

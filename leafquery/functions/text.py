@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
 
-WORD = r"[\p{L}\p{N}_]"
-NON_WORD = r"[^\p{L}\p{N}_]+"
+WORD = r"[a-zA-Z0-9_\p{L}\p{N}]"
+NON_WORD = r"[^a-zA-Z0-9_\p{L}\p{N}]+"
 BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+#: a boundary next to something that is known to be a word character
+BEFORE_WORD = rf"(?<!{WORD})"
+AFTER_WORD = rf"(?!{WORD})"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: every character that counts as white space when stripping
 WHITESPACE = (
@@ -21,9 +25,17 @@ WHITESPACE = (
 
 
 def java_regex(pattern: str) -> str:
-    """Unicode word boundaries and spaces; only ``\\n`` ends a line."""
-    out = pattern.replace(r"\\", "\x00").replace(r"\b", BOUNDARY).replace(r"\s", SPACE)
-    return "(?d)" + out.replace(r"\w", WORD).replace("\x00", r"\\")
+    """Unicode word boundaries and spaces; only ``\\n`` ends a line.
+
+    A boundary needs one look-around where its neighbour in the pattern is a word character,
+    and both only next to a class that also has other characters.
+    """
+    out = pattern.replace(r"\\", "\x00")
+    if r"\-]" in out:
+        out = out.replace(r"\b", BOUNDARY)
+    out = out.replace(r"\.\b", rf"\.(?={WORD})")
+    out = re.sub(r"\\b(?=[A-Za-z0-9\[]|\((?!\?!))", lambda _: BEFORE_WORD, out).replace(r"\b", AFTER_WORD)
+    return "(?d)" + out.replace(r"\s", SPACE).replace(r"\w", WORD).replace("\x00", r"\\")
 
 
 def matches(col: Column, pattern: str) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.staging import stage_table
+from ..functions.staging import stage
 from ..functions.text import tokenize
 from .ranking import by_score, top_k
 
@@ -87,7 +87,7 @@ def bm25_index(chunks: DataFrame, text: Column | None = None, level: str = "acad
     postings = (tokens.groupBy("academic_level", "token", "chunk_id", "doc_len", *facets)
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
     if staged:
-        postings = stage_table(postings)
+        postings = stage(postings)
     counts = chunks.groupBy(F.col(level).alias("academic_level")).agg(F.count(F.lit(1)).alias("n"))
     df = postings.groupBy("academic_level", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_cf"))
     lengths = df.groupBy("academic_level").agg(F.sum("_cf").alias("_len"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.staging import stage
 from ..functions.text import (all_matches, contains_any, first_group, first_match, java_regex, matches, strip,
                               strip_markup)
 
@@ -47,34 +48,37 @@ def line_headings(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?d)" + _LINE_HEADING), F.lit(2))
 
 
-def scan_context(text: Column, strict: bool = False) -> dict[str, Column]:
-    """What one scan of ``text`` sets; NULL means the value is left as it was.
+def scan_context(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """Add what one scan of ``text`` sets; NULL means the value is left as it was.
 
     The first pattern match counts, then heading lines override and the last heading
-    wins. An empty capture sets the empty string, which is not the same as NULL.
+    wins. An empty capture sets the empty string, which is not the same as NULL. Each pattern
+    walks the text once; captures are taken from the short match.
     """
-    def capture(pattern: str) -> Column:
-        return F.when(matches(text, pattern), strip_markup(F.regexp_extract(text, java_regex(pattern), 1)))
-
-    heads = line_headings(text)
+    text = F.col("text")
+    patterns = {"page": fv.PAGE_PATTERN, "faculty": fv.FACULTY_PATTERN, "program": fv.PROGRAM_PATTERN,
+                "department": fv.DEPARTMENT_PATTERN_STRICT if strict else fv.DEPARTMENT_PATTERN}
+    found = rows.select("*", line_headings(text).alias("_heads"), *[
+        first_match(text, p).alias(f"_{n}") for n, p in patterns.items()])
 
     def about_department(h: Column) -> Column:
         return contains_any(F.lower(h), ["department", "dept"])
 
-    dept_heads = F.filter(heads, about_department)
-    fac_heads = F.filter(heads, lambda h: ~about_department(h) & F.contains(F.lower(h), F.lit("faculty")))
+    def last_heading(condition, prefix: str) -> Column:
+        heads = F.filter("_heads", condition)
+        return strip(F.replace(F.try_element_at(heads, F.lit(-1)), F.lit(prefix), F.lit("")))
 
-    def last_heading(found: Column, prefix: str) -> Column:
-        return F.when(F.size(found) > 0, strip(F.replace(F.element_at(found, -1), F.lit(prefix), F.lit(""))))
+    def capture(name: str) -> Column:
+        match = F.col(f"_{name}")
+        return F.when(match.isNotNull(), strip_markup(F.regexp_extract(match, java_regex(patterns[name]), 1)))
 
-    department = fv.DEPARTMENT_PATTERN_STRICT if strict else fv.DEPARTMENT_PATTERN
-    return {
-        "page": F.when(matches(text, fv.PAGE_PATTERN),
-                       F.regexp_extract(text, java_regex(fv.PAGE_PATTERN), 1).cast("int")),
-        "faculty": F.coalesce(last_heading(fac_heads, "Faculty of"), capture(fv.FACULTY_PATTERN)),
-        "department": F.coalesce(last_heading(dept_heads, "Department of"), capture(department)),
-        "program": capture(fv.PROGRAM_PATTERN),
-    }
+    return found.select(
+        *rows.columns,
+        F.regexp_extract("_page", java_regex(fv.PAGE_PATTERN), 1).cast("int").alias("page"),
+        F.coalesce(last_heading(lambda h: ~about_department(h) & F.contains(F.lower(h), F.lit("faculty")), "Faculty of"),
+                   capture("faculty")).alias("faculty"),
+        F.coalesce(last_heading(about_department, "Department of"), capture("department")).alias("department"),
+        capture("program").alias("program"))
 
 
 def carry_forward(df: DataFrame, keys: list[str], segment: str, order: list[str], values: list[str]) -> DataFrame:
@@ -99,10 +103,11 @@ def carry_forward(df: DataFrame, keys: list[str], segment: str, order: list[str]
 
 
 def carry_context(blocks: DataFrame, keys: tuple[str, ...] = DOC_KEYS, order: tuple[str, ...] = ("page_seq",),
-                  pages_per_segment: int = 256, strict: bool = False) -> DataFrame:
+                  pages_per_segment: int = 256, strict: bool = False, staged: bool = False) -> DataFrame:
     """Sections of every block with page, faculty, department and program carried across blocks.
 
-    Each block is scanned as a whole first (row sec_seq = -1), then each of its sections.
+    Each block is scanned as a whole first (row sec_seq = -1), then each of its sections. The scan
+    is read twice (values between segments, values inside them); ``staged`` writes it once.
     """
     keep = [*keys, *order]
     whole = F.array(F.struct(F.lit(-1).alias("sec_seq"), F.col("text").alias("text")))
@@ -110,10 +115,12 @@ def carry_context(blocks: DataFrame, keys: tuple[str, ...] = DOC_KEYS, order: tu
                         lambda s, i: F.struct(i.alias("sec_seq"), s.alias("text")))
     rows = blocks.select(*keep, F.explode(F.concat(whole, parts)).alias("_s")).select(
         *keep, F.col("_s.sec_seq").alias("sec_seq"), F.col("_s.text").alias("text"))
-    scanned = rows.select("*", *[c.alias(n) for n, c in scan_context(F.col("text"), strict).items()])
+    scanned = scan_context(rows, strict)
     # the whole-block text has done its work; do not shuffle it
     scanned = scanned.withColumn("text", F.when(F.col("sec_seq") >= 0, F.col("text")))
     scanned = scanned.withColumn("_segment", F.floor(F.col(order[0]) / F.lit(pages_per_segment)))
+    if staged:
+        scanned = stage(scanned)
     filled = carry_forward(scanned, list(keys), "_segment", [*order, "sec_seq"], list(CONTEXT))
     return filled.filter(F.col("sec_seq") >= 0).drop("_segment")
 

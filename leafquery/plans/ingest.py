@@ -27,9 +27,10 @@ def blocks_of_pages(pages: DataFrame) -> DataFrame:
     return split_page_blocks(marked, pos_col="block_seq")
 
 
-def sections_of_pages(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """Labelled sections; the only shuffle is the one that carries context forward."""
-    return label_sections(carry_context(blocks_of_pages(pages), order=("page_seq", "block_seq"), strict=strict))
+def sections_of_pages(pages: DataFrame, strict: bool = False, staged: bool = False) -> DataFrame:
+    """Labelled sections; the only shuffle of texts is the one that carries context forward."""
+    return label_sections(carry_context(blocks_of_pages(pages), order=("page_seq", "block_seq"), strict=strict,
+                                        staged=staged))
 
 
 def chunks_of_sections(sections: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
@@ -38,8 +39,8 @@ def chunks_of_sections(sections: DataFrame, size: int = fv.CHUNK_SIZE, overlap:
     return chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields])
 
 
-def chunks_of_pages(pages: DataFrame, **options) -> DataFrame:
-    return chunks_of_sections(sections_of_pages(pages), **options)
+def chunks_of_pages(pages: DataFrame, staged: bool = True, **options) -> DataFrame:
+    return chunks_of_sections(sections_of_pages(pages, staged=staged), **options)
 
 
 @dataclass

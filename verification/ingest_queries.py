@@ -249,7 +249,7 @@ CARRY_SQL = f"""with m as {MARKED_SQL},
 
 @query("carry_context", CARRY_SQL)
 def _(spark, sf):
-    out = S.carry_context(marked(spark, sf), order=("page_no",), pages_per_segment=3)
+    out = S.carry_context(marked(spark, sf), order=("page_no",), pages_per_segment=3, staged=True)
     return out.select("doc_id", "page_no", F.md5("text").alias("md5"), *[
         shown(c, c) for c in ("page", "faculty", "department", "program")])
 
