@@ -14,6 +14,8 @@ from .ranking import by_score, top_k
 FACETS = ("department", "section", "faculty", "course_codes")
 #: postings of one token that stay together; a token with more is split over several shards
 ROWS_PER_SHARD = 1_000_000
+#: levels whose statistics may be broadcast
+MAX_LEVELS = 10_000
 #: question terms (one row per question, level and token) that may be broadcast
 BROADCAST_TERMS = 500_000
 
@@ -88,13 +90,16 @@ def bm25_index(chunks: DataFrame, text: Column | None = None, level: str = "acad
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
     if staged:
         postings = stage(postings)
+    # one row per level, whatever the corpus; the check reads the level column only
+    levels = chunks.select(F.col(level).alias("academic_level")).distinct()
+    few_levels = levels.limit(MAX_LEVELS + 1).count() <= MAX_LEVELS
     counts = chunks.groupBy(F.col(level).alias("academic_level")).agg(F.count(F.lit(1)).alias("n"))
     df = postings.groupBy("academic_level", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_cf"))
     lengths = df.groupBy("academic_level").agg(F.sum("_cf").alias("_len"))
     corpus = counts.join(lengths, "academic_level", "left").select(
         "academic_level", "n", (F.coalesce("_len", F.lit(0)) / F.col("n")).alias("avgdl"))
     n, d = F.col("n"), F.col("df")
-    terms = df.join(corpus, "academic_level").select(
+    terms = df.join(F.broadcast(corpus) if few_levels else corpus, "academic_level").select(
         "academic_level", "token", "df", F.log((n - d + 0.5) / (d + 0.5) + 1.0).alias("idf"),
         F.ceil(d / F.lit(rows_per_shard)).cast("int").alias("shards"))
     return Bm25Index(postings, terms, corpus, by_chunk=not staged)

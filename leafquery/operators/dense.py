@@ -19,6 +19,8 @@ BROADCAST_BYTES = 64 << 20
 #: corpus rows and question rows that meet in one task of the grid
 CELL_ROWS = 16384
 CELL_QUERIES = 4096
+#: groups whose block counts may be broadcast
+BROADCAST_GROUPS = 100_000
 _MATMUL_ROWS = 512
 #: stands for a missing filter or field value
 NO_VALUE = 0
@@ -133,9 +135,11 @@ def _grid(q: DataFrame, c: DataFrame, k: int, schema: T.StructType, cell_rows: i
     dims = n_q.join(n_c, "grp").select(
         "grp", "_nc", F.ceil(F.col("_nc") / cell_rows).cast("int").alias("_ci"),
         F.ceil(F.col("_nq") / cell_queries).cast("int").alias("_qj"))
-    work = dims.agg(F.sum(F.col("_nc") * F.col("_qj"))).first()[0] or 0
-    n_cells = max(1, math.ceil(work / cell_rows))
+    groups, work = dims.agg(F.count(F.lit(1)), F.sum(F.col("_nc") * F.col("_qj"))).first()
+    n_cells = max(1, math.ceil((work or 0) / cell_rows))
     dims = dims.drop("_nc")
+    if groups <= BROADCAST_GROUPS:
+        dims = F.broadcast(dims)
 
     def placed(df: DataFrame, own: str, other: str, id_col: str, own_n: str, other_n: str) -> DataFrame:
         cols = df.columns

@@ -232,22 +232,20 @@ def route_seat(queries: DataFrame, status: DataFrame) -> DataFrame:
     """Add ``seat_route`` (PG_POLICY, UG_LINK, BOTH or NULL) and the final ``intent``.
 
     ``queries`` carries intent, use_pg and the seat variant of is_pg / is_ug.
-    The status table has one row per level, so both facts fit one aggregated row that is
-    looked up by a constant key.
+    The two facts about stored pages are scalar subqueries over the status table.
     """
     def stored(level: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("academic_level") == level, F.size("excluded_pages") > 0)), F.lit(False))
+        has = F.coalesce(F.max(F.when(F.col("academic_level") == level, F.size("excluded_pages") > 0)), F.lit(False))
+        return status.agg(has.alias("stored")).scalar()
 
-    pages = status.agg(stored(fv.UNDERGRADUATE).alias("_ug_pages"), stored(fv.POSTGRADUATE).alias("_pg_pages")) \
-        .withColumn("_one", F.lit(1))
+    ug_pages, pg_pages = stored(fv.UNDERGRADUATE), stored(fv.POSTGRADUATE)
     pg, ug = F.col("is_pg") & F.col("use_pg"), F.col("is_ug")
-    fallback = ((ug & ~pg & ~F.col("_ug_pages")) | (pg & ~ug & ~F.col("_pg_pages"))
-                | (~ug & ~pg & ~F.col("_ug_pages") & ~F.col("_pg_pages")))
+    fallback = ((ug & ~pg & ~ug_pages) | (pg & ~ug & ~pg_pages) | (~ug & ~pg & ~ug_pages & ~pg_pages))
     route = F.when((F.col("intent") == "SEAT") & ~fallback,
                    F.when(pg & ~ug, "PG_POLICY").when(ug & ~pg, "UG_LINK").otherwise("BOTH"))
-    out = queries.withColumn("_one", F.lit(1)).join(F.broadcast(pages), "_one").withColumn("seat_route", route)
+    out = queries.withColumn("seat_route", route)
     return out.withColumn("intent", F.when((F.col("intent") == "SEAT") & F.col("seat_route").isNull(), "RAG")
-                          .otherwise(F.col("intent"))).drop("_one", "_ug_pages", "_pg_pages")
+                          .otherwise(F.col("intent")))
 
 
 # --- rewriting --------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import fixed_values as fv
 from ..functions.text import strip
+from ..operators.ranking import top_k
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -37,8 +38,11 @@ def split_pages(pages: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataF
     so the new number is the old one minus the listed pages before it: no window, no
     per-document shuffle.
     """
-    listed = excluded.select("academic_level", F.array_distinct("excluded_pages").alias("_x"))
-    tagged = (pages.join(listed, "academic_level", "left")
+    # at most one row for each of the two levels, so it is small by construction
+    listed = (excluded.filter(F.col("academic_level").isin(fv.UNDERGRADUATE, fv.POSTGRADUATE))
+              .dropDuplicates(["academic_level"])
+              .select("academic_level", F.array_distinct("excluded_pages").alias("_x")))
+    tagged = (pages.join(F.broadcast(listed), "academic_level", "left")
               .withColumn("_x", F.coalesce("_x", F.array().cast("array<int>")))
               .withColumn("_seat", F.array_contains("_x", F.col("page_no"))))
     before = F.size(F.filter("_x", lambda p: (p >= 1) & (p < F.col("page_no"))))
@@ -52,10 +56,12 @@ def split_pages(pages: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataF
 def scan_density(pages: DataFrame, sample: int = fv.SCAN_SAMPLE_PAGES,
                  threshold: float = fv.SCAN_THRESHOLD_CHARS) -> DataFrame:
     """(doc_id, sampled_pages, avg_chars, is_scanned) over the first and last pages of a document."""
-    last = pages.groupBy("doc_id").agg(F.max("page_no").alias("_n"))
-    picked = pages.join(last, "doc_id").filter(
-        (F.col("page_no") <= sample) | (F.col("page_no") > F.greatest(F.col("_n") - sample, F.lit(sample))))
-    mean = F.avg(F.length(strip(F.coalesce("text", F.lit("")))))
+    sizes = pages.select("doc_id", "page_no", F.length(strip(F.coalesce("text", F.lit("")))).alias("_len"))
+    # each partition passes on at most ``sample`` rows per document and end
+    picked = (top_k(sizes, ["doc_id"], [F.col("page_no").asc()], sample)
+              .unionByName(top_k(sizes, ["doc_id"], [F.col("page_no").desc()], sample))
+              .dropDuplicates(["doc_id", "page_no"]))
+    mean = F.avg("_len")
     return picked.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("sampled_pages"), mean.alias("avg_chars"),
         (mean < threshold).alias("is_scanned"))

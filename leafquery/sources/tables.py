@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import fixed_values as fv
+from ..functions.staging import small_side
 
 _STRING_LIST = T.ArrayType(T.StringType())
 _FACULTY = T.StructType([T.StructField(n, T.StringType()) for n in ("designation", "person_name")])
@@ -43,7 +44,7 @@ def replace_level(chunks: DataFrame, path: str, level_col: str = "academic_level
 
 def replaced(existing: DataFrame, new: DataFrame, level_col: str = "academic_level") -> DataFrame:
     """The table after ``replace_level``, as a plan."""
-    levels = new.select(level_col).distinct()
+    levels = small_side(new.select(level_col).distinct())
     return existing.join(levels, level_col, "left_anti").unionByName(new)
 
 
