@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
-import zlib
+from collections import Counter
 from typing import Callable, Iterator
 
 import numpy as np
@@ -20,12 +22,17 @@ def hashing_encoder(dimension: int = fv.EMBED_DIMENSION) -> Encoder:
     """Signed feature hashing of word tokens, scaled to unit length; needs no model file."""
     token = re.compile(r"\w+")
 
+    @functools.lru_cache(maxsize=1 << 16)
+    def place(word: str) -> tuple[int, float]:
+        h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return (h >> 1) % dimension, 1.0 if h & 1 else -1.0
+
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for row, text in enumerate(texts):
-            for word in token.findall(text.lower()):
-                h = zlib.crc32(word.encode())
-                out[row, (h >> 1) % dimension] += 1.0 if h & 1 else -1.0
+            for word, n in Counter(token.findall(text.lower())).items():
+                at, sign = place(word)
+                out[row, at] += sign * n
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return encode

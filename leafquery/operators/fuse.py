@@ -48,24 +48,30 @@ def page_key(columns: list[str]) -> Column:
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = fv.RRF_LIMIT, constant: float = fv.RRF_CONSTANT) -> DataFrame:
+    """``fuse_legs`` of two result lists with the same columns: query_id, rank, text, page and any others."""
+    rows = dense.withColumn("leg", F.lit("dense")).unionByName(sparse.withColumn("leg", F.lit("sparse")))
+    return fuse_legs(rows, k, constant)
+
+
+def fuse_legs(rows: DataFrame, k: int = fv.RRF_LIMIT, constant: float = fv.RRF_CONSTANT) -> DataFrame:
     """Fused candidates with rrf_score and fused_rank (0-based), at most ``k`` per question.
 
-    Both sides: query_id, rank (0-based), text, page and the same further columns. Inside a
+    rows: query_id, leg (dense or sparse), rank (0-based), text, page and further columns. Inside a
     list the later rank of a repeated key counts while its first row stays; the dense
     row wins over the sparse one. One aggregation replaces a full outer join.
     """
-    meta = [c for c in dense.columns if c not in ("query_id", "rank", "score")]
-    legs = [df.select("query_id", F.lit(leg).alias("_leg"), F.col("rank").alias("_rank"),
-                      F.struct(*meta).alias("_row"), page_key(df.columns).alias("_page"),
-                      text_signature(F.col("text")).alias("_sig")) for leg, df in enumerate((dense, sparse))]
+    meta = [c for c in rows.columns if c not in ("query_id", "leg", "rank", "score")]
+    keyed = rows.select("query_id", F.when(F.col("leg") == "dense", 0).otherwise(1).alias("_leg"),
+                        F.col("rank").alias("_rank"), F.struct(*meta).alias("_row"), page_key(rows.columns).alias("_page"),
+                        text_signature(F.col("text")).alias("_sig"))
     where = F.struct("_leg", "_rank")
 
     def part(leg: int) -> Column:
-        return 1.0 / (F.lit(constant) + F.max(F.when(F.col("_leg") == leg, F.col("_rank"))))
+        return F.coalesce(1.0 / (F.lit(constant) + F.max(F.when(F.col("_leg") == leg, F.col("_rank")))), F.lit(0.0))
 
-    fused = (legs[0].unionByName(legs[1]).groupBy("query_id", "_page", "_sig")
-             .agg((F.coalesce(part(0), F.lit(0.0)) + F.coalesce(part(1), F.lit(0.0))).alias("rrf_score"),
-                  F.min_by("_row", where).alias("_row"), F.min(where).alias("_first")))
+    fused = (keyed.groupBy("query_id", "_page", "_sig")
+             .agg((part(0) + part(1)).alias("rrf_score"), F.min_by("_row", where).alias("_row"),
+                  F.min(where).alias("_first")))
     ranked = top_k(fused, ["query_id"], [F.col("rrf_score").desc(), F.col("_first").asc()], k, rank_col="fused_rank")
     return ranked.select("query_id", "fused_rank", "rrf_score", *[
         (strip(F.col("_row.text")) if c == "text" else F.col(f"_row.{c}")).alias(c) for c in meta])

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.staging import stage
+from ..functions.staging import small_side, stage
 from ..operators.bm25 import bm25_search
 from ..operators.context import pack_context
 from ..operators.dense import knn_search
-from ..operators.fuse import route_levels, rrf_fuse
+from ..operators.fuse import fuse_legs, route_levels
 from ..operators.pool import dedup_pool, expand_page, expand_section, expand_table, order_pool
 from ..operators.rerank import rerank
 from ..operators.understand import choose_strategy, understand
 from .ingest import Corpus
 
 FILTERS = ("f_department", "f_section", "f_faculty", "f_course_code")
+#: hits that may be broadcast to the chunk table
+BROADCAST_HITS = 1_000_000
 MAX_SEARCH_K = max(max(s[1], s[2]) for s in fv.STRATEGIES)
 
 
@@ -42,10 +44,9 @@ def search_both(q: DataFrame, corpus: Corpus, dense: bool = True, sparse: bool =
 
 def retrieve_pool(q: DataFrame, corpus: Corpus, dense: bool = True, sparse: bool = True) -> DataFrame:
     """Fused, reranked, expanded, deduplicated and ordered chunks per prepared question."""
-    hits = search_both(q, corpus, dense, sparse)
-    # both legs fetch their chunk rows in one join; vectors stay behind
-    rows = hits.join(corpus.chunks.drop("vec"), "chunk_id")
-    fused = rrf_fuse(rows.filter(F.col("leg") == "dense").drop("leg"), rows.filter(F.col("leg") == "sparse").drop("leg"))
+    # a few hits per question: written, their size is known, and chunks are read once without a shuffle of texts
+    hits = small_side(stage(search_both(q, corpus, dense, sparse)), BROADCAST_HITS)
+    fused = fuse_legs(corpus.chunks.drop("vec").join(hits, "chunk_id"))
     plan = q.select("query_id", "rerank_k", F.col("expand_section").alias("_es"), F.col("expand_page").alias("_ep"),
                     F.col("expand_table").alias("_et"), (~F.col("is_pg") & ~F.col("is_ug")).alias("_unclear"))
     fused = fused.join(plan, "query_id")

@@ -316,10 +316,14 @@ def _(spark, sf):
 
 
 # --- vectors ----------------------------------------------------------------
-@query("embed")
+@query("embed", f"""with t as (select doc_id, cast('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '{W}+'))), 1, 8) as bigint) as h from documents),
+ s as (select doc_id, cast((h >> 1) % 64 as int) as dim, cast(sum(case when h % 2 = 1 then 1 else -1 end) as double) as v from t group by 1, 2),
+ n as (select *, greatest(sqrt(sum(v * v) over (partition by doc_id)), 1e-9) as n from s)
+ select doc_id, dim, round(cast(cast(v / n as float) as double), 6) as value from n where v <> 0""")
 def _(spark, sf):
     df = E.embed(table(spark, sf, "documents"), dimension=64, load=lambda: E.hashing_encoder(64))
-    return df.select("doc_id", F.size("vec").alias("dim"), F.round(V.norm(F.col("vec")), 4).alias("norm"))
+    return df.select("doc_id", F.posexplode("vec").alias("dim", "v")).filter("v <> 0").select(
+        "doc_id", "dim", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query("mean_pool", """with t as (select label, vec_id % 5 as mask, unnest(embedding) as v, unnest(range(1, len(embedding) + 1)) as d from embeddings),
