@@ -147,17 +147,22 @@ def build_filters(align_sections: bool = True) -> dict[str, Column]:
 
 
 def understand(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Add every question metadata column and its filters."""
-    names = detect_names(queries, aliases)
+    """Add every question metadata column and its filters.
+
+    The pattern work runs where the questions lie, before they are shuffled to meet their names.
+    """
     text = F.lower("text")
-    q = queries.join(names, "query_id", "left").select(
-        *queries.columns, "department", "faculty", "program", "designation",
-        F.when(F.col("designation").isNotNull(), "faculty").otherwise(detect_section(text)).alias("section"),
-        F.coalesce(detect_entity(text), "designation").alias("entity"),
+    labelled = queries.select(
+        "*", detect_section(text).alias("_section"), detect_entity(text).alias("_entity"),
         detect_semester(text).alias("semester"), detect_year_level(text).alias("year_level"),
         detect_course(text).alias("course_code"), detect_person(text).alias("person_name"),
-        detect_fee_type(text).alias("fee_type")).drop("designation")
-    return q.select("*", *[c.alias(k) for k, c in build_filters().items()])
+        detect_fee_type(text).alias("fee_type"))
+    named = labelled.join(detect_names(queries, aliases), "query_id", "left").select(
+        *queries.columns, "department", "faculty", "program",
+        F.when(F.col("designation").isNotNull(), "faculty").otherwise(F.col("_section")).alias("section"),
+        F.coalesce("_entity", "designation").alias("entity"),
+        "semester", "year_level", "course_code", "person_name", "fee_type")
+    return named.select("*", *[c.alias(k) for k, c in build_filters().items()])
 
 
 def strategy_table(spark: SparkSession) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.staging import stage
 from ..operators.bm25 import Bm25Index, bm25_index, rich_text, searchable
 from ..operators.chunks import chunk_id, chunk_sections, embedding_text
 from ..operators.embed import embed
@@ -56,13 +57,16 @@ class Corpus:
 def build_corpus(chunks: DataFrame, vectors: DataFrame | None = None, staged: bool = False, **embed_options) -> Corpus:
     """Corpus tables as plans over ``chunks``. Copies of a chunk id are one chunk.
 
-    ``staged`` writes the postings once instead of counting them in each use.
+    ``staged`` writes postings, aliases and vocabulary once instead of deriving them in each use.
     """
     unique = searchable(chunks).dropDuplicates(["chunk_id"])
     with_text = unique.withColumn("_embed", embedding_text())
     embedded = (unique.join(vectors.select("chunk_id", "vec"), "chunk_id", "left") if vectors is not None
                 else embed(with_text, "_embed", **embed_options).drop("_embed"))
-    return Corpus(embedded, bm25_index(unique, rich_text(), staged=staged), all_aliases(unique), keyword_vocab(unique))
+    aliases, vocabulary = all_aliases(unique), keyword_vocab(unique)
+    if staged:
+        aliases, vocabulary = stage(aliases), stage(vocabulary)
+    return Corpus(embedded, bm25_index(unique, rich_text(), staged=staged), aliases, vocabulary)
 
 
 def write_corpus(chunks: DataFrame, path: str, **embed_options) -> None:

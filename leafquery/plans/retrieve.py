@@ -23,7 +23,9 @@ MAX_SEARCH_K = max(max(s[1], s[2]) for s in fv.STRATEGIES)
 
 def prepared(queries: DataFrame, corpus: Corpus) -> DataFrame:
     """Questions with metadata, strategy and the filters the strategy lets through."""
-    q = choose_strategy(understand(queries, corpus.aliases))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    # few bytes but much work per question: a fixed count of partitions is not merged away
+    q = choose_strategy(understand(queries.repartition(cores), corpus.aliases))
     return q.select(*[F.when(F.col("use_filter"), F.col(c)).alias(c) if c in FILTERS else F.col(c) for c in q.columns])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafquery.functions.staging import stage
 from leafquery.operators import (bm25 as BM, context as CX, dense as D, fuse as FU, pool as PO, rerank as RR,
                                  reuse as RE, understand as U, vocab as K)
 from leafquery.operators.ranking import by_score, top_k
@@ -365,7 +366,7 @@ def _(spark, sf):
 def corpus(spark, sf):
     ch = BM.searchable(chunks(spark, sf))
     vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    return Corpus(ch.join(vec, "doc_id", "left"), BM.bm25_index(ch, BM.rich_text(), staged=True), K.all_aliases(ch), K.keyword_vocab(ch))
+    return Corpus(ch.join(vec, "doc_id", "left"), BM.bm25_index(ch, BM.rich_text(), staged=True), stage(K.all_aliases(ch)), K.keyword_vocab(ch))
 
 
 _WITH_FILTER = FILTER_SQL.replace("f_department is null", "not aq.uf or f_department is null").replace(
