@@ -32,6 +32,12 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.where(n > 0, n, 1.0)
 
 
+def _ids(values: list) -> pd.Series:
+    """Integers as they are, anything else as plain objects: string arrays of several chunks cannot be sent back."""
+    numeric = bool(values) and isinstance(values[0], (int, np.integer))
+    return pd.Series(values, dtype=np.int64 if numeric else object)
+
+
 def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     """Top k corpus rows of the block for every question with the same group and matching filters."""
     out_q, out_c, out_s = [], [], []
@@ -66,9 +72,9 @@ def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
                     cand = np.flatnonzero((score[r] >= floor[r]) & ok[r])
                     cand = cand[np.argsort(-score[r, cand], kind="stable")][:k]
                     out_q.extend([q_ids[qi[r]]] * len(cand))
-                    out_c.extend(c_ids[ci[cand]])
+                    out_c.extend(c_ids[ci[cand]].tolist())
                     out_s.extend(score[r, cand])
-    return pd.DataFrame({"qid": out_q, "cid": out_c, "score": np.asarray(out_s, dtype=np.float64)})
+    return pd.DataFrame({"qid": _ids(out_q), "cid": _ids(out_c), "score": np.asarray(out_s, dtype=np.float64)})
 
 
 def _reduce(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
@@ -202,12 +208,12 @@ def max_similarity(queries: DataFrame, prototypes: DataFrame, classes: tuple[str
     id_type = queries.schema[query_id].dataType
     asked = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("qid"), F.col(query_vec).alias("vec"))
     if len(block) > broadcast_rows:
-        by_class = asked.select("qid", "vec", F.explode(F.array(*[F.lit(n) for n in classes])).alias("lvl"))
-        pairs = knn_search(by_class.withColumn("ask", F.struct("qid", "lvl")),
-                           wanted.withColumn("id", F.xxhash64("cls", "vec")).withColumnRenamed("cls", "lvl"), 1,
-                           query_id="ask", chunk_id="id", level="lvl")
-        return pairs.groupBy(F.col("ask.qid").alias(query_id)).agg(*[
-            F.max(F.when(F.col("ask.lvl") == n, F.col("score"))).alias(f"{n}_sim") for n in classes])
+        best = queries.select(query_id)
+        for n, sim in zip(classes, names):
+            of_class = wanted.filter(F.col("cls") == n).withColumn("_id", F.xxhash64("vec"))
+            hits = knn_search(queries, of_class, 1, query_id=query_id, chunk_id="_id", query_vec=query_vec)
+            best = best.join(hits.select(query_id, F.col("score").alias(sim)), query_id, "left")
+        return best
     units = {n: _unit(block.loc[block["cls"] == n, "vec"]) if (block["cls"] == n).any() else None for n in classes}
     shared = queries.sparkSession.sparkContext.broadcast(units)
 
@@ -215,7 +221,7 @@ def max_similarity(queries: DataFrame, prototypes: DataFrame, classes: tuple[str
         for batch in batches:
             if not len(batch):
                 continue
-            unit, out = _unit(batch["vec"]), {"qid": batch["qid"]}
+            unit, out = _unit(batch["vec"]), {"qid": _ids(batch["qid"].tolist())}
             for n in classes:
                 proto = shared.value[n]
                 out[f"{n}_sim"] = None if proto is None else (unit @ proto.T).max(axis=1)

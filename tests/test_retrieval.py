@@ -106,6 +106,32 @@ def test_knn_equals_brute_force(spark, limits):
         assert [i for i, _ in got[qid]] == [i for _, i in ranked]
 
 
+def test_small_batches_of_text_ids(spark):
+    c_rows, corpus = vectors(spark, 60, 1)
+    _, queries = vectors(spark, 25, 2)
+    names = corpus.withColumn("id", F.format_string("c%03d", "id")).coalesce(1)
+    asked = queries.select(F.format_string("q%03d", "id").alias("query_id"), "level", "vec")
+    want = D.knn_search(asked, names, 4, chunk_id="id", level="level").orderBy("query_id", "rank").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = D.knn_search(asked, names, 4, chunk_id="id", level="level").orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == 100
+
+
+def test_prototype_scores_beyond_the_broadcast_size(spark):
+    _, queries = vectors(spark, 20, 2)
+    _, protos = vectors(spark, 40, 3)
+    proto = protos.select(F.when(F.col("id") % 2 == 0, "seat").otherwise("general").alias("class"), "vec")
+    asked = queries.select(F.col("id").alias("query_id"), "vec")
+    both = [D.max_similarity(asked, proto, ("seat", "general"), broadcast_rows=n) for n in (8192, 0)]
+    small, large = ({r.query_id: (r.seat_sim, r.general_sim) for r in df.collect()} for df in both)
+    assert len(small) == 20 and set(small) == set(large)
+    for q, scores in small.items():  # search scores are rounded to six places
+        assert large[q] == pytest.approx(scores, abs=1e-6)
+
+
 def test_semantic_tie_goes_to_the_earliest(spark):
     cache = spark.createDataFrame([(9, "", [1.0, 0.0], "late"), (3, "", [2.0, 0.0], "early"), (1, "h", [1.0, 0.0], "other")],
                                   "seq long, history string, vec array<double>, answer string")
