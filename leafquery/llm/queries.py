@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafquery.llm import decontaminate, jaccard, langid, line_dedup, packing, quality, rules, substrings
+from leafquery.llm import decontaminate, jaccard, langid, licences, line_dedup, packing, pii, quality, rules, substrings
+
+PII_KEY = "key of the registered query"  # a real run passes its own secret
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("row.doc_id", "text", "n_pseudonyms")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = rules.apply_rules(docs, rules.learn_rules(docs, table(spark, sf_dir, "labels")))
@@ -52,6 +59,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).select("row.doc_id", "sentences", "licences")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("row.doc_id", "held_out", "lang_pred", "score")
 
@@ -61,9 +72,11 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
 
