@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -16,44 +19,69 @@ from leafquery.functions.staging import stage
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 OPEN_BINS = 16_384
-_CACHE_WORDS = 300_000
-_IRREGULAR = re.compile(r"^\s|\s$|\s\s")
-_CHUNK = re.compile(r"(?<=\S)(?= \S)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class Memory(dict):
+    """Codes of the last words seen, in two generations of a fixed number of words.
+
+    When the younger is full it becomes the older, and words that come up again move back to the
+    younger. Forgetting a word only costs time.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def learn(self, words: list[str], encode: Callable[[list[str]], Iterable[bytes]]) -> None:
+        """Hold all of ``words``; ``encode`` gives the codes of those that are new."""
+        new = set(filterfalse(self.__contains__, words))
+        if len(self) + len(new) > self.most:
+            self.older = dict(self)
+            self.clear()
+            new = set(words)
+        again = new.intersection(self.older)
+        self.update((w, self.older[w]) for w in again)
+        new = list(new - again)
+        self.update(zip(new, encode(new)))
+
+
 class Encoder:
-    """Ids of whole texts, encoded word by word and remembered.
+    """Ids of whole texts, encoded in parts that are remembered.
 
     A single space between two other characters always begins a new pre-token of this tokenizer, so
-    the parts between such spaces are encoded on their own with equal result. The memory holds a
-    fixed number of words and is emptied when full; this only costs time.
+    the parts between such spaces are encoded on their own with equal result.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.words = Memory(600_000)  # after a space
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """The text cut at spaces between two other characters; the spaces themselves are left out."""
+        runs = text.split()
+        if len(text) - len("".join(runs)) == len(runs) - 1:  # no white space but single, inner ones
+            return text.split(" ")
+        return _CUT.split(text)
+
+    def _codes(self, texts: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in codes]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = []
-        for text in texts:
-            if _IRREGULAR.search(text):
-                parts.append(_CHUNK.split(text))
-            else:
-                words = text.split(" ")
-                parts.append([words[0], *[" " + w for w in words[1:]]])
-        known = self.known
-        new = [w for w in set().union(*parts) if w not in known]
-        if len(known) + len(new) > _CACHE_WORDS:
-            known.clear()
-            new = list(set().union(*parts))
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in parts]
+        parts = [self.split(text) for text in texts]
+        heads = self._codes([words[0] for words in parts])
+        tails = [words[1:] for words in parts]
+        self.words.learn(list(chain.from_iterable(tails)), lambda new: self._codes([" " + w for w in new]))
+        get = self.words.__getitem__
+        return [head + b"".join(map(get, words)) for head, words in zip(heads, tails)]
 
 
 def encoder(path: str | None) -> Encoder:
