@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafquery.functions import vectors as V
+from leafquery.functions import fixed_values as fv, vectors as V
 from leafquery.functions.text import strip
 from leafquery.operators import chunks as C, embed as E, sections as S, vocab as K
 from leafquery.plans import ingest as P
@@ -12,6 +12,7 @@ from leafquery.sources import pages as SP, tables as ST
 
 from . import fixtures as fx
 from .fixtures import CHUNKS_SQL, PAGES_SQL, chunks, pages, shown, shown_sql, table
+from .patterns import bounded, contains_any, first_name
 
 QUERIES, SQL = {}, {}
 TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
@@ -130,38 +131,29 @@ def _(spark, sf):
                                       shown(h["heading_leaf"], "heading_leaf"), h["heading_depth"].alias("heading_depth"))
 
 
-@query("classify_section", SECTIONS_SQL + """ select doc_id, page_no, md5(text) as md5, case
- when regexp_matches(lower(text), 'faculty|chairperson|chairman|dean|professor|lecturer|staff') then 'faculty'
- when regexp_matches(lower(text), 'curriculum|course|subjects|semester|credit|scheme of study|syllabus') then 'curriculum'
- when regexp_matches(lower(text), 'fee|tuition|admission charges|dues|payment|challan|hostel charges') then 'fees'
- when regexp_matches(lower(text), 'eligibility|criteria|requirements') then 'eligibility'
- when regexp_matches(lower(text), 'scholarship|financial aid|assistance|bursary') then 'scholarships'
- when regexp_matches(lower(text), 'lab|facilities|workshop') then 'laboratories'
- when regexp_matches(lower(text), 'admission|apply|application|prospectus|intake|deadline|merit|aggregate|seat|allocation|quota') then 'admission'
- else 'general' end as section from sec""")
+@query("classify_section", SECTIONS_SQL + f""" select doc_id, page_no, md5(text) as md5,
+ {first_name("lower(text)", fv.DOCUMENT_SECTIONS, "general")} as section from sec""")
 def _(spark, sf):
     return sections(spark, sf).select("doc_id", "page_no", F.md5("text").alias("md5"),
                                       S.classify_section(F.col("text")).alias("section"))
 
 
-CODE = r"(?:^|[^\p{L}\p{N}_])([A-Z]{2,5}\s*-?\s*\d{2,4})(?:$|[^\p{L}\p{N}_])"
+CODE = bounded(fv.COURSE_PATTERN, capture=True)
 
 
 @query("classify_content", SECTIONS_SQL + f""" select doc_id, page_no, md5(text) as md5, case when not contains(text, '|') then 'text'
  when regexp_matches(text, '{CODE}') then 'curriculum_table'
- when regexp_matches(lower(text), 'fee|tuition|charges|rs\\.') then 'fee_table' else 'table' end as content_type from sec""")
+ when {contains_any("lower(text)", fv.FEE_TABLE_WORDS)} then 'fee_table' else 'table' end as content_type from sec""")
 def _(spark, sf):
     return sections(spark, sf).select("doc_id", "page_no", F.md5("text").alias("md5"),
                                       S.classify_content(F.col("text")).alias("content_type"))
 
 
-PERSON = r"(?i)(?:Prof\.?|Professor|Dr\.?|Engr\.?|Mr\.?|Mrs\.?|Ms\.?)\s+[A-Z][A-Za-z\.\s]+"
-DESIGNATION = (r"(?i)(?:^|[^\p{L}\p{N}_])(Chairperson|Chairman|Chairwoman|Co-?Chairperson|Dean|Director|Coordinator|Advisor|"
-               r"Professor|Associate\s+Professor|Assistant\s+Professor|Lecturer|Instructor|Faculty\s+Member)(?:$|[^\p{L}\p{N}_])")
+PERSON, DESIGNATION = fv.PERSON_PATTERN, bounded(fv.DESIGNATION_PATTERN)
 
 
 @query("first_match_fields", SECTIONS_SQL + f""" select doc_id, page_no, md5(text) as md5,
- coalesce(nullif(regexp_extract(text, '(?i)semester\\s*[-:=]?\\s*(\\d+)', 1), ''), 'NULL') as semester,
+ coalesce(nullif(regexp_extract(text, '{fv.SEMESTER_PATTERN}', 1), ''), 'NULL') as semester,
  coalesce(nullif(trim(regexp_extract(text, '{CODE}', 1), {TRIM}), ''), 'NULL') as course_code,
  coalesce(nullif(trim(regexp_extract(text, '{PERSON}', 0), {TRIM}), ''), 'NULL') as person_name,
  coalesce(nullif(trim(regexp_extract(text, '{DESIGNATION}', 1), {TRIM}), ''), 'NULL') as designation from sec""")
@@ -170,8 +162,7 @@ def _(spark, sf):
     return sections(spark, sf).select("doc_id", "page_no", F.md5("text").alias("md5"), *[shown(c, n) for n, c in f.items()])
 
 
-PROGRAM = (r"(?i)(?:^|[^\p{L}\p{N}_])(Bachelor\s+of\s+[^\n#]+|Master\s+of\s+[^\n#]+|BS\s+[^\n#]+|BE\s+[^\n#]+|MS\s+[^\n#]+|"
-           r"ME\s+[^\n#]+|M\.?Phil\s+[^\n#]+|Ph\.?D\s+[^\n#]+)")
+PROGRAM = bounded(fv.PROGRAM_PATTERN)
 
 
 @query("all_codes_and_programs", SECTIONS_SQL + f""" select doc_id, page_no, md5(text) as md5,
@@ -189,11 +180,7 @@ def _exploded(spark, sf, rows, fields):
     return df.select("doc_id", "page_no", *[F.col(f"r.{f}").alias(f) for f in fields])
 
 
-FACULTY_ROW = (r"(?i)(Chairperson|Chairman|Dean|Professor|Associate\s+Professor|Assistant\s+Professor|Lecturer|Instructor)"
-               r"\s*((?:Prof\.?|Professor|Dr\.?|Engr\.?)?[A-Z][A-Za-z.\s]{1,40})")
-COURSE_ROW = (r"(?i)([A-Z]{2,5}\s*-?\s*\d{2,4}).{1,100}?(.{1,100}?).{1,50}?"
-              r"(\d-\d-\d|NC-NC-NC|\d\s*\(\s*\d\s*,\s*\d\s*\))")
-FEE_ROW = r"(?i)(.{1,100}?)(?:Rs\.?|PKR|Rupees|RS)\s*([0-9,]{1,20})"
+FACULTY_ROW, COURSE_ROW, FEE_ROW = fv.FACULTY_ROW_PATTERN, fv.COURSE_ROW_PATTERN, fv.FEE_ROW_PATTERN
 
 
 def _row_sql(pattern, names, stripped=()):
@@ -220,8 +207,7 @@ def _(spark, sf):
         "amount_number", shown(S.fee_amount(F.col("amount")), "x"))
 
 
-DEPT_RE = r"(?i)(?:Department\s+of\s+|Dept\s*\.\s*of\s+)([^\n#]+)"
-FAC_RE = r"(?i)(?:Faculty\s+of\s+|School\s+of\s+|College\s+of\s+)([^\n#]+)"
+DEPT_RE, FAC_RE = fv.DEPARTMENT_PATTERN, fv.FACULTY_PATTERN
 
 
 def _cap(pattern):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafquery.functions import fixed_values as fv
 from leafquery.operators import history as H, understand as U, vocab as K
 
 from .fixtures import CHUNKS_SQL, QUESTIONS_SQL, chunks, questions, shown, shown_sql, table, turns
 from leafquery.functions.text import expand_abbreviations, tokenize
-from .ingest_queries import PERSON, SQL as INGEST_SQL, TRIM
+from .ingest_queries import SQL as INGEST_SQL, TRIM
+from .patterns import AFTER as E, BEFORE as B, WORD as N, any_of, bounded, contains_any, first_name, values
 
 QUERIES, SQL = {}, {}
-B, E, N = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])", r"[\p{L}\p{N}_]"
 QS = f"with q as {QUESTIONS_SQL}"
 
 
@@ -31,10 +32,7 @@ def scalar(name: str, sql_cols: dict[str, str], spark_cols):
         shown(c, n) for n, c in spark_cols().items()]))
 
 
-SYNONYM_CASES = " ".join(f"when '{a}' then '{b}'" for a, b in (
-    ("chairman", "chairperson"), ("chairwoman", "chairperson"), ("chair", "chairperson"), ("programme", "program"),
-    ("laboratory", "lab"), ("dept", "department"), ("postgrad", "postgraduate"), ("pg", "postgraduate"),
-    ("undergrad", "undergraduate"), ("ug", "undergraduate")))
+SYNONYM_CASES = " ".join(f"when '{a}' then '{b}'" for a, b in fv.SYNONYMS.items())
 
 
 def tokens_sql(text: str) -> str:
@@ -53,10 +51,8 @@ scalar("expand_abbreviations",
        {"expanded": f"md5(regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}_])(?i:phd)($|[^\\p{{L}}\\p{{N}}_])', '\\1doctor of philosophy\\2', 'g'))"},
        lambda: {"expanded": F.md5(expand_abbreviations(F.col("text"), {"phd": "doctor of philosophy"}))})
 
-PG = rf"{B}(?:postgrad|postgraduate|masters?|phd|ph\.d|ms|doctorate|m\.engg|mem|m\.arch|murp){E}|{B}(?:m\.e\.|m\.s\.|m\.c\.s\.){N}"
-UG = rf"{B}(?:undergrad|undergraduate|bs|dae|intermediate|hsc|matric){E}|{B}b\.e\.{N}"
-PG_OPEN = rf"{B}postgrad|" + PG
-UG_OPEN = rf"{B}undergrad|" + UG
+PG, UG = any_of(fv.PG_PATTERNS), any_of(fv.UG_PATTERNS)
+PG_OPEN, UG_OPEN = any_of(fv.PG_PATTERNS_OPEN), any_of(fv.UG_PATTERNS_OPEN)
 
 scalar("academic_level", {"is_pg": f"regexp_matches(lower(text), '{PG}')", "is_ug": f"regexp_matches(lower(text), '{UG}')"},
        lambda: U.academic_level(F.col("text")))
@@ -99,25 +95,15 @@ def _(spark, sf):
     return found.select("query_id", *[shown(k, k) for k in ("department", "faculty", "program", "designation")])
 
 
-SECTION_SQL = """case when regexp_matches(lower(text), 'faculty|chairperson|chairman|co chairman|dean|director|advisor|coordinator|professor|lecturer|instructor') then 'faculty'
- when regexp_matches(lower(text), 'curriculum|scheme of study|semester|course|subjects|credit hours') then 'curriculum'
- when regexp_matches(lower(text), 'fee|tuition|security|challan|dues') then 'fees'
- when regexp_matches(lower(text), 'eligibility|eligible') then 'eligibility'
- when regexp_matches(lower(text), 'admission|apply|application|merit|aggregate|seat|allocation|quota') then 'admission'
- when regexp_matches(lower(text), 'scholarship|financial assistance') then 'scholarship'
- when regexp_matches(lower(text), 'lab') then 'laboratory' end"""
-ENTITY_SQL = """case when regexp_matches(lower(text), 'chairperson|chairman|head') then 'chairperson' when regexp_matches(lower(text), 'co chairman') then 'co-chairperson'
- when contains(lower(text), 'dean') then 'dean' when contains(lower(text), 'director') then 'director' when contains(lower(text), 'professor') then 'professor'
- when contains(lower(text), 'lecturer') then 'lecturer' when regexp_matches(lower(text), 'course|subject') then 'course' end"""
-_SEM = r"(?i)(?:semester\s*(\d+)|(\d+)(?:st|nd|rd|th)?\s*semester)"
-_NUMBERS = dict(zip("first one second two third three fourth four fifth five sixth six seventh seven eighth eight ninth nine tenth ten eleventh eleven twelfth twelve".split(),
-                    [n for i in range(1, 13) for n in (i, i)]))
+SECTION_SQL = first_name("lower(text)", fv.QUESTION_SECTIONS)
+ENTITY_SQL = first_name("lower(text)", fv.QUESTION_ENTITIES)
+_SEM = fv.QUESTION_SEMESTER_PATTERN
 SEMESTER_SQL = (f"case when regexp_matches(text, '{_SEM}') then cast(coalesce(nullif(regexp_extract(text, '{_SEM}', 1), ''), regexp_extract(text, '{_SEM}', 2)) as int) "
-                + " ".join(f"when regexp_matches(lower(text), '{B}{w}\\s+semester{E}|{B}semester\\s+{w}{E}') then {n}" for w, n in _NUMBERS.items()) + " end")
-YEAR_SQL = f"nullif(lower(regexp_extract(text, '(?i){B}(first|1st|second|2nd|third|3rd|fourth|4th|final)\\s+year{E}', 1)), '')"
-COURSE_SQL = f"nullif(regexp_extract(lower(text), '(?i){B}([A-Z]{{2,5}}\\s*-?\\s*\\d{{2,4}}){E}', 1), '')"
-PERSON_SQL = f"nullif(trim(regexp_extract(lower(text), '{PERSON}', 0), {TRIM}), '')"
-FEE_SQL = ("case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for w in ("tuition", "security", "admission", "hostel")) + " end")
+                + " ".join(f"when regexp_matches(lower(text), '{B}{w}\\s+semester{E}|{B}semester\\s+{w}{E}') then {n}" for w, n in fv.NUMBER_WORDS.items()) + " end")
+YEAR_SQL = f"nullif(lower(regexp_extract(text, '{bounded(fv.YEAR_PATTERN)}', 1)), '')"
+COURSE_SQL = f"nullif(regexp_extract(lower(text), '{bounded(fv.QUESTION_COURSE_PATTERN, capture=True)}', 1), '')"
+PERSON_SQL = f"nullif(trim(regexp_extract(lower(text), '{fv.PERSON_PATTERN}', 0), {TRIM}), '')"
+FEE_SQL = first_name("lower(text)", {w: [w] for w in fv.FEE_TYPES})
 
 scalar("detect_section", {"section": SECTION_SQL}, lambda: {"section": U.detect_section(F.col("text"))})
 scalar("detect_entity", {"entity": ENTITY_SQL}, lambda: {"entity": U.detect_entity(F.col("text"))})
@@ -142,12 +128,7 @@ def _(spark, sf):
     return u.select("query_id", *[shown(f, f) for f in FILTERS])
 
 
-STRATEGY_SQL = """st(strategy, dense_k, sparse_k, rerank_k, es, ep, et, uf) as (values ('faculty', 10, 10, 10, true, true, false, true),
- ('curriculum', 10, 12, 10, true, false, true, true), ('fees', 10, 12, 10, true, false, true, true),
- ('eligibility', 8, 8, 8, false, false, false, true), ('admission', 10, 10, 8, false, false, false, true),
- ('scholarship', 8, 8, 8, true, false, false, true), ('laboratory', 8, 8, 8, true, false, false, true),
- ('person', 5, 5, 5, false, true, false, true), ('course', 3, 3, 3, false, false, true, true),
- ('semester_or_year', 5, 5, 5, true, false, true, true), ('default', 8, 8, 8, false, false, false, false)),
+STRATEGY_SQL = f"""st(strategy, dense_k, sparse_k, rerank_k, es, ep, et, uf) as (values {values(fv.STRATEGIES)}),
  sg as (select uf.*, st.* from uf join st on st.strategy = case when section is not null then section when person_name is not null then 'person'
   when course_code is not null then 'course' when semester is not null or year_level is not null then 'semester_or_year' else 'default' end)"""
 
@@ -159,9 +140,8 @@ def _(spark, sf):
                     F.col("expand_page").alias("ep"), F.col("expand_table").alias("et"), F.col("use_filter").alias("uf"))
 
 
-SEAT_WORDS = "seat seats eats quota intake capacity strength vacancy vacancies allocation distribution matrix".split() + ["batch size"]
-KEYWORD_SQL = "least((" + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in SEAT_WORDS) + ") / 2.0, 1.0)"
-SEAT_RE = "how many.*students|how many.*seat|seat.*available|available.*seat|total.*seat|seat.*matrix|seat.*distribution|intake|capacity|quota"
+KEYWORD_SQL = "least((" + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in fv.SEAT_KEYWORDS) + ") / 2.0, 1.0)"
+SEAT_RE = "|".join(fv.SEAT_PATTERNS)
 scalar("seat_keyword_score", {"score": f"cast({KEYWORD_SQL} as double)"}, lambda: {"score": U.seat_keyword_score(F.col("text"))})
 scalar("seat_regex_score", {"score": f"cast(regexp_matches(lower(text), '{SEAT_RE}') as int)"},
        lambda: {"score": U.seat_regex_score(F.col("text"))})
@@ -197,13 +177,10 @@ def _(spark, sf):
     return s.select("query_id", F.round("seat_sim", 6).alias("seat_sim"), F.round("general_sim", 6).alias("general_sim"))
 
 
-STRONG = "['seat','seats','eats','sats','seates','quota','vacancy','vacancies','allocation','distribution','matrix']"
-RAG = ("['department','dept','fees','fee','eligibility','eligible','admission','admissions','program','course','syllabus','curriculum',"
-       "'merit','aggregate']")
 INTENT_SQL = f"""{SIM_SQL}, vo as ({INGEST_SQL['keyword_vocab'].replace(' union select lang from documents', '')}),
  ws as (select query_id, list_distinct(string_split_regex(regexp_replace(trim(lower(text), {TRIM}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+')) as w from q),
  kn as (select distinct query_id from (select query_id, unnest(w) as word from ws) join vo using (word)),
- it as (select q.*, case when list_has_any(w, {STRONG}) then 'SEAT' when list_has_any(w, {RAG}) or kn.query_id is not null then 'RAG'
+ it as (select q.*, case when list_has_any(w, {fv.SEAT_STRONG_WORDS}) then 'SEAT' when list_has_any(w, {fv.RAG_WORDS}) or kn.query_id is not null then 'RAG'
   when round({KEYWORD_SQL} * 0.25 + cast(regexp_matches(lower(text), '{SEAT_RE}') as int) * 0.25 + seat_sim * 0.5, 6) > 0.72 then 'SEAT'
   when round(general_sim, 6) > 0.82 then 'GENERAL' else 'RAG' end as intent
   from q join ws using (query_id) left join sims using (query_id) left join kn using (query_id))"""
@@ -241,14 +218,9 @@ def _(spark, sf):
     return U.route_seat(q, status(spark, sf)).select("query_id", "intent", shown("seat_route", "seat_route"))
 
 
-CONTEXTUAL = "it its they them that those this these he she his her same above previous earlier former latter him himself herself themselves".split()
-CONTINUATION = ("fee fees eligibility criteria requirements dean syllabus courses duration seats seat apply admission admissions cutoff merit "
-                "electronic electronics computer software mechanical electrical civil petroleum telecommunication telecommunications biomedical "
-                "industrial manufacturing textile architecture automotive marine materials metallurgical chemical polymer math mathematics physics "
-                "chemistry english linguistics economics finance environmental earthquake coastal urban chairperson chairman chairwoman chair").split()
 _WORDS = f"regexp_extract_all(lower(text), '{N}+')"
-REWRITE_SQL = f"""len({_WORDS}) > 0 and (list_has_any({_WORDS}, {CONTEXTUAL}) or (len({_WORDS}) <= 3 and list_has_any({_WORDS}, {CONTINUATION}))
- or regexp_matches(trim(lower(text), {TRIM}), '^(what about|how about|what of|how of|what for|how for|and |also |then |but )')
+REWRITE_SQL = f"""len({_WORDS}) > 0 and (list_has_any({_WORDS}, {fv.CONTEXTUAL_WORDS}) or (len({_WORDS}) <= 3 and list_has_any({_WORDS}, {fv.CONTINUATION_WORDS}))
+ or regexp_matches(trim(lower(text), {TRIM}), '^({"|".join(fv.FOLLOWUP_PREFIXES)})')
  or (len({_WORDS}) <= 3 and regexp_matches(trim(lower(text), {TRIM}), '\\?$')))"""
 scalar("needs_rewrite", {"needs_rewrite": REWRITE_SQL}, lambda: {"needs_rewrite": U.needs_rewrite(F.col("text"))})
 
@@ -257,7 +229,7 @@ scalar("is_identity_question",
        lambda: {"is_identity": U.is_identity_question(F.col("text"))})
 
 scalar("clean_rewrite",
-       {"cleaned": f"""md5(coalesce(nullif(regexp_replace(replace(replace(trim(concat(' "Rewritten Query: ', case when turn = 0 then '' else text end, '" '), {TRIM}), '"', ''), '''', ''), '(?i)^rewritten query:\\s*', ''), ''), text))"""},
+       {"cleaned": f"""md5(coalesce(nullif(regexp_replace(replace(replace(trim(concat(' "Rewritten Query: ', case when turn = 0 then '' else text end, '" '), {TRIM}), '"', ''), '''', ''), '{fv.REWRITE_PREFIX_PATTERN}', ''), ''), text))"""},
        lambda: {"cleaned": F.md5(U.clean_rewrite(F.concat(F.lit(' "Rewritten Query: '), F.when(F.col("turn") == 0, "").otherwise(F.col("text")),
                                                           F.lit('" ')), F.col("text")))})
 
