@@ -9,7 +9,7 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,12 +41,18 @@ def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
 
 
 # --- uploads ----------------------------------------------------------------
+UPLOAD_SCHEMA = T.StructType([*PAGE_SCHEMA.fields, T.StructField("upload_id", T.LongType()),
+                              T.StructField("upload_pages", T.LongType())])
+
+
 def read_uploads(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int = 64) -> DataFrame:
-    return (spark.readStream.schema(PAGE_SCHEMA).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path))
+    """Pages as they arrive. Each names its upload and how many pages that has, in any number of files."""
+    return (spark.readStream.schema(UPLOAD_SCHEMA).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path))
 
 
-def _log_status(levels: DataFrame, path: str, batch_id: int, step: int, status: str, error: str | None = None) -> None:
-    (levels.select("academic_level", F.lit(status).alias("ingestion_status"),
+def _log_status(levels: DataFrame, path: str, batch_id: int, step: int, status: Column | str, error: str | None = None) -> None:
+    status = F.lit(status) if isinstance(status, str) else status
+    (levels.select("academic_level", status.alias("ingestion_status"),
                    F.lit(error).cast("string").alias("ingestion_error"), F.lit(batch_id).cast("long").alias("batch_id"),
                    F.lit(step).alias("step"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "step").parquet(path))
@@ -62,19 +68,40 @@ def current_status(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_ingest(pages: DataFrame, chunks_path: str, status_path: str, checkpoint: str, available_now: bool = False,
                   **chunk_options) -> StreamingQuery:
-    """A newly arrived document replaces its level; the status goes processing -> completed or failed."""
+    """A complete upload replaces its level; the status goes processing -> completed or failed.
+
+    An upload may arrive over any number of micro-batches: its pages are gathered beside the checkpoint,
+    one folder for each batch (written anew when a batch is replayed), and its level is replaced by the
+    batch that brings its last page. Of several complete uploads of a level the one with the largest
+    upload_id counts. A failure to build the chunks is logged in full and raised, so that the batch is
+    tried again.
+    """
+    gathered = f"{checkpoint}-pages"
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        levels = batch.select("academic_level").distinct().persist()
+        spark = batch.sparkSession
+        write_batch(batch, gathered, batch_id)
+        kept = spark.read.schema(T.StructType([*UPLOAD_SCHEMA.fields, T.StructField("batch_id", T.LongType())])).parquet(gathered)
+        touched = kept.filter(F.col("batch_id") == batch_id).select("academic_level", "upload_id").distinct()
+        uploads = (kept.filter(F.col("batch_id") <= batch_id).groupBy("academic_level", "upload_id")
+                   .agg(F.count("*").alias("here"), F.max("upload_pages").alias("pages"))
+                   .join(touched, ["academic_level", "upload_id"], "left_semi"))
+        ready = (uploads.filter("here >= pages").groupBy("academic_level").agg(F.max("upload_id").alias("upload_id")))
+        levels = (touched.select("academic_level").distinct().join(ready, "academic_level", "left")).persist()
         try:
             if levels.isEmpty():
                 return
             _log_status(levels, status_path, batch_id, 0, "processing")
+            complete = levels.filter("upload_id is not null")
+            if complete.isEmpty():
+                return
             try:
-                replace_level(chunks_of_pages(batch, **chunk_options), chunks_path)
-            except Exception as error:  # recorded for the level; later uploads go on
-                _log_status(levels, status_path, batch_id, 1, "failed", str(error)[:1000])
-            else:
-                _log_status(levels, status_path, batch_id, 1, "completed")
+                own = kept.filter(F.col("batch_id") <= batch_id).join(complete, ["academic_level", "upload_id"], "left_semi")
+                replace_level(chunks_of_pages(own.select(*PAGE_SCHEMA.names), **chunk_options), chunks_path)
+            except Exception as error:
+                _log_status(complete, status_path, batch_id, 1, "failed", str(error))
+                raise
+            _log_status(complete, status_path, batch_id, 1, "completed")
         finally:
             levels.unpersist()
 
@@ -136,22 +163,21 @@ def stream_exact_reuse(questions: DataFrame, watermark: str = "1 hour", ttl_ms:
 
     questions: key, query_id, ts, answer (of the generator, NULL if there is none yet). The state of a
     key is one answer, dropped ``ttl_ms`` of event time after its last question; a global cap could
-    not be partitioned. Inside one micro-batch the order is that of query_id.
+    not be partitioned. Inside one micro-batch the order is that of query_id, over all its rows of a key.
     """
     def reuse(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        known, latest = (state.get[0] if state.exists else None), None
-        for batch in batches:
-            latest = _later(latest, batch["ts"])
-            batch = batch.sort_values("query_id")
-            answers, hits = [], []
-            for given in batch["answer"]:
-                hits.append(known is not None)
-                known = given if known is None else known
-                answers.append(known)
-            yield pd.DataFrame({"key": key[0], "query_id": batch["query_id"].to_numpy(), "answer": answers, "hit": hits})
+        known = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("query_id")
+        latest = _later(None, rows["ts"])
+        answers, hits = [], []
+        for given in rows["answer"]:
+            hits.append(known is not None)
+            known = given if known is None else known
+            answers.append(known)
+        yield pd.DataFrame({"key": key[0], "query_id": rows["query_id"].to_numpy(), "answer": answers, "hit": hits})
         if known is not None:
             state.update((known,))
             _keep_for(state, latest, ttl_ms)
@@ -162,34 +188,36 @@ def stream_exact_reuse(questions: DataFrame, watermark: str = "1 hour", ttl_ms:
 
 
 HISTORY_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
-                               T.StructField("history", T.StringType()), T.StructField("n_turns", T.IntegerType())])
+                               T.StructField("history", T.StringType()), T.StructField("n_turns", T.IntegerType()),
+                               T.StructField("late", T.BooleanType())])
 
 
 def stream_history(turns: DataFrame, n: int = fv.PROMPT_TURNS, watermark: str = "1 hour",
                    ttl_ms: int = 3_600_000) -> DataFrame:
-    """(conv_id, turn, history, n_turns): the last ``n`` turns before each arriving turn.
+    """(conv_id, turn, history, n_turns, late): the last ``n`` turns before each arriving turn.
 
-    turns: conv_id, turn, role, text, ts. The state of a conversation is its last ``n`` turns, dropped
-    ``ttl_ms`` of event time after the last one. Turns older than the watermark, or older than
-    one already seen, are dropped.
+    turns: conv_id, turn, role, text, ts. All turns of a conversation in a micro-batch are put in order
+    before they are read. The state is its last ``n`` turns, dropped ``ttl_ms`` of event time after the
+    last one. A turn that is not above those of earlier batches comes out as ``late``, without a history,
+    and changes no state; only turns older than the watermark are dropped, by Spark.
     """
     def remember(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         numbers, lines = (list(x) for x in state.get) if state.exists else ([], [])
-        latest = None
-        for batch in batches:
-            latest, out = _later(latest, batch["ts"]), []
-            for turn, role, text in batch.sort_values("turn")[["turn", "role", "text"]].itertuples(index=False):
-                if numbers and turn <= numbers[-1]:
-                    continue
-                out.append((key[0], int(turn), "\n".join(lines), len(lines)))
-                numbers = (numbers + [int(turn)])[-n:]
-                lines = (lines + [f"{'User' if role == 'user' else 'Assistant'}: {text}"])[-n:]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "history", "n_turns"])
+        rows = pd.concat(list(batches)).sort_values("turn")
+        out = []
+        for turn, role, text in rows[["turn", "role", "text"]].itertuples(index=False):
+            if numbers and turn <= numbers[-1]:
+                out.append((key[0], int(turn), None, None, True))
+                continue
+            out.append((key[0], int(turn), "\n".join(lines), len(lines), False))
+            numbers = (numbers + [int(turn)])[-n:]
+            lines = (lines + [f"{'User' if role == 'user' else 'Assistant'}: {text}"])[-n:]
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "history", "n_turns", "late"]).astype({"n_turns": "Int32"})
         state.update((numbers, lines))
-        _keep_for(state, latest, ttl_ms)
+        _keep_for(state, _later(None, rows["ts"]), ttl_ms)
 
     rows = turns.select("conv_id", "turn", "role", "text", "ts").withWatermark("ts", watermark)
     return rows.groupBy("conv_id").applyInPandasWithState(

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from leafquery.sources import tables as ST
-from leafquery.sources.pages import PAGE_SCHEMA
 from leafquery.streaming import streams as SS
 
 
@@ -35,21 +34,49 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert ST.load_snapshot(spark, str(tmp_path / "none"), cache.schema).count() == 0
 
 
-def test_upload_stream_restarts_without_adding(spark, tmp_path):
+def test_upload_over_many_batches_replaces_its_level_once(spark, tmp_path):
     source, chunks, status, checkpoint = (str(tmp_path / n) for n in ("in", "chunks", "status", "ck"))
-    first = spark.createDataFrame([(1, "undergraduate", 2026, 1, "first"), (2, "postgraduate", 2026, 1, "pg")], PAGE_SCHEMA)
-    first.coalesce(1).write.parquet(source)
+
+    def send(rows):
+        spark.createDataFrame(rows, SS.UPLOAD_SCHEMA).coalesce(1).write.mode("append").parquet(source)
 
     def run():
-        SS.stream_ingest(SS.read_uploads(spark, source), chunks, status, checkpoint, available_now=True).awaitTermination()
-        return sorted((r.academic_level, r.text) for r in spark.read.parquet(chunks).select("academic_level", "text").collect())
-
-    before = run()
-    assert run() == before and len(before) == 2
-    spark.createDataFrame([(3, "undergraduate", 2026, 1, "second")], PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
-    assert run() == [before[0], ("undergraduate", "## Page 1  \nsecond")]
-    assert {r.academic_level: r.ingestion_status for r in SS.current_status(spark, status).collect()} == {
-        "undergraduate": "completed", "postgraduate": "completed"}
+        SS.stream_ingest(SS.read_uploads(spark, source, files_per_batch=1), chunks, status, checkpoint, available_now=True).awaitTermination()
+        texts = sorted((r.academic_level, r.text) for r in spark.read.parquet(chunks).select("academic_level", "text").collect())
+        return texts, {r.academic_level: r.ingestion_status for r in SS.current_status(spark, status).collect()}
+
+    ug, pg = "undergraduate", "postgraduate"
+    send([(1, ug, 2026, 1, "one", 1, 3), (2, pg, 2026, 1, "pg", 1, 1)])
+    send([(1, ug, 2026, 2, "two", 1, 3)])
+    send([(1, ug, 2026, 3, "three", 1, 3)])
+    first = [(pg, "## Page 1  \npg"), (ug, "## Page 1  \none"), (ug, "## Page 2  \ntwo"), (ug, "## Page 3  \nthree")]
+    assert run() == (sorted(first), {ug: "completed", pg: "completed"})
+    assert run() == (sorted(first), {ug: "completed", pg: "completed"})  # a restart adds nothing
+    send([(3, ug, 2026, 1, "new", 2, 2)])
+    assert run() == (sorted(first), {ug: "processing", pg: "completed"})  # not complete: the old level stays
+    send([(3, ug, 2026, 2, "newer", 2, 2)])
+    assert run() == (sorted([first[0], (ug, "## Page 1  \nnew"), (ug, "## Page 2  \nnewer")]), {ug: "completed", pg: "completed"})
+
+
+def test_history_of_many_small_arrow_batches_is_in_order(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    turns = spark.range(60).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+                                   F.concat(F.lit("t"), "id").alias("text"), F.timestamp_seconds(F.col("id") + 1000).alias("ts"))
+    turns.orderBy(F.rand(3)).repartition(3).write.parquet(source)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        SS.run_to_folder(SS.stream_history(spark.readStream.schema(schema).parquet(source), 2), out, checkpoint).awaitTermination()
+        late = spark.createDataFrame([(7, 5, "user", "again")], "conv_id long, turn long, role string, text string")
+        late.withColumn("ts", F.timestamp_seconds(F.lit(1059))).write.mode("append").parquet(source)
+        SS.run_to_folder(SS.stream_history(spark.readStream.schema(schema).parquet(source), 2), out, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.turn, r.history) for r in rows if not r.late) == [
+        (t, "\n".join(f"User: t{k}" for k in range(max(0, t - 2), t))) for t in range(60)]
+    assert [(r.turn, r.history) for r in rows if r.late] == [(5, None)]
 
 
 def test_state_expires_with_event_time(spark, tmp_path):

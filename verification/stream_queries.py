@@ -45,18 +45,26 @@ def replay(spark, df, path, files: int = 2):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("stream_ingest", f"""select academic_level, 'completed' as ingestion_status, count(distinct doc_id) as docs, count(distinct page_no) as pages
- from {PAGES_SQL} group by 1""")
+@query("stream_ingest")
 def _(spark, sf):
     source, chunks_path, status_path, checkpoint = folders(spark, "in", "chunks", "status", "checkpoint")
-    fx.pages(spark, sf).repartition(1).write.parquet(source)
-    ST.stream_ingest(ST.read_uploads(spark, source), chunks_path, status_path, checkpoint, available_now=True).awaitTermination()
+    p = fx.pages(spark, sf)
+    counts = p.groupBy("academic_level").agg(F.count("*").alias("upload_pages"))
+    uploads = p.join(counts, "academic_level").withColumn("upload_id", F.lit(1).cast("long")).select(*ST.UPLOAD_SCHEMA.names)
+    uploads.repartition(3, "doc_id").write.parquet(source)
+    # one file for each batch: a level is complete only with the last
+    ST.stream_ingest(ST.read_uploads(spark, source, files_per_batch=1), chunks_path, status_path, checkpoint,
+                     available_now=True).awaitTermination()
     done = spark.read.parquet(chunks_path).groupBy("academic_level").agg(
         F.countDistinct("doc_id").alias("docs"), F.countDistinct("page").alias("pages"))
     return done.join(ST.current_status(spark, status_path), "academic_level").select(
         "academic_level", "ingestion_status", "docs", "pages")
 
 
+SQL["stream_ingest"] = f"""select academic_level, 'completed' as ingestion_status, count(distinct doc_id) as docs, count(distinct page_no) as pages
+ from {PAGES_SQL} group by 1"""
+
+
 @query("stream_labels", f"""{QS} select query_id, regexp_matches(lower(text), '{PG_OPEN}') as is_pg, regexp_matches(lower(text), '{UG_OPEN}') as is_ug,
  {shown_sql(SECTION_SQL, 'section')}, {shown_sql(ENTITY_SQL, 'entity')}, {shown_sql(SEMESTER_SQL, 'semester')}, {shown_sql(FEE_SQL, 'fee_type')}, {REWRITE_SQL} as needs_rewrite from q""")
 def _(spark, sf):
@@ -98,12 +106,11 @@ def _(spark, sf):
 def _(spark, sf):
     source, out, checkpoint = folders(spark, "in", "out", "checkpoint")
     t = table(spark, sf, "conversations").select("*", clock())
-    # the turns of a conversation arrive in order: early turns in the first files
-    early = t.filter("turn < 2").coalesce(1)
-    early.write.parquet(source)
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # early turns come before the others, in any order over several files of one batch
+    t.filter("turn < 2").repartition(3, "turn", "text").write.parquet(source)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 3).parquet(source)
     ST.run_to_folder(ST.stream_history(stream, 4), out, checkpoint).awaitTermination()
-    t.filter("turn >= 2").coalesce(1).write.mode("append").parquet(source)
+    t.filter("turn >= 2").repartition(3, "turn", "text").write.mode("append").parquet(source)
     # started again from its checkpoint, with the state it left
     ST.run_to_folder(ST.stream_history(stream, 4), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("conv_id", "turn", "n_turns", F.md5("history").alias("md5"))
