@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate results that every executor reaches (``spark.checkpoint.dir``)."""
+    """Folder for intermediate results that every executor reaches (``spark.checkpoint.dir``).
+
+    A folder of our own is made only for a local master; on a cluster the setting is needed, since each
+    machine would write to a disk of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        # a folder of our own only where nothing is configured, as in tests
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafquery-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafquery-"))
     return context.getCheckpointDir()
 
 

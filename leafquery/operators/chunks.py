@@ -186,6 +186,19 @@ def chunk_id() -> Column:
                               F.substring("text", 1, 200)), 256)
 
 
+#: What places a chunk in its document.
+CHUNK_PLACE = ("page_seq", "block_seq", "sec_seq", "header_seq", "chunk_index")
+
+
+def chunk_key() -> Column:
+    """Id of a chunk by its document and place in it, and its whole text: different chunks never share one."""
+    def shown(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("None"))
+
+    return F.sha2(F.concat_ws("|", *[shown(n) for n in ("doc_id", "academic_level", "year", *CHUNK_PLACE)],
+                              F.coalesce("text", F.lit(""))), 256)
+
+
 def ingest_report(pages: DataFrame, sections: DataFrame, chunks: DataFrame,
                   level: str = "academic_level") -> DataFrame:
     """Counts of pages, documents (sections) and chunks per level in one aggregation."""

@@ -74,7 +74,7 @@ def scan_context(rows: DataFrame, strict: bool = False) -> DataFrame:
 
     return found.select(
         *rows.columns,
-        F.regexp_extract("_page", java_regex(fv.PAGE_PATTERN), 1).cast("int").alias("page"),
+        F.regexp_extract("_page", java_regex(fv.PAGE_PATTERN), 1).try_cast("int").alias("page"),
         F.coalesce(last_heading(lambda h: ~about_department(h) & F.contains(F.lower(h), F.lit("faculty")), "Faculty of"),
                    capture("faculty")).alias("faculty"),
         F.coalesce(last_heading(about_department, "Department of"), capture("department")).alias("department"),

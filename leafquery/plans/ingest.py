@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..functions.staging import stage
 from ..operators.bm25 import Bm25Index, bm25_index, rich_text, searchable
-from ..operators.chunks import chunk_id, chunk_sections, embedding_text
+from ..operators.chunks import chunk_id, chunk_key, chunk_sections, embedding_text
 from ..operators.embed import embed
 from ..operators.sections import DOC_KEYS, carry_context, label_sections, split_page_blocks
 from ..operators.vocab import all_aliases, keyword_vocab
@@ -34,9 +34,14 @@ def sections_of_pages(pages: DataFrame, strict: bool = False, staged: bool = Fal
                                         staged=staged))
 
 
-def chunks_of_sections(sections: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
-    """Chunk table in the canonical schema; narrow, nothing is shuffled."""
-    chunks = chunk_sections(sections, size, overlap).withColumn("chunk_id", chunk_id())
+def chunks_of_sections(sections: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP,
+                       short_ids: bool = False) -> DataFrame:
+    """Chunk table in the canonical schema; narrow, nothing is shuffled.
+
+    Ids name the document and the place in it. ``short_ids`` gives the published form (level, year, page,
+    index and the first 200 characters), which several documents may share.
+    """
+    chunks = chunk_sections(sections, size, overlap).withColumn("chunk_id", chunk_id() if short_ids else chunk_key())
     return chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields])
 
 
@@ -55,18 +60,18 @@ class Corpus:
 
 
 def build_corpus(chunks: DataFrame, vectors: DataFrame | None = None, staged: bool = False, **embed_options) -> Corpus:
-    """Corpus tables as plans over ``chunks``. Copies of a chunk id are one chunk.
+    """Corpus tables as plans over ``chunks``, of which every row with a text is kept.
 
     ``staged`` writes postings, aliases and vocabulary once instead of deriving them in each use.
     """
-    unique = searchable(chunks).dropDuplicates(["chunk_id"])
-    with_text = unique.withColumn("_embed", embedding_text())
-    embedded = (unique.join(vectors.select("chunk_id", "vec"), "chunk_id", "left") if vectors is not None
+    kept = searchable(chunks)
+    with_text = kept.withColumn("_embed", embedding_text())
+    embedded = (kept.join(vectors.select("chunk_id", "vec"), "chunk_id", "left") if vectors is not None
                 else embed(with_text, "_embed", **embed_options).drop("_embed"))
-    aliases, vocabulary = all_aliases(unique), keyword_vocab(unique)
+    aliases, vocabulary = all_aliases(kept), keyword_vocab(kept)
     if staged:
         aliases, vocabulary = stage(aliases), stage(vocabulary)
-    return Corpus(embedded, bm25_index(unique, rich_text(), staged=staged), aliases, vocabulary)
+    return Corpus(embedded, bm25_index(kept, rich_text(), staged=staged), aliases, vocabulary)
 
 
 def write_corpus(chunks: DataFrame, path: str, **embed_options) -> None:

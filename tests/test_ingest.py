@@ -180,3 +180,40 @@ def test_chunks_survive_a_json_round_trip(spark, tmp_path):
     assert sorted((r.asDict(True) for r in back.collect()), key=key) == sorted(
         (r.asDict(True) for r in chunks.collect()), key=key)
     assert read_chunks(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_equal_texts_of_two_documents_are_two_chunks(spark):
+    from leafquery.operators.bm25 import searchable
+    from leafquery.plans.ingest import build_corpus, chunks_of_pages
+    from leafquery.sources.pages import PAGE_SCHEMA
+
+    same = "a long beginning " * 20
+    rows = [(d, "undergraduate", 2026, 1, f"{same}{end}") for d, end in ((1, "x"), (2, "x"), (3, "y"))]
+    chunks = chunks_of_pages(spark.createDataFrame(rows, PAGE_SCHEMA), staged=False)
+    assert chunks.count() == 3 == chunks.select("chunk_id").distinct().count()
+    assert build_corpus(chunks).chunks.count() == searchable(chunks).count() == 3
+    short = chunks_of_pages(spark.createDataFrame(rows, PAGE_SCHEMA), staged=False, short_ids=True)
+    assert short.select("chunk_id").distinct().count() == 1
+
+
+def test_long_page_mark_gives_no_page(spark):
+    from leafquery.operators.sections import carry_context
+
+    blocks = spark.createDataFrame([(1, "undergraduate", 2026, 1, "## Page 20260101123456\n\ntext")],
+                                   "doc_id long, academic_level string, year int, page_seq int, text string")
+    assert [r.page for r in carry_context(blocks).collect()] == [None]
+
+
+def test_shared_folder_is_wanted_off_local_masters(monkeypatch):
+    import types
+
+    import pytest
+
+    from leafquery.functions.staging import shared_folder
+
+    class Spark:
+        sparkContext = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+        conf = types.SimpleNamespace(get=lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Spark())
