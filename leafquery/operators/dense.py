@@ -38,9 +38,23 @@ def _ids(values: list) -> pd.Series:
     return pd.Series(values, dtype=np.int64 if numeric else object)
 
 
+_NO_ROWS = np.zeros(0, np.int64)
+
+
+def _rows_of_code(codes: pd.Series) -> dict[int, np.ndarray]:
+    """Rows that have a course code, for each code; made once for a block."""
+    count = np.array([len(x) for x in codes], np.int64)
+    if not count.sum():
+        return {}
+    flat = np.concatenate([np.asarray(x, np.int64) for x in codes])
+    pairs = np.unique(np.stack([flat, np.repeat(np.arange(len(count)), count)]), axis=1)
+    cuts = np.flatnonzero(np.diff(pairs[0])) + 1
+    return {int(pairs[0, a]): pairs[1, a:b] for a, b in zip([0, *cuts], [*cuts, pairs.shape[1]])}
+
+
 def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     """Top k corpus rows of the block for every question with the same group and matching filters."""
-    out_q, out_c, out_s = [], [], []
+    out_q, out_c, out_s, out_raw = [], [], [], []
     if len(q) and len(c):
         c = c.sort_values("cid", kind="stable")
         qv, cv = _unit(q["vec"]), _unit(c["vec"])
@@ -49,7 +63,7 @@ def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
         q_ids, c_ids = q["qid"].to_numpy(), c["cid"].to_numpy()
         q_facets = [q[f"f_{f}"].to_numpy(np.int64) for f in FACETS]
         c_facets = [c[f].to_numpy(np.int64) for f in FACETS]
-        q_code, codes = q["f_code"].to_numpy(np.int64), c["codes"].to_numpy()
+        q_code, rows_of_code = q["f_code"].to_numpy(np.int64), _rows_of_code(c["codes"])
         for g, ci in c_rows.items():
             rows = q_rows.get(g)
             if rows is None:
@@ -57,13 +71,14 @@ def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
             ci = np.asarray(ci)
             for at in range(0, len(rows), _MATMUL_ROWS):
                 qi = rows[at:at + _MATMUL_ROWS]
-                score = np.round(qv[qi] @ cv[ci].T, RANK_DIGITS)
+                raw = qv[qi] @ cv[ci].T
+                score = np.round(raw, RANK_DIGITS)
                 ok = np.ones(score.shape, dtype=bool)
                 for wanted, have in zip(q_facets, c_facets):
                     if wanted[qi].any():
                         ok &= (wanted[qi] == NO_VALUE)[:, None] | (wanted[qi][:, None] == have[ci][None, :])
                 for r in np.flatnonzero(q_code[qi] != NO_VALUE):
-                    ok[r] &= np.fromiter((q_code[qi[r]] in x for x in codes[ci]), dtype=bool, count=len(ci))
+                    ok[r] &= np.isin(ci, rows_of_code.get(q_code[qi[r]], _NO_ROWS), assume_unique=True)
                 score[~ok] = -np.inf
                 n = min(k, score.shape[1])
                 floor = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
@@ -74,7 +89,9 @@ def _best_of_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
                     out_q.extend([q_ids[qi[r]]] * len(cand))
                     out_c.extend(c_ids[ci[cand]].tolist())
                     out_s.extend(score[r, cand])
-    return pd.DataFrame({"qid": _ids(out_q), "cid": _ids(out_c), "score": np.asarray(out_s, dtype=np.float64)})
+                    out_raw.extend(raw[r, cand])
+    return pd.DataFrame({"qid": _ids(out_q), "cid": _ids(out_c), "score": np.asarray(out_s, dtype=np.float64),
+                         "raw": np.asarray(out_raw, dtype=np.float64)})
 
 
 def _reduce(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
@@ -108,7 +125,7 @@ def _corpus_side(corpus: DataFrame, chunk_id: str, vec: str, level: str | None)
 
 def _hit_schema(q: DataFrame, c: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("cid", c.schema["cid"].dataType),
-                         T.StructField("score", T.DoubleType())])
+                         T.StructField("score", T.DoubleType()), T.StructField("raw", T.DoubleType())])
 
 
 def _scan_with_block(q_block: pd.DataFrame, c: DataFrame, k: int, schema: T.StructType) -> DataFrame:
@@ -166,8 +183,10 @@ def knn_search(queries: DataFrame, corpus: DataFrame, k: int | str, k_max: int |
                query_id: str = "query_id", chunk_id: str = "chunk_id", query_vec: str = "vec",
                corpus_vec: str = "vec", level: str | None = None, broadcast_rows: int = BROADCAST_ROWS,
                broadcast_bytes: int = BROADCAST_BYTES, cell_rows: int = CELL_ROWS,
-               cell_queries: int = CELL_QUERIES) -> DataFrame:
-    """(query_id, chunk_id, score, rank): cosine top ``k`` of each question, exact.
+               cell_queries: int = CELL_QUERIES, with_raw: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, rank[, raw]): cosine top ``k`` of each question, exact.
+
+    Scores are rounded so that ranks don't depend on partitions; ``raw`` is the cosine before that.
 
     ``k`` is a number or the name of a per-question column (then ``k_max`` bounds it). A
     question may come once per level it searches. Filter columns f_department, f_section,
@@ -185,7 +204,7 @@ def knn_search(queries: DataFrame, corpus: DataFrame, k: int | str, k_max: int |
         hits = _scan_with_block(block, c, limit, schema)
     else:
         hits = _grid(q, c, limit, schema, cell_rows, cell_queries)
-    hits = hits.select(F.col("qid").alias(query_id), F.col("cid").alias(chunk_id), "score")
+    hits = hits.select(F.col("qid").alias(query_id), F.col("cid").alias(chunk_id), "score", *["raw"] * with_raw)
     ranked = top_k(hits, [query_id], by_score("score", chunk_id), limit)
     if isinstance(k, str):
         ranked = (ranked.join(queries.select(query_id, k).distinct(), query_id)

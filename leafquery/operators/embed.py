@@ -10,6 +10,7 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import fixed_values as fv
@@ -40,8 +41,14 @@ def hashing_encoder(dimension: int = fv.EMBED_DIMENSION) -> Encoder:
 
 def embed(df: DataFrame, text_col: str = "text", vec_col: str = "vec",
           load: Callable[[], Encoder] = hashing_encoder, dimension: int = fv.EMBED_DIMENSION,
-          batch: int = fv.EMBED_BATCH) -> DataFrame:
-    """Add ``vec_col``. A batch whose encoder fails gets zero vectors; so does a NULL text."""
+          batch: int = fv.EMBED_BATCH, on_error: str = "zero", failures: Accumulator | None = None) -> DataFrame:
+    """Add ``vec_col``; a NULL text gets a zero vector.
+
+    A batch whose encoder fails gets zero vectors too and is counted in ``failures`` (texts, by an
+    accumulator of the caller); with ``on_error="fail"`` the job fails instead.
+    """
+    if on_error not in ("zero", "fail"):
+        raise ValueError(f"unknown on_error: {on_error}")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -52,7 +59,11 @@ def embed(df: DataFrame, text_col: str = "text", vec_col: str = "vec",
                 part = texts.iloc[at:at + batch]
                 try:
                     got = np.asarray(encode([t or "" for t in part]), dtype=np.float32)
-                except Exception:  # an unavailable model must not fail the whole job
+                except Exception:
+                    if on_error == "fail":
+                        raise
+                    if failures is not None:
+                        failures.add(len(part))
                     got = np.zeros((len(part), dimension), dtype=np.float32)
                 rows.extend(got)
             yield pd.Series(rows, index=texts.index)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from .ranking import top_k
-from .understand import lookback
+from .understand import lookback, truncated
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -20,11 +20,6 @@ CONTEXT_PROMPT = (
 SEAT_PROMPT = "\n\nAnswer about seats only and leave out every kind of fee."
 
 
-def truncated(role: Column, text: Column, n: int = fv.ASSISTANT_CHARS) -> Column:
-    return F.when((role == "assistant") & (F.length(text) > n),
-                  F.concat(F.substring(text, 1, n), F.lit(fv.TRUNCATION_MARK))).otherwise(text)
-
-
 def truncate_assistant(turns: DataFrame, n: int = fv.ASSISTANT_CHARS) -> DataFrame:
     return turns.withColumn("text", truncated(F.col("role"), F.col("text"), n))
 

@@ -36,9 +36,9 @@ def semantic_lookup(queries: DataFrame, cache: DataFrame, threshold: float = fv.
     queries: query_id, history, vec; cache: seq, history, vec, answer. Many questions share the
     empty history, so that group is searched in blocks and never paired row by row.
     """
-    best = knn_search(queries, cache, 1, chunk_id="seq", level="history", **limits)
+    best = knn_search(queries, cache, 1, chunk_id="seq", level="history", with_raw=True, **limits)
     return (best.drop("rank").join(cache.select("seq", "answer"), "seq")
-            .withColumn("hit", F.col("score") >= threshold)
+            .withColumn("hit", F.col("raw") >= threshold)  # not the rounded score
             .select("query_id", "seq", "score", "answer", "hit"))
 
 

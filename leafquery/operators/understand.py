@@ -28,6 +28,11 @@ def academic_level(text: Column, open_ended: bool = False, loose_degrees: bool =
             "is_ug": matches_any(low, _patterns(ug, loose_degrees))}
 
 
+def truncated(role: Column, text: Column, n: int = fv.ASSISTANT_CHARS) -> Column:
+    return F.when((role == "assistant") & (F.length(text) > n),
+                  F.concat(F.substring(text, 1, n), F.lit(fv.TRUNCATION_MARK))).otherwise(text)
+
+
 def lookback(queries: DataFrame, turns: DataFrame, n: int) -> DataFrame:
     """(query_id, back, role, text) of the ``n`` turns before each question, back = 1 for the newest.
 
@@ -47,7 +52,7 @@ def level_from_history(queries: DataFrame, turns: DataFrame, n: int = fv.LOOKBAC
         c.alias(k) for k, c in academic_level(F.col("text"), open_ended, loose_degrees).items()])
     open_q = own.filter(~F.col("is_pg") & ~F.col("is_ug"))
     back = lookback(open_q, turns, n)
-    level = academic_level(F.col("text"), open_ended, loose_degrees)
+    level = academic_level(truncated(F.col("role"), F.col("text")), open_ended, loose_degrees)
     hits = back.select("query_id", "back", F.when(level["is_pg"], "pg").when(level["is_ug"], "ug").alias("_hit"))
     found = (hits.filter(F.col("_hit").isNotNull()).groupBy("query_id")
              .agg(F.min_by("_hit", "back").alias("_hit")))
@@ -59,7 +64,7 @@ def level_from_history(queries: DataFrame, turns: DataFrame, n: int = fv.LOOKBAC
 def seat_levels(queries: DataFrame, turns: DataFrame, n: int = fv.LOOKBACK_TURNS) -> DataFrame:
     """Seat variant: question and last turns read as one text."""
     history = (lookback(queries, turns, n).groupBy("query_id")
-               .agg(F.array_sort(F.collect_list(F.struct("back", "text"))).alias("_h")))
+               .agg(F.array_sort(F.collect_list(F.struct("back", truncated(F.col("role"), F.col("text")).alias("text")))).alias("_h")))
     text = F.concat_ws(" ", F.col("text"), F.array_join(F.transform("_h", lambda s: s["text"]), " "))
     return queries.join(history, "query_id", "left").select(
         "query_id", *[c.alias(k) for k, c in academic_level(text).items()])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafquery.functions import fixed_values as fv, vectors as V
+from leafquery.functions.staging import shared_folder
 from leafquery.functions.text import strip
 from leafquery.operators import chunks as C, embed as E, sections as S, vocab as K
 from leafquery.plans import ingest as P
@@ -34,6 +37,10 @@ def marked(spark, sf):
                                    SP.page_block(F.col("page_no"), F.col("text")).alias("text"))
 
 
+def new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 MARKED_SQL = (f"(select doc_id, academic_level, year, page_no, concat('## Page ', cast(page_no as string), chr(10), chr(10), "
               f"text) as text from {PAGES_SQL})")
 
@@ -42,10 +49,25 @@ PART_SQL = """select ps_part, count(*) as n_rows, cast(sum(len) as bigint) as n_
  (select concat('p', cast(page_no as string)) as ps_part, length(text) as len from {src}) group by ps_part"""
 
 
-@query("read_pages", "select page_id, url, md5(html) as html_md5, length(html) as n_chars from pages")
+@query("read_pages", f"select doc_id, academic_level, year, page_no, md5(text) as md5 from {PAGES_SQL}")
+def _(spark, sf):
+    path = new_folder(spark)
+    pages(spark, sf).write.parquet(path)
+    return SP.read_pages(spark, path).select("doc_id", "academic_level", "year", "page_no", F.md5("text").alias("md5"))
+
+
+@query("corpus_chunks", f"""select count(*) as n_chunks, count(*) as n_ids, count(distinct doc_id) as n_docs
+ from (select doc_id, text from {CHUNKS_SQL})""")
+def _(spark, sf):
+    kept = P.build_corpus(chunks(spark, sf).withColumn("chunk_id", F.sha2(F.concat_ws("|", "doc_id", "chunk_id"), 256))).chunks
+    return kept.agg(F.count("*").alias("n_chunks"), F.countDistinct("chunk_id").alias("n_ids"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query("export_read_chunks", f"select chunk_id, academic_level, year, md5(text) as md5 from {CHUNKS_SQL}")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", F.md5("html").alias("html_md5"),
-                                            F.length("html").alias("n_chars"))
+    path = new_folder(spark)
+    ST.export_chunks(chunks(spark, sf), path, fmt="json")
+    return ST.read_chunks(spark, path, fmt="json").select("chunk_id", "academic_level", "year", F.md5("text").alias("md5"))
 
 
 def excluded(spark, sf):

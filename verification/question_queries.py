@@ -57,12 +57,15 @@ PG_OPEN, UG_OPEN = any_of(fv.PG_PATTERNS_OPEN), any_of(fv.UG_PATTERNS_OPEN)
 scalar("academic_level", {"is_pg": f"regexp_matches(lower(text), '{PG}')", "is_ug": f"regexp_matches(lower(text), '{UG}')"},
        lambda: U.academic_level(F.col("text")))
 
+TRUNC = (f"case when role = 'assistant' and length(text) > {fv.ASSISTANT_CHARS} then "
+         f"concat(substr(text, 1, {fv.ASSISTANT_CHARS}), '{fv.TRUNCATION_MARK}') else text end")
+
 HISTORY_SQL = f"""{QS}, t as (select q.query_id, q.turn - c.turn as back, c.role, c.text from q join conversations c
   on c.conv_id = q.conv_id and c.turn < q.turn and c.turn >= q.turn - """
 
 
-@query("level_from_history", HISTORY_SQL + f"""4), l as (select query_id, back, case when regexp_matches(lower(text), '{PG_OPEN}') then 'pg'
-  when regexp_matches(lower(text), '{UG_OPEN}') then 'ug' end as hit from t),
+@query("level_from_history", HISTORY_SQL + f"""4), l as (select query_id, back, case when regexp_matches(lower({TRUNC}), '{PG_OPEN}') then 'pg'
+  when regexp_matches(lower({TRUNC}), '{UG_OPEN}') then 'ug' end as hit from t),
  f as (select query_id, arg_min(hit, back) filter (where hit is not null) as hit from l group by 1),
  o as (select query_id, regexp_matches(lower(text), '{PG_OPEN}') as pg, regexp_matches(lower(text), '{UG_OPEN}') as ug from q)
  select query_id, pg or (not pg and not ug and coalesce(hit, '') = 'pg') as is_pg,
@@ -71,7 +74,7 @@ def _(spark, sf):
     return U.level_from_history(questions(spark, sf), turns(spark, sf))
 
 
-@query("seat_levels", HISTORY_SQL + f"""4), h as (select query_id, string_agg(text, ' ' order by back) as past from t group by 1)
+@query("seat_levels", HISTORY_SQL + f"""4), h as (select query_id, string_agg({TRUNC}, ' ' order by back) as past from t group by 1)
  select query_id, regexp_matches(lower(concat_ws(' ', text, past)), '{PG}') as is_pg,
   regexp_matches(lower(concat_ws(' ', text, past)), '{UG}') as is_ug from q left join h using (query_id)""")
 def _(spark, sf):
@@ -234,9 +237,6 @@ scalar("clean_rewrite",
                                                           F.lit('" ')), F.col("text")))})
 
 # --- history ----------------------------------------------------------------
-TRUNC = "case when role = 'assistant' and length(text) > 250 then concat(substr(text, 1, 250), '... [truncated]') else text end"
-
-
 @query("truncate_assistant", f"select conv_id, turn, md5({TRUNC}) as md5 from conversations")
 def _(spark, sf):
     return H.truncate_assistant(turns(spark, sf)).select("conv_id", "turn", F.md5("text").alias("md5"))

@@ -14,7 +14,7 @@ from leafquery.sources import tables as ST
 
 from . import fixtures as fx
 from .fixtures import CHUNKS, CHUNKS_SQL, QUESTIONS_SQL, chunks, questions, shown, shown_sql, table, turns
-from .ingest_queries import TRIM
+from .ingest_queries import new_folder, TRIM
 from .question_queries import (ALIASES_SQL, B, E, N, NAMES_SQL, PG_OPEN, QS, SQL as QSQL, STRATEGY_SQL, UNDERSTOOD_SQL,
                                cosine_sql, tokens_sql, with_vectors)
 
@@ -465,6 +465,17 @@ def _(spark, sf):
 # --- tables -----------------------------------------------------------------
 @query("replace_level", f"""select chunk_id, academic_level, year from {CHUNKS_SQL} where academic_level = 'undergraduate'
  union all select concat(chunk_id, 'n'), academic_level, 2027 from {CHUNKS_SQL} where academic_level = 'postgraduate'""")
+def _(spark, sf):
+    old = chunks(spark, sf).select("chunk_id", "academic_level", "year")
+    new = old.filter("academic_level = 'postgraduate'").select(F.concat("chunk_id", F.lit("n")).alias("chunk_id"), "academic_level",
+                                                               F.lit(2027).alias("year"))
+    path = new_folder(spark)
+    ST.replace_level(old, path)
+    ST.replace_level(new, path)
+    return spark.read.schema(old.schema).parquet(path)
+
+
+@query("replaced_level", SQL["replace_level"])
 def _(spark, sf):
     old = chunks(spark, sf).select("chunk_id", "academic_level", "year")
     new = old.filter("academic_level = 'postgraduate'").select(F.concat("chunk_id", F.lit("n")).alias("chunk_id"), "academic_level",
@@ -472,6 +483,13 @@ def _(spark, sf):
     return ST.replaced(old, new)
 
 
+@query("cache_snapshot", f"""select seq, md5(query) as query_md5, md5(answer) as answer_md5 from {ENTRIES_SQL}""")
+def _(spark, sf):
+    e, path = entries(spark, sf).select("seq", "query", "answer"), new_folder(spark)
+    ST.save_snapshot(e, path)
+    return ST.load_snapshot(spark, path, e.schema).select("seq", F.md5("query").alias("query_md5"), F.md5("answer").alias("answer_md5"))
+
+
 @query("upsert_by_id", """with n as (select md5(text) as id, doc_id as seq, source from documents where doc_id % 2 = 1),
  l as (select id, max(seq) as seq, arg_max(source, seq) as source from n group by 1),
  o as (select md5(text) as id, min(doc_id) as seq, arg_min(source, doc_id) as source from documents where doc_id % 3 = 0 group by 1)
