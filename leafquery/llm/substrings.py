@@ -37,7 +37,7 @@ def minimizers(buf: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     """For each start of a whole string of ``length`` bytes in one document, where its minimizer is; else -1."""
     gram = length // 2
     span, n = length - gram + 1, len(buf)
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     step = _BLOCK - 2 * length
     power, inverse = _powers()
     for s in range(0, n - length + 1, step):
@@ -54,12 +54,19 @@ def minimizers(buf: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
         if width < span:
             h = np.minimum(h[:width - span], h[span - width:])
         out[s:s + len(h)] = s + (h & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    # strings do not cross documents
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    out[np.arange(n) + length > ends] = -1
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        out[max(a, b - length + 1):b] = -1  # strings do not cross documents
     return out
 
 
+def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of each run of strings with one minimizer, those of no string left out."""
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    tails = np.append(heads[1:], len(at)) - 1 if len(at) else heads
+    real = at[heads] >= 0
+    return heads[real], tails[real]
+
+
 def gram_hashes(buf: np.ndarray, places: np.ndarray, gram: int) -> np.ndarray:
     """64-bit hash of the ``gram`` bytes at each place."""
     h = np.zeros(len(places), np.uint64)
@@ -86,8 +93,8 @@ def _repeated_minimizers(rows: DataFrame, length: int, ranges: int) -> DataFrame
             buf, offsets = text_buffer(batch.column(1))
             for a, b in slices(offsets, _CHUNK):
                 own, off = buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                places = np.unique(minimizers(own, off, length))
-                places = places[places >= 0]
+                at = minimizers(own, off, length)
+                places = at[runs(at)[0]].astype(np.int64)  # ascending, since a later string has no earlier minimizer
                 h = gram_hashes(own, places, length // 2)
                 order = np.argsort(h, kind="stable")
                 h, places = h[order], places[order]
@@ -296,9 +303,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_rows: int = BUC
             for k in range(batch.num_rows):
                 buf, offsets = text_buffer(batch.column(1).slice(k, 1))
                 at = minimizers(buf, offsets, length)
-                heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                tails = np.append(heads[1:], len(at)) - 1
-                own = np.isin(at[heads], batch.column(2)[k].values.to_numpy()) & (at[heads] >= 0)
+                heads, tails = runs(at)
+                own = np.isin(at[heads], batch.column(2)[k].values.to_numpy())
                 heads, tails = heads[own], tails[own]
                 text = buf.tobytes()
                 for p, q, m in zip(heads.tolist(), tails.tolist(), at[heads].tolist()):
@@ -307,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_rows: int = BUC
                     two.append(int.from_bytes(digest[8:], "little", signed=True))
                 gram_hash.append(gram_hashes(buf, at[heads], gram).view(np.int64))
                 uid.append(np.full(len(heads), batch.column(0)[k].as_py()))
-                a.append(at[heads])
+                a.append(at[heads].astype(np.int64))
                 first.append(heads)
                 last.append(tails)
             cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (uid, gram_hash, a, first, last)]
