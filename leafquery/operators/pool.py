@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.staging import small_side
 from ..functions.text import text_or_null
 
 
@@ -85,7 +86,8 @@ def order_pool(pool: DataFrame, strict: bool = False) -> DataFrame:
 def related_chunks(requests: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("academic_level",)) -> DataFrame:
     """All chunks of exactly the asked (department, section), NULL matching NULL.
 
-    requests: query_id, academic_level, department, section. Chunks without both are in no group.
+    requests: query_id, academic_level, department, section. Chunks without both are in no group. Texts lie
+    under keys of few values, so they are not shuffled: requests of checked number are broadcast to them.
     """
     def trimmed(name: str) -> Column:
         return F.trim(F.col(name))
@@ -95,4 +97,5 @@ def related_chunks(requests: DataFrame, chunks: DataFrame, keys: tuple[str, ...]
     named = (F.coalesce("department", F.lit("")) != "") | (F.coalesce("section", F.lit("")) != "")
     c = chunks.filter(named).withColumn("_d", F.coalesce(text_or_null(trimmed("department")), F.lit(""))) \
         .withColumn("_s", F.coalesce(text_or_null(trimmed("section")), F.lit("")))
-    return r.join(c, [*keys, "_d", "_s"]).drop("_d", "_s")
+    return c.join(small_side(r), [*keys, "_d", "_s"]).drop("_d", "_s").select(
+        "query_id", *keys, *[x for x in chunks.columns if x not in keys])

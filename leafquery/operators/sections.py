@@ -106,9 +106,12 @@ def carry_context(blocks: DataFrame, keys: tuple[str, ...] = DOC_KEYS, order: tu
                   pages_per_segment: int = 256, strict: bool = False, staged: bool = False) -> DataFrame:
     """Sections of every block with page, faculty, department and program carried across blocks.
 
+    Blocks of a document in parts (``part_no``, as ``assemble_markdown`` makes them) are ordered by part first.
     Each block is scanned as a whole first (row sec_seq = -1), then each of its sections. The scan
     is read twice (values between segments, values inside them); ``staged`` writes it once.
     """
+    in_parts = "part_no" in blocks.columns and "part_no" not in order
+    order = ("part_no", *order) if in_parts else order
     keep = [*keys, *order]
     whole = F.array(F.struct(F.lit(-1).alias("sec_seq"), F.col("text").alias("text")))
     parts = F.transform(heading_sections(F.col("text")),
@@ -118,7 +121,9 @@ def carry_context(blocks: DataFrame, keys: tuple[str, ...] = DOC_KEYS, order: tu
     scanned = scan_context(rows, strict)
     # the whole-block text has done its work; do not shuffle it
     scanned = scanned.withColumn("text", F.when(F.col("sec_seq") >= 0, F.col("text")))
-    scanned = scanned.withColumn("_segment", F.floor(F.col(order[0]) / F.lit(pages_per_segment)))
+    # a part is bounded by itself, pages are put together
+    scanned = scanned.withColumn("_segment", F.col("part_no").cast("long") if in_parts else
+                                 F.floor(F.col(order[0]) / F.lit(pages_per_segment)))
     if staged:
         scanned = stage(scanned)
     filled = carry_forward(scanned, list(keys), "_segment", [*order, "sec_seq"], list(CONTEXT))

@@ -34,3 +34,18 @@ def test_reused_routed_and_prompted(spark):
     assert [m.role for m in three.messages] == ["system", "user", "assistant", "user"]
     assert three.messages[2].content == "x" * 250 + "... [truncated]"
     assert three.messages[-1].content == "what about its fee"
+
+
+def test_rewritten_text_is_searched(spark):
+    from leafquery.plans.answer import rewritten_questions
+
+    rows = [(1, 30, 2, "what about its fee"), (2, 31, 0, "phd fee"), (3, 32, 2, "and its dean?")]
+    q = spark.createDataFrame(rows, "query_id long, conv_id long, turn int, text string")
+    turns = spark.createDataFrame([(30, 1, "user", "tell me about computing")], "conv_id long, turn int, role string, text string")
+
+    def rewriter(asked):
+        return asked.filter("query_id = 1").select("query_id", F.concat(F.lit('"Rewritten query: fee, after '), "transcript", F.lit('"')).alias("rewritten"))
+
+    got = {r.query_id: r.search_text for r in rewritten_questions(q, turns, rewriter, {"phd": "doctorate"}).collect()}
+    assert got == {1: "fee, after User: tell me about computing", 2: "doctorate fee", 3: "and its dean?"}
+    assert {r.query_id: r.search_text for r in rewritten_questions(q, turns).collect()} == {r[0]: r[3] for r in rows}

@@ -145,6 +145,20 @@ def test_parts_of_a_long_document_equal_the_whole(spark):
     assert "\n\n".join(p.text for p in parts) == whole[0].text
 
 
+def test_context_carried_over_parts_equals_page_by_page(spark):
+    from leafquery.operators.sections import carry_context, split_page_blocks
+
+    texts = ["# Department of D1\na", "b", "c", "# Department of D4\nd", "e", "# Department of D6\nf", "g"]
+    pages = spark.createDataFrame([page(1, n, t) for n, t in enumerate(texts, 1)], PAGE_SCHEMA)
+
+    def carried(per_part):
+        out = carry_context(split_page_blocks(assemble_markdown(pages, pages_per_part=per_part)))
+        return sorted((r.page, r.department, r.text) for r in out.collect())
+
+    assert carried(3) == carried(1) == carried(100)
+    assert sorted({(p_, d) for p_, d, _ in carried(3)}) == [(1, "D1"), (2, "D1"), (3, "D1"), (4, "D4"), (5, "D4"), (6, "D6"), (7, "D6")]
+
+
 def test_excluded_pages(spark):
     spec = spark.createDataFrame([(" 2, ,5 ", "undergraduate"), ("1", "postgraduate")], "s string, l string")
     assert [r[0] for r in spec.select(parse_excluded_pages(F.col("s"), F.col("l"))).collect()] == [[2, 5], []]

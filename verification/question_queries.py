@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from leafquery.functions import fixed_values as fv
 from leafquery.operators import history as H, understand as U, vocab as K
 
+from leafquery.plans.answer import rewritten_questions
+
 from .fixtures import CHUNKS_SQL, QUESTIONS_SQL, chunks, questions, shown, shown_sql, table, turns
 from leafquery.functions.text import expand_abbreviations, tokenize
 from .ingest_queries import SQL as INGEST_SQL, TRIM
@@ -285,3 +287,11 @@ def _(spark, sf):
     rest = F.slice("messages", F.lit(2), F.size("messages") - 1)
     return m.select("query_id", F.md5(F.array_join(F.transform(rest, lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|"))
                     .alias("md5"), F.size("messages").alias("n_messages"))
+
+
+@query("rewritten_questions", HISTORY_SQL + f"""6), h as (select query_id, string_agg({LINE.format(TRUNC)}, chr(10) order by back desc) as x from t group by 1)
+ select query_id, md5(case when q.turn > 0 and {REWRITE_SQL} then concat('asked ', md5(coalesce(x, ''))) else text end) as md5 from q left join h using (query_id)""")
+def _(spark, sf):
+    def rewriter(asked):
+        return asked.select("query_id", F.concat(F.lit("Rewritten query: asked "), F.md5("transcript")).alias("rewritten"))
+    return rewritten_questions(questions(spark, sf), turns(spark, sf), rewriter).select("query_id", F.md5("search_text").alias("md5"))
