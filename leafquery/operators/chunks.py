@@ -14,6 +14,9 @@ from .sections import cut_before
 _HEADER_LINE = r"(?m)^[^\S\n]*#{1,4}(?: .*|[^\S\n]*)$"
 _NOT_PRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
 _PARAGRAPH_JOIN = "  \n"
+_FENCE = r"(?m)(?=^[^\S\n]*(?:```|~~~))"
+#: stands for a # at the start of a line of fenced code; a code point that no text may contain
+_CODE_MARK = "\ufdd1"
 LEVELS = ("h1", "h2", "h3", "h4")
 
 
@@ -34,17 +37,25 @@ def shield_tables(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _clean_lines(segment: Column) -> Column:
     """Strip lines, drop non-printing characters, join paragraphs by a hard line break."""
     lines = F.transform(F.split(segment, "\n", -1),
-                        lambda x: F.regexp_replace(strip(x), _NOT_PRINTABLE, ""))
+                        lambda x: F.regexp_replace(F.replace(strip(x), F.lit(_CODE_MARK), F.lit("#")), _NOT_PRINTABLE, ""))
     return F.regexp_replace(F.btrim(F.array_join(lines, "\n"), F.lit("\n")), r"\n{2,}", _PARAGRAPH_JOIN)
 
 
+def _shield_fences(text: Column) -> Column:
+    """Lines of fenced code can't be headers: their leading # is exchanged until the text is cut."""
+    def inside(seg: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, F.regexp_replace(seg, r"(?m)^([^\S\n]*)#", "$1" + _CODE_MARK)).otherwise(seg)
+    shielded = F.array_join(F.transform(F.filter(F.split(F.concat(F.lit("\n"), text), _FENCE, -1), lambda x: x != ""), inside), "")
+    return F.when(text.contains("```") | text.contains("~~~"), F.substring(shielded, 2, 2_147_483_647)).otherwise(text)
+
+
 def header_parts(text: Column) -> Column:
-    """Array of (h1..h4, text): a header closes all deeper ones.
+    """Array of (h1..h4, text): a header closes all deeper ones. Fenced code holds no headers.
 
     Neighbours under the same headers are one part, and a part that ends in a bare
     header line joins the deeper part that follows it.
     """
-    segments = F.filter(F.transform(cut_before(text, _HEADER_LINE), _clean_lines), lambda s: s != "")
+    segments = F.filter(F.transform(cut_before(_shield_fences(text), _HEADER_LINE), _clean_lines), lambda s: s != "")
     part = "struct<h1:string,h2:string,h3:string,h4:string,text:string>"
     start = F.struct(F.array().cast(f"array<{part}>").alias("parts"),
                      *[F.lit(None).cast("string").alias(h) for h in LEVELS])

@@ -231,3 +231,13 @@ def test_shared_folder_is_wanted_off_local_masters(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Spark())
+
+
+def test_fenced_code_has_no_headers(spark):
+    from leafquery.operators.chunks import split_by_headers
+
+    text = "# A\none\n```sh\n# no header\n## nor this\n```\n## B\ntwo\n~~~\n# open to the end"
+    rows = spark.createDataFrame([(1, text, None), (2, "```\n# x\n```\n# C\nthree", None)], "doc_id long, text string, heading_path string")
+    got = sorted((r.doc_id, r.header_seq, r.h1, r.h2, r.text) for r in split_by_headers(rows).collect())
+    assert [g[:4] for g in got] == [(1, 0, "A", None), (1, 1, "A", "B"), (2, 0, None, None), (2, 1, "C", None)]
+    assert "# no header\n## nor this" in got[0][4] and got[1][4].endswith("# open to the end")
