@@ -83,16 +83,23 @@ def _keyed_grams(text: Column, n: int) -> Column:
 def detect_names(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, department, faculty, program, designation) whose alias is a substring of the question.
 
-    An alias can only occur where its first characters occur, so questions and aliases
-    meet in an equi-join on such a prefix and only those pairs are tested. Longest alias
-    wins, then the first in alphabetical order.
+    An alias can only occur where its first, middle and last characters occur, so questions and
+    aliases meet in an equi-join on that of the three which the fewest aliases have ("department
+    of" begins many, but ends none), and only those pairs are tested. Longest alias wins, then the
+    first in alphabetical order.
     """
     low = queries.select("query_id", F.lower("text").alias("_q"))
     size = F.length("alias")
     anchor_len = functools.reduce(lambda case, n: case.when(size >= n, n), ANCHOR_LENGTHS[1:],
                                   F.when(size >= ANCHOR_LENGTHS[0], ANCHOR_LENGTHS[0]))
-    keyed = (aliases.filter(size > 0).withColumn("_n", anchor_len)
-             .withColumn("_gram", F.substring(F.col("alias"), F.lit(1), F.col("_n"))))
+    n = F.col("_n")
+    anchors = [F.substring(F.col("alias"), at, n) for at in (
+        F.lit(1), F.floor((size - n) / 2).cast("int") + 1, size - n + 1)]
+    marked = (aliases.filter(size > 0).withColumn("_n", anchor_len)
+              .select("*", F.explode(F.array_distinct(F.array(*anchors))).alias("_gram")))
+    shared = marked.groupBy("_n", "_gram").agg(F.count(F.lit(1)).alias("_c"))
+    keyed = (marked.join(shared, ["_n", "_gram"]).groupBy("kind", "name", "alias", "_n")
+             .agg(F.min(F.struct("_c", "_gram")).alias("_a")).select("kind", "name", "alias", "_n", "_a._gram"))
     grams = F.flatten(F.array(*[_keyed_grams(F.col("_q"), n) for n in ANCHOR_LENGTHS]))
     asked = low.select("query_id", F.explode(grams).alias("_g")).select("query_id", "_g._n", "_g._gram")
     candidates = asked.join(keyed, ["_n", "_gram"]).select("query_id", "kind", "name", "alias")

@@ -214,3 +214,14 @@ def test_written_corpus_gives_the_same_contexts(spark, tmp_path):
     assert lazy == stored and set(lazy) == {1, 2, 3}
     assert "Dean Dr. Alpha Beta" in lazy[1] and "Tuition fee" in lazy[2]
     assert all(len(c) <= 12000 + 5 * 40 for c in lazy.values())
+
+
+def test_names_with_one_prefix_are_found_by_their_rare_part(spark):
+    from leafquery.operators.understand import detect_names
+
+    aliases = spark.range(10_000).select(F.lit("department").alias("kind"), F.concat(F.lit("N"), "id").alias("name"),
+                                         F.concat(F.lit("department of subject "), F.lpad("id", 6, "0")).alias("alias"))
+    q = spark.createDataFrame([(1, "the department of subject 004711 and department of subject 000003"), (2, "department of subject"),
+                               (3, "Department of Subject 009999?")], "query_id long, text string")
+    got = {r.query_id: r.department for r in detect_names(q, aliases).collect()}
+    assert got == {1: "N3", 3: "N9999"}
