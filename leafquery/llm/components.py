@@ -38,3 +38,19 @@ def components(links: DataFrame) -> DataFrame:
         edges = stage(_small_star(stage(_large_star(edges))))
     return (edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
             .union(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
+
+
+def extend(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``known`` and of ``links``: only components that meet are joined anew."""
+    pairs = links.filter("a <> b")
+    for side in ("a", "b"):
+        own = known.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    pairs = stage(pairs)
+    meet = pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b")
+    if meet.isEmpty():
+        return known
+    lower = stage(components(meet)).select(F.col("id").alias("component"), F.col("component").alias("low"))
+    # nodes that no link had before are components of their own
+    nodes = known.union(pairs.select("a", "_a")).union(pairs.select("b", "_b")).distinct()
+    return nodes.join(lower, "component", "left").select("id", F.coalesce("low", "component").alias("component"))

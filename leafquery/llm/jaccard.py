@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from leafquery.functions.staging import stage
 from leafquery.llm.common import hash_words, keyed, mix, slices, text_buffer, window_hashes
-from leafquery.llm.components import components
+from leafquery.llm.components import components, extend
 
 SHINGLE = 5
 SHARE = 80  # of 100
 _CHUNK = 2_000_000
 RANGE_BYTES = 8_000_000
+MEETS = 6
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -182,6 +183,26 @@ def _pairs_of_list(n, p, share):
                 yield i, j
 
 
+def _meetings(n, p, sid, share: int, comp=None):
+    """Pairs to compare first: a row of the index gives MEETS + 1 of them at most.
+
+    Each entry of a list meets the first entry before it that it could link with, a hub of many, and MEETS at
+    random, which differ from list to list, so that groups of near copies hold together by what they meet in all
+    their lists. With ``comp`` only entries of other components are met.
+    """
+    first, other, seen = np.full(len(n), -1), np.full((MEETS, len(n)), -1), np.zeros(len(n))
+    rng = np.random.default_rng(int(sid.sum() & 0x7FFFFFFF))
+    for i, j in _pairs_of_list(n, p, share):
+        j = j if comp is None else j[comp[j] != comp[i]]
+        seen[j] += 1
+        first[j] = np.where(first[j] < 0, i, first[j])
+        turn, taken = np.nonzero(rng.random((MEETS, len(j))) * seen[j] < 1)
+        other[turn, j[taken]] = i
+    for k in np.flatnonzero(first >= 0).tolist():
+        for i in {int(first[k]), *other[:, k].tolist()}:
+            yield int(sid[i]), int(sid[k])
+
+
 def _scan(index: DataFrame, columns: list[str], schema: str, emit, parts_of: str = "shingle") -> DataFrame:
     """Apply ``emit`` to every list; its results are deduplicated within a task, batch by batch."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -209,7 +230,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     a = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("y"))
-    return stage(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", F.arrow_udf(run, "bigint")("x", "y").alias("both")))
+    return stage(pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "n_a", "n_b", F.arrow_udf(run, "bigint")("x", "y").alias("both")))
 
 
 def _linked(o: DataFrame, share: int) -> DataFrame:
@@ -220,6 +241,22 @@ def _distance():
     return 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of different components."""
+    for side in ("a", "b"):
+        own = comps.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    return pairs.filter("_a <> _b").select("a", "b")
+
+
+def _relabelled(known: DataFrame, comps: DataFrame) -> DataFrame:
+    """Index rows with the components of now, of lists that hold more than one."""
+    own = stage(known.drop("comp").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
+                .withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+    mixed = own.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("shingle")
+    return own.join(stage(mixed), "shingle", "left_semi")
+
+
 def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
     """(id, component) of the distinct sets (sid, n, shingles) that have a link."""
     def explode(batches):
@@ -243,27 +280,26 @@ def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
                   .filter(F.col("p") < prefix).select("shingle", "n", F.col("p").cast("bigint").alias("p"), "sid"))
 
     def hubs(n, p, sid):
-        seen = np.zeros(len(n), bool)
-        for i, j in _pairs_of_list(n, p, share):
-            new = j[~seen[j]]
-            seen[new] = True
-            yield from ((int(sid[i]), int(sid[k])) for k in new)
+        return _meetings(n, p, sid, share)
 
     first = _overlaps(_scan(index, ["shingle", "n", "p", "sid"], "a bigint, b bigint", hubs).distinct(), sets)
-    links = _linked(first, share).select("a", "b")
-    comps = stage(components(links))
+    comps = stage(components(_linked(first, share).select("a", "b")))
     # the nearest hub of each set, and how far it is
     near = (_linked(first, share).groupBy(F.col("b").alias("sid"))
             .agg(F.min(F.struct(_distance().alias("d"), F.col("a").alias("hub"))).alias("m")))
-    who = stage(comps.withColumnRenamed("id", "sid").join(near, "sid", "left")
-                .select("sid", "component", F.coalesce("m.hub", "sid").alias("hub"), F.coalesce("m.d", F.lit(0.0)).alias("d")))
+    who = stage(near.select("sid", "m.hub", "m.d"))
     known = index.join(who, "sid", "left").select(
-        "shingle", "n", "p", "sid", F.coalesce("component", "sid").alias("comp"), F.coalesce("hub", "sid").alias("hub"),
-        F.coalesce("d", F.lit(0.0)).alias("d"))
+        "shingle", "n", "p", "sid", F.coalesce("hub", "sid").alias("hub"), F.coalesce("d", F.lit(0.0)).alias("d"))
     # lists whose sets are all of one component have no more to say
-    mixed = stage(known.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                  .filter("x <> y").select("shingle"))
-    known = stage(known.join(mixed, "shingle", "left_semi"))
+    known = stage(_relabelled(known, comps))
+    columns = ["shingle", "n", "p", "sid", "comp", "hub", "d"]
+
+    def strangers(n, p, sid, comp, hub, d):
+        return _meetings(n, p, sid, share, comp)
+
+    again = _overlaps(_scan(known, columns, "a bigint, b bigint", strangers).distinct(), sets)
+    comps = stage(extend(comps, _linked(again, share).select("a", "b")))
+    known = stage(_relabelled(known, comps))
 
     def hub_pairs(n, p, sid, comp, hub, d):
         for i, j in _pairs_of_list(n, p, share):
@@ -271,16 +307,16 @@ def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
             for h, slack in zip(hub[j].tolist(), (d[j] + d[i]).tolist()):
                 yield (int(hub[i]), h, slack) if hub[i] < h else (h, int(hub[i]), slack)
 
-    columns = ["shingle", "n", "p", "sid", "comp", "hub", "d"]
     apart = stage(_scan(known, columns, "a bigint, b bigint, slack double", hub_pairs)
                   .groupBy("a", "b").agg(F.max("slack").alias("slack")))
     second = _overlaps(apart.select("a", "b"), sets)
-    links = links.union(_linked(second, share).select("a", "b"))
-    # by the triangle inequality, sets near two hubs can link only if the hubs are near enough
-    open_ = stage(second.join(apart, ["a", "b"]).filter("slack > 0")
-                  .filter(_distance() <= 1 - share / 100 + F.col("slack") + 1e-9)
-                  .join(_linked(second, share).select("a", "b"), ["a", "b"], "left_anti")
-                  .select(F.col("a").alias("hub_a"), F.col("b").alias("hub_b")))
+    comps = stage(extend(comps, _linked(second, share).select("a", "b")))
+    known = stage(_relabelled(known, comps))
+    # by the triangle inequality, sets near two hubs can link only if the hubs are near enough, and they need no
+    # comparison where the hubs' components have met by now
+    far = second.join(apart, ["a", "b"]).filter("slack > 0").filter(
+        _distance() <= 1 - share / 100 + F.col("slack") + 1e-9).select("a", "b")
+    open_ = stage(_apart(far, comps).select(F.col("a").alias("hub_a"), F.col("b").alias("hub_b")))
 
     def set_pairs(n, p, sid, comp, hub, d):
         for i, j in _pairs_of_list(n, p, share):
@@ -293,8 +329,7 @@ def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
     near_open = stage(open_.select(F.col("hub_a").alias("hub")).union(open_.select("hub_b")).distinct())
     third = _scan(known.join(near_open, "hub", "left_semi"), columns, "a bigint, b bigint, hub_a bigint, hub_b bigint", set_pairs)
     third = third.join(open_, ["hub_a", "hub_b"], "left_semi").select("a", "b").distinct()
-    links = links.union(_linked(_overlaps(third, sets), share).select("a", "b"))
-    return components(links)
+    return extend(comps, _linked(_overlaps(third, sets), share).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, share: int = SHARE, width: int = SHINGLE, *, id_col: str = "doc_id",
@@ -323,7 +358,8 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, width: int = SHINGLE
                     [own.column(0), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key", "n", "shingles"])
 
-    texts = rows.select("key", "text").join(stage(able), "key", "left_semi")
+    # dealt by key at every size, so that what is moved grows with the input alone
+    texts = rows.select("key", "text").join(stage(able).hint("merge"), "key", "left_semi")
     schema = texts.select("key").schema.add("n", "long").add("shingles", "binary")
     own = stage(texts.mapInArrow(sets_of, schema).withColumn("sig", F.unhex(F.md5("shingles"))))
     sets = stage(own.groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"),
