@@ -145,6 +145,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
                 names = ["id", "piece", "start", "length", "ids_crc32", "ids"][:len(out)]
                 yield pa.RecordBatch.from_arrays(out, names)
                 at += len(texts)
+        enc.words.older = {}  # the worker goes on with other work and needs the memory
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
