@@ -181,6 +181,17 @@ def _(spark, sf):
     return FU.rrf_fuse(dense, sparse).select("query_id", "chunk_id", "fused_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
+@query("rrf_fuse_all", f"""with c as {CANDS_SQL}, legs as (select query_id, 0 as leg, fused_rank as rank, chunk_id, page % 3 as page, text from c where fused_rank % 3 <> 0
+  union all select query_id, 1, 24 - fused_rank, chunk_id, page % 3, text from c where fused_rank % 2 = 0 or fused_rank % 3 = 0), {fuse_sql('legs')}
+ select query_id, chunk_id, fused_rank, round(rrf_score, 9) as rrf_score from fz""")
+def _(spark, sf):
+    """Every candidate stands in a list: of each six ranks two in the dense one, two in the sparse one and two in both."""
+    c = candidates(spark, sf).withColumn("page", F.col("page") % 3)
+    dense = c.filter("fused_rank % 3 <> 0").withColumnRenamed("fused_rank", "rank")
+    sparse = c.filter("fused_rank % 2 = 0 or fused_rank % 3 = 0").withColumn("rank", 24 - F.col("fused_rank")).drop("fused_rank")
+    return FU.rrf_fuse(dense, sparse).select("query_id", "chunk_id", "fused_rank", F.round("rrf_score", 9).alias("rrf_score"))
+
+
 def overlap(a: str, b: str) -> str:
     both = f"({a} <> '' and {b} <> '' and (contains(lower({a}), lower({b})) or contains(lower({b}), lower({a}))))"
     return f"coalesce({both}, false)"
@@ -500,6 +511,17 @@ def _(spark, sf):
     return ST.upsert_by_id(old, d.filter("seq % 2 = 1"), "id")
 
 
+@query("upsert_by_id_all", """with n as (select md5(text) as id, doc_id as seq, source from documents where doc_id % 3 <> 0 or doc_id % 2 = 1),
+ l as (select id, max(seq) as seq, arg_max(source, seq) as source from n group by 1),
+ o as (select md5(text) as id, min(doc_id) as seq, arg_min(source, doc_id) as source from documents where doc_id % 3 = 0 group by 1)
+ select * from l union all select * from o where id not in (select id from l)""")
+def _(spark, sf):
+    """Every document is on the old side, the new side, or (doc_id % 6 = 3) both."""
+    d = table(spark, sf, "documents").select(F.md5("text").alias("id"), F.col("doc_id").alias("seq"), "source")
+    old = d.filter("seq % 3 = 0").groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("source", "seq").alias("source"))
+    return ST.upsert_by_id(old, d.filter("seq % 3 <> 0 or seq % 2 = 1"), "id")
+
+
 @query("flatten_metadata", f"""select chunk_id, academic_level, coalesce(department, 'NULL') as department, array_to_string(course_codes, ';') as codes,
  case when page % 2 = 0 then concat('[{{"fee_type":"', source, '","amount":"', cast(page as varchar), '"}}]') else 'NULL' end as fees,
  5 + cast(department is not null as int) + cast(page % 2 = 0 as int) as n_keys from {CHUNKS_SQL} join documents using (doc_id)""")
