@@ -352,6 +352,17 @@ def _(spark, sf):
                                                F.coalesce("query_id.department", F.lit("NULL")).alias("asked_department"), "chunk_id")
 
 
+@query("related_chunks_all", f"""with r as (select distinct section, department, academic_level from {CHUNKS_SQL})
+ select r.section as asked_section, coalesce(r.department, 'NULL') as asked_department, c.chunk_id from r join {CHUNKS_SQL} c on c.academic_level = r.academic_level
+  and c.department is not distinct from r.department and c.section is not distinct from r.section""")
+def _(spark, sf):
+    """Every group of the chunk table is asked for, with a department or without."""
+    ch = chunks(spark, sf)
+    asked = ch.select("section", "department", "academic_level").distinct().withColumn("query_id", F.struct("section", "department"))
+    return PO.related_chunks(asked, ch).select(F.col("query_id.section").alias("asked_section"),
+                                               F.coalesce("query_id.department", F.lit("NULL")).alias("asked_department"), "chunk_id")
+
+
 # --- the composed plan ------------------------------------------------------
 def asked_questions(spark, sf):
     q = with_vectors(spark, sf, questions(spark, sf))
