@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafquery.functions.staging import stage
+from leafquery.functions.staging import small_side, stage
 from leafquery.operators import (bm25 as BM, context as CX, dense as D, fuse as FU, pool as PO, rerank as RR,
                                  reuse as RE, understand as U, vocab as K)
 from leafquery.operators.ranking import by_score, top_k
@@ -115,6 +115,18 @@ def _(spark, sf):
     return BM.bm25_search(asked, BM.bm25_index(ch, BM.rich_text()), 10).select("query_id", "chunk_id", "rank")
 
 
+@query("metadata_filter_levels", f"""{QS}, {UNDERSTOOD_SQL}, {DOCS_SQL}, asks as (select query_id, text as qtext, academic_level from q cross join (select distinct academic_level from ch)),
+ {bm25_sql('docs', 'asks', 'join uf using (query_id) join ch using (academic_level, chunk_id) where ' + FILTER_SQL)}
+ select query_id, academic_level, chunk_id, rank from (select *, cast(row_number() over (partition by query_id, academic_level order by round(score, 6) desc, chunk_id) - 1 as int) as rank from sc) where rank < 10""")
+def _(spark, sf):
+    """Every question asks every level of the chunk table."""
+    ch = BM.searchable(chunks(spark, sf))
+    levels = small_side(ch.select("academic_level").distinct())
+    u = U.understand(questions(spark, sf), K.all_aliases(chunks(spark, sf))).crossJoin(levels)
+    asked = u.select("query_id", "academic_level", "text", "f_department", "f_section", "f_faculty", "f_course_code")
+    return BM.bm25_search(asked, BM.bm25_index(ch, BM.rich_text()), 10).select("query_id", "academic_level", "chunk_id", "rank")
+
+
 # --- vector search ----------------------------------------------------------
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("chunk_id"),
