@@ -36,9 +36,9 @@ def documents(spark, sf):
 
 
 def benchmark_questions(spark, sf):
-    """Every benchmark text asks every language."""
-    langs = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.explode(langs).alias("academic_level"))
+    """Every benchmark text asks every language of the documents."""
+    langs = table(spark, sf, "documents").select(F.col("lang").alias("academic_level")).filter("academic_level is not null").distinct()
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").crossJoin(small_side(langs))
 
 
 def bm25_sql(docs: str, asks: str, where: str = "") -> str:
