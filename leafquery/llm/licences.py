@@ -106,8 +106,8 @@ RULES = [
     ("all-rights-reserved", ["Reserved"]),
 ]
 
-#: A text without any of these words (in any case) holds no known sentence.
-HINTS = "(?i)licen[sc]|permi|redistribut|warrant|copyright|\\bname of\\b|unencumbered|waived|rights reserved|\\bin no event\\b|(?:\\(c\\)|©)"
+#: A text without any of these words (in any case) holds no known sentence. Single words, since what stands between two is normalised later.
+HINTS = "(?i)licen[sc]|permi|redistribut|warrant|copyright|unencumbered|waived|reserved|(?:\\(c\\)|©)"
 
 
 def normalised(sentence: Column) -> Column:
@@ -125,7 +125,7 @@ def identifier(sentence: Column) -> Column:
     def of(s: Column) -> Column:
         place = F.array_position(texts, s)
         return F.when(place > 0, F.get(names, (place - 1).cast("int"))).when(
-            s.rlike("^(?:copyright|c) (?:c )?[0-9]{4}\\b.{0,100}$"), F.lit("Copyright"))
+            s.rlike("^(?:copyright|c) (?:c )?[0-9]{4}\\b"), F.lit("Copyright"))
     return F.when(sentence.rlike(HINTS), bind(normalised(sentence), of))
 
 
@@ -133,12 +133,14 @@ def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     A sentence ends at a full stop, semicolon or question mark before white space, at a colon before a
-    line end, or at a blank line. Where that is no known one, its lines are looked at, since notices often stand on a line without such a mark before.
+    line end, or at a blank line. Where that is no known one, its lines are looked at, since notices often stand on a line without such a mark before;
+    so are those of a copyright sentence, which may run on into others.
     """
     def of(sentence: Column) -> Column:
         def either(whole: Column) -> Column:
-            lines = F.transform(F.split(sentence, "\n", -1), identifier)
-            return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(lines))
+            lines = F.array_compact(F.transform(F.split(sentence, "\n", -1), identifier))
+            return F.when(whole != "Copyright", F.array(whole)).otherwise(
+                bind(lines, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(whole)))))
         return F.when(sentence.rlike(HINTS), bind(identifier(sentence), either))
     found = F.flatten(F.array_compact(F.transform(F.split(text, "(?<=[.;?])\\s+|(?<=:)\\s*\n\\s*|\n\\s*\n", -1), of)))
     return F.when(text.rlike(HINTS), found).otherwise(F.array().cast("array<string>"))

@@ -1,4 +1,6 @@
-from leafquery.llm.licences import RULES, SENTENCES, scan
+import re
+
+from leafquery.llm.licences import HINTS, RULES, SENTENCES, scan
 
 MIT = """MIT License
 
@@ -66,3 +68,19 @@ def test_rules_name_known_sentences():
     assert all(x in known for _, seq in RULES for x in seq)
     every = [t for texts in SENTENCES.values() for t in texts]
     assert len(every) == len(set(every))
+
+
+def test_hints_miss_no_known_sentence():
+    assert all(re.search(HINTS, t) for texts in SENTENCES.values() for t in texts)
+
+
+def test_notices_in_any_spacing_and_of_any_length(docs_of):
+    holders = ", ".join(f"Holder Number {i}" for i in range(40))
+    cases = {
+        "All rights\nreserved.": ["Reserved"], "All rights  reserved": ["Reserved"], "all_rights_reserved": ["Reserved"],
+        f"Copyright (c) 2020 {holders}": ["Copyright"], f"Copyright (c)\n2020 {holders}": ["Copyright"],
+        f"Copyright 2020 {holders}\nReleased under the MIT License": ["Copyright", "MIT name"],
+        "all rooms are reserved": [],
+    }
+    got = {r.row.doc_id: r.sentences for r in scan(docs_of(list(enumerate(cases)))).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
