@@ -2,9 +2,9 @@
 
 Documents are sets of word shingles. Most have no partner, and this is seen before any set is moved:
 a document that shares fewer than ``share`` of its shingles with all others together links with none.
-What is left is joined by prefixes in order of document frequency. Each index list is a run of blocks
-of equal (set size, position); pairs of blocks that can't reach the overlap are skipped. A set is first
-compared with one hub of each list. Later answers are derived from these: two sets near hubs whose own
+What is left is joined by prefixes in order of document frequency. Each index list is sorted by set size;
+entries whose sizes and positions can't reach the overlap are skipped, one by one. A list is one task and
+is held whole in its memory. A set is first compared with one hub of each list. Later answers are derived from these: two sets near hubs whose own
 distance is known need no comparison unless the distances allow a link.
 """
 
