@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -15,95 +10,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from leafquery.functions.staging import stage
+from leafquery.llm.tokens import encoder, text_lists
 
-TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 OPEN_BINS = 16_384
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[str, "Encoder"] = {}
-
-
-class Memory(dict):
-    """Codes of the last words seen, in two generations of a fixed number of words.
-
-    When the younger is full it becomes the older, and words that come up again move back to the
-    younger. Forgetting a word only costs time.
-    """
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def learn(self, words: list[str], encode: Callable[[list[str]], Iterable[bytes]]) -> None:
-        """Hold all of ``words``; ``encode`` gives the codes of those that are new."""
-        new = set(filterfalse(self.__contains__, words))
-        if len(self) + len(new) > self.most:
-            self.older = dict(self)
-            self.clear()
-            new = set(words)
-        again = new.intersection(self.older)
-        self.update((w, self.older[w]) for w in again)
-        new = list(new - again)
-        self.update(zip(new, encode(new)))
-
-
-class Encoder:
-    """Ids of whole texts, encoded in parts that are remembered.
-
-    A single space between two other characters always begins a new pre-token of this tokenizer, so
-    the parts between such spaces are encoded on their own with equal result.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = Memory(600_000)  # after a space
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """The text cut at spaces between two other characters; the spaces themselves are left out."""
-        runs = text.split()
-        if len(text) - len("".join(runs)) == len(runs) - 1:  # no white space but single, inner ones
-            return text.split(" ")
-        return _CUT.split(text)
-
-    def _codes(self, texts: list[str]) -> list[bytes]:
-        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", c.ids).tobytes() for c in codes]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self.split(text) for text in texts]
-        heads = self._codes([words[0] for words in parts])
-        tails = [words[1:] for words in parts]
-        self.words.learn(list(chain.from_iterable(tails)), lambda new: self._codes([" " + w for w in new]))
-        get = self.words.__getitem__
-        return [head + b"".join(map(get, words)) for head, words in zip(heads, tails)]
-
-
-def encoder(path: str | None) -> Encoder:
-    if path is None:
-        import public_tokenizers
-        path = public_tokenizers.path(TOKENIZER)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def _texts(column: pa.Array, most_chars: int = 2_000_000) -> Iterator[list[str]]:
-    out, size = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        out.append(text)
-        size += len(text)
-        if size >= most_chars:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = 0,
@@ -112,7 +22,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
 
     Only texts longer than the capacity are cut, from their end, so that the first piece alone may be
     shorter. ``start`` counts the document's ids before the piece. A null text is the empty text:
-    one piece with the end id. Repeated rows give repeated pieces; other columns are left out.
+    one piece with the end id. Repeated rows give repeated pieces; other columns are left out. An empty
+    table gives no pieces. A text of any length is encoded whole, in the memory of one task. Ids are those
+    of ``encode(text, add_special_tokens=False)``, so a literal special token in a text is its one id.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
@@ -122,7 +34,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
         enc = encoder(tokenizer_path)
         for batch in batches:
             at = 0
-            for texts in _texts(batch.column(1)):
+            for texts in text_lists(batch.column(1)):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, code in enumerate(enc.encode(texts)):
                     code += end
@@ -199,7 +111,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     parts = max(1, -(-tokens // (capacity * open_bins)))
     order = [F.desc("length"), *[F.asc(c) for c in pieces.columns if c != "length"]]
-    dealt = pieces.repartition(parts, "id", "piece", "ids_crc32").sortWithinPartitions(*order)
+    # dealt by their places in the table, so that many equal rows go to many partitions
+    dealt = pieces.repartition(parts, F.monotonically_increasing_id()).sortWithinPartitions(*order)
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches):

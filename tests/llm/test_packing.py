@@ -15,10 +15,19 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def true_ids(texts):
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_random_strings_with_the_literal_and_odd_white_space():
+    from leafquery.llm.tokens import encoder
+
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "a", "Bc", "'s", "12", "!", "\u00e9", "\u4e2d", "\U0001f600", "\u0120"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(5000)]
+    got = encoder(None).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() + [0] for g in got] == true_ids(texts)
+
+
 ODD = ["", None, " ", "  a", "a  b", "a \n b", "it's  we'll", "x" * 9000, "a b c " * 3000, " x y z", "é à\tü",
        "<|endoftext|> a <|endoftext|>", "a\x1cb c\x85 d", "12 345 6,7 ...", "a b", "a b"]
 
