@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafquery.llm import decontaminate, jaccard, langid, licences, line_dedup, packing, pii, quality, rules, substrings
+from leafquery.llm import (boundaries, decontaminate, jaccard, langid, licences, line_dedup, packing, pii, quality, rules,
+                           substrings)
 
 PII_KEY = "key of the registered query"  # a real run passes its own secret
 
@@ -67,6 +68,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("row.doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = boundaries.write_ids(table(spark, sf_dir, "documents"))
+    return boundaries.read_ids(manifest).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_token_ids": op11_token_ids,
 }
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
