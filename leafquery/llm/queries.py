@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafquery.llm import (boundaries, decontaminate, jaccard, langid, licences, line_dedup, packing, pii, quality, rules,
-                           substrings)
+from leafquery.llm import (boundaries, decontaminate, jaccard, langid, licences, line_dedup, packing, pii, prefix_trie,
+                           quality, rules, substrings)
 
 PII_KEY = "key of the registered query"  # a real run passes its own secret
 
@@ -73,6 +73,10 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.read_ids(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_table(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -85,8 +89,11 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
     "op11_token_ids": op11_token_ids,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), x -> ascii(x)::bigint)),
+ (a, b) -> list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], (y, z) -> xor(y >> 1, 3988292384 * (y & 1)))))"""
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
@@ -99,5 +106,24 @@ m as (select k.*, c.key is not null as gone from k left join c on k.key = c.key)
 s as (select rid, count(*) as n_lines, count(*) filter (gone) as n_dropped,
       coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as kept from m group by rid)
 select d.doc_id, s.n_lines, s.n_dropped, sha256(s.kept) as kept_sha256 from d join s using (rid)
+""",
+    "op13_prefix_trie": f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+      row_number() over (partition by conv_id order by turn nulls first, role, text) as i from conversations where conv_id is not null),
+c as (select conv_id, {_CRC32} % 6 as h, conv_id - conv_id % 100 as host from (select distinct conv_id from t)),
+r as (select c.conv_id, 0 as own, t.i, t.role, t.text from c join t on t.conv_id = c.host and t.i <= c.h
+      union all select conv_id, 1, i, role, text from c join t using (conv_id) where i > h),
+s as (select conv_id, coalesce(list({{'role': role, 'text': text}} order by own, i) filter (own is not null), []) as seq
+      from c left join r using (conv_id) group by conv_id),
+p as (select conv_id, seq, unnest(range(len(seq) + 1)) as d from s),
+n as (select d, seq[1:d] as key, min(conv_id) as conv_id, count(*) as n_convs,
+      coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(seq) = d), '') as ends from p group by 1, 2),
+k as (select d - 1 as d, key[1:d - 1] as key, count(*) as n_children from n where d > 0 group by 1, 2),
+v as (select n.*, coalesce(n_children, 0) as n_children, case when d = 0 then 0 else (n_convs - 1) * length(key[d].text) end as saved
+      from n left join k using (d, key)),
+a as (select *, unnest(range(d + 1)) as up from v),
+u as (select up as d, key[1:up] as key, cast(sum(saved) as bigint) as saved_tokens, count(*) filter (n_children = 0) as n_leaves from a group by 1, 2)
+select v.conv_id, v.d as depth, f.conv_id as parent_conv_id, v.n_convs, v.n_children, u.n_leaves, u.saved_tokens, sha256(v.ends) as ends_sha256
+from v join u using (d, key) left join v f on f.d = v.d - 1 and f.key = v.key[1:v.d - 1]
 """,
 }
