@@ -92,8 +92,8 @@ QUERIES = {
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), x -> ascii(x)::bigint)),
- (a, b) -> list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], (y, z) -> xor(y >> 1, 3988292384 * (y & 1)))))"""
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+ lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
