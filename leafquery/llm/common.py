@@ -79,13 +79,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, hashes, first): words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as 64-bit hashes.
 
+    ``between`` marks the bytes between words, if others are meant.
+
     ``starts`` are byte positions in ``buf``; the words of document i are first[i]:first[i+1].
     Works block by block, so that memory follows the number of words and not eight bytes a byte.
     """
-    white = _IS_WHITE[buf]
+    white = between[buf]
     is_start = ~white
     is_start[1:] &= white[:-1]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafquery.llm import (boundaries, decontaminate, jaccard, langid, licences, line_dedup, packing, pii, prefix_trie,
-                           quality, rules, substrings)
+from leafquery.llm import (boundaries, collocations, decontaminate, jaccard, langid, licences, line_dedup, packing, pii,
+                           prefix_trie, quality, rules, substrings)
 
 PII_KEY = "key of the registered query"  # a real run passes its own secret
 
@@ -73,6 +73,10 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.read_ids(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_table(table(spark, sf_dir, "conversations"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
     "op11_token_ids": op11_token_ids,
+    "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -106,6 +111,26 @@ m as (select k.*, c.key is not null as gone from k left join c on k.key = c.key)
 s as (select rid, count(*) as n_lines, count(*) filter (gone) as n_dropped,
       coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as kept from m group by rid)
 select d.doc_id, s.n_lines, s.n_dropped, sha256(s.kept) as kept_sha256 from d join s using (rid)
+""",
+    "op12_collocations": """
+with d as (select row_number() over () as rid, coalesce(lang, 'und') as lang,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda w: w <> '') as ws from
+      (select lang, unnest(string_split_regex(text, '[.,;:!?\\n-\\r]')) as piece from d)),
+t as (select lang, cast(sum(len(ws)) as bigint) as n from p group by lang),
+i as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from p),
+g as (select lang, ws[i:i + m - 1] as ph, m from i, (select unnest(range(1, 6)) as m) where i + m - 1 <= len(ws)),
+f as (select lang, ph, count(*) as f from g group by lang, ph having count(*) >= 100),
+c as (select lang, ph, f as a from f where len(ph) >= 2),
+o as (select distinct s.lang, s.ph from (select lang, a, unnest([ph[1:len(ph) - 1], ph[2:]]) as ph from c where len(ph) > 2) l
+      join c s on s.lang = l.lang and s.ph = l.ph and l.a >= s.a),
+k as (select c.*, unnest(range(1, len(ph))) as k from c anti join o on o.lang = c.lang and o.ph = c.ph),
+x as (select k.lang, k.ph, a, k, x.f as l, y.f as r, n, cast((1000::hugeint * a * n) // (x.f::hugeint * y.f) as bigint) as score
+      from k join t on t.lang = k.lang join f x on x.lang = k.lang and x.ph = k.ph[1:k] join f y on y.lang = k.lang and y.ph = k.ph[k + 1:]),
+b as (select * from (select *, row_number() over (partition by lang, ph order by score, k) as pos from x) where pos = 1),
+r as (select *, array_to_string(ph, ' ') as phrase from b),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from r)
+select lang, rank, phrase, a, l, r, n, score from z where rank <= 2000
 """,
     "op13_prefix_trie": f"""
 with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
