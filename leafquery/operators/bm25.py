@@ -1,55 +1,79 @@
-"""BM25 as tables: an index of postings, and search as a token join."""
+"""BM25 as tables: an index of posting blocks, and an exact top-k search that skips most of them.
+
+Chunks are dealt to blocks of about ``BLOCK_CHUNKS`` by a hash of their id. The postings of a token in one block are one row,
+with two numbers that bound any score in it, whatever the average length is later: the largest tf and the least length
+per tf. A search first scores each question's rarest tokens; the whole scores of the k best chunks so found are a floor for its
+k-th hit. Tokens that can't reach the floor together (stop words) lead to no candidates. They are looked up only for
+chunks whose score over the other tokens may still reach it, and only in the blocks of these chunks.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.staging import stage
+from ..functions.staging import small_side, stage
 from ..functions.text import tokenize
-from .ranking import by_score, top_k
+from .ranking import RANK_DIGITS, by_score, top_k
 
 FACETS = ("department", "section", "faculty", "course_codes")
+#: chunks of one block
+BLOCK_CHUNKS = 128
 #: postings of one token that stay together; a token with more is split over several shards
 ROWS_PER_SHARD = 1_000_000
 #: levels whose statistics may be broadcast
 MAX_LEVELS = 10_000
 #: question terms (one row per question, level and token) that may be broadcast
 BROADCAST_TERMS = 500_000
+#: tokens of more than one shard that may be broadcast
+BROADCAST_HOT = 100_000
+#: postings of a question's rarest tokens that give its first threshold
+SEED_POSTINGS = 2_000
+#: blocks that survive for candidates and may be broadcast
+BROADCAST_BLOCKS = 500_000
+#: postings of all tokens asked for up to which reading them all is cheaper than finding out which to skip
+PLAIN_POSTINGS = 20_000_000
+TOKEN = ["academic_level", "token"]
 
 
 @dataclass
 class Bm25Index:
-    """postings(academic_level, token, chunk_id, tf, doc_len, facets), terms(academic_level, token, df, idf,
-    shards), corpus(academic_level, n, avgdl). ``by_chunk``: postings already lie hashed by chunk_id."""
+    """blocks(academic_level, token, block, n, cf, max_tf, min_len, postings), terms(academic_level, token, df, idf,
+    shards, max_tf, min_len), corpus(academic_level, n, avgdl). ``postings`` of a block: array of (chunk_id, tf, doc_len,
+    facets). ``by_block``: blocks already lie hashed by ``block``."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     corpus: DataFrame
-    by_chunk: bool = False
+    by_block: bool = False
+
+    @property
+    def postings(self) -> DataFrame:
+        """(academic_level, token, block, chunk_id, tf, doc_len, facets): one row a posting."""
+        return self.blocks.select(*TOKEN, "block", F.inline("postings"))
 
     def write(self, path: str) -> None:
-        """Parquet folders; postings keep their layout by chunk and are sorted by token inside each file."""
-        self.postings.sortWithinPartitions("academic_level", "token").write.mode("overwrite").parquet(f"{path}/postings")
+        """Parquet folders; blocks are sorted by token inside each file."""
+        self.blocks.sortWithinPartitions(*TOKEN, "block").write.mode("overwrite").parquet(f"{path}/blocks")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Bm25Index":
-        return Bm25Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus")])
+        return Bm25Index(*[spark.read.parquet(f"{path}/{n}") for n in ("blocks", "terms", "corpus")])
 
     def save_tables(self, prefix: str, buckets: int) -> None:
-        """Catalog tables; postings bucketed by chunk_id, so that a search never shuffles them again."""
-        (self.postings.repartition(buckets, "chunk_id").write.mode("overwrite").bucketBy(buckets, "chunk_id")
-         .sortBy("chunk_id").saveAsTable(f"{prefix}_postings"))
+        """Catalog tables; blocks bucketed by number, so that a search never shuffles them again."""
+        (self.blocks.repartition(buckets, "block").write.mode("overwrite").bucketBy(buckets, "block")
+         .sortBy("block").saveAsTable(f"{prefix}_blocks"))
         self.terms.write.mode("overwrite").saveAsTable(f"{prefix}_terms")
         self.corpus.write.mode("overwrite").saveAsTable(f"{prefix}_corpus")
 
     @staticmethod
     def from_tables(spark: SparkSession, prefix: str) -> "Bm25Index":
-        return Bm25Index(*[spark.table(f"{prefix}_{n}") for n in ("postings", "terms", "corpus")], by_chunk=True)
+        return Bm25Index(*[spark.table(f"{prefix}_{n}") for n in ("blocks", "terms", "corpus")], by_block=True)
 
 
 def rich_text() -> Column:
@@ -73,36 +97,47 @@ def searchable(chunks: DataFrame, align_sections: bool = True) -> DataFrame:
 
 
 def bm25_index(chunks: DataFrame, text: Column | None = None, level: str = "academic_level",
-               chunk_id: str = "chunk_id", rows_per_shard: int = ROWS_PER_SHARD, staged: bool = False) -> Bm25Index:
+               chunk_id: str = "chunk_id", rows_per_shard: int = ROWS_PER_SHARD, staged: bool = False,
+               block_chunks: int = BLOCK_CHUNKS) -> Bm25Index:
     """Index tables of a chunk table.
 
-    Texts are hashed by chunk before they are cut into tokens: that moves the text once
-    instead of its much wider token rows, and counting then is local. Fields that filters test
-    travel with the postings, so a filter applies before scores are summed. ``staged`` writes the
-    postings to the shared folder; otherwise every use counts again.
+    Texts are hashed by block before they are cut into tokens: that moves the text once
+    instead of its much wider token rows, and counting and grouping to blocks then are local. Fields that filters test
+    travel with the postings, so a filter applies before scores are summed. ``staged`` writes blocks
+    and terms to the shared folder; otherwise every use counts again.
     """
     facets = [f for f in FACETS if f in chunks.columns]
-    docs = chunks.select(F.col(level).alias("academic_level"), F.col(chunk_id).alias("chunk_id"), *facets,
-                         (F.col("text") if text is None else text).alias("_text")).repartition("chunk_id")
+    # one row per level, whatever the corpus; the check reads the level column only
+    sizes = chunks.groupBy(F.col(level).alias("academic_level")).agg(F.count(F.lit(1)).alias("n"))
+    known = sizes.limit(MAX_LEVELS + 1).collect()
+    few_levels = len(known) <= MAX_LEVELS
+    total = sum(r.n for r in known) if few_levels else chunks.count()
+    block = F.pmod(F.xxhash64(chunk_id), F.lit(max(1, -(-total // block_chunks)))).alias("block")
+    docs = chunks.select(block, F.col(level).alias("academic_level"), F.col(chunk_id).alias("chunk_id"), *facets,
+                         (F.col("text") if text is None else text).alias("_text")).repartition("block")
     tokens = docs.withColumn("_tokens", tokenize(F.col("_text"))).select(
-        "academic_level", "chunk_id", *facets, F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("token"))
-    postings = (tokens.groupBy("academic_level", "token", "chunk_id", "doc_len", *facets)
-                .agg(F.count(F.lit(1)).cast("int").alias("tf")))
+        "block", "academic_level", "chunk_id", *facets, F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("token"))
+    blocks = (tokens.groupBy("block", *TOKEN, "chunk_id", "doc_len", *facets)
+              .agg(F.count(F.lit(1)).cast("int").alias("tf")).groupBy("block", *TOKEN).agg(
+                  F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"),
+                  F.min(F.col("doc_len") / F.col("tf")).alias("min_len"),
+                  F.collect_list(F.struct("chunk_id", "tf", "doc_len", *facets)).alias("postings")))
     if staged:
-        postings = stage(postings)
-    # one row per level, whatever the corpus; the check reads the level column only
-    levels = chunks.select(F.col(level).alias("academic_level")).distinct()
-    few_levels = levels.limit(MAX_LEVELS + 1).count() <= MAX_LEVELS
-    counts = chunks.groupBy(F.col(level).alias("academic_level")).agg(F.count(F.lit(1)).alias("n"))
-    df = postings.groupBy("academic_level", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_cf"))
+        blocks = stage(blocks)
+    df = blocks.groupBy(*TOKEN).agg(F.sum("n").alias("df"), F.sum("cf").alias("_cf"), F.max("max_tf").alias("max_tf"),
+                                    F.min("min_len").alias("min_len"))
+    if staged:
+        df = stage(df)
     lengths = df.groupBy("academic_level").agg(F.sum("_cf").alias("_len"))
-    corpus = counts.join(lengths, "academic_level", "left").select(
+    corpus = sizes.join(lengths, "academic_level", "left").select(
         "academic_level", "n", (F.coalesce("_len", F.lit(0)) / F.col("n")).alias("avgdl"))
+    if staged:
+        corpus = stage(corpus)
     n, d = F.col("n"), F.col("df")
     terms = df.join(F.broadcast(corpus) if few_levels else corpus, "academic_level").select(
-        "academic_level", "token", "df", F.log((n - d + 0.5) / (d + 0.5) + 1.0).alias("idf"),
-        F.ceil(d / F.lit(rows_per_shard)).cast("int").alias("shards"))
-    return Bm25Index(postings, terms, corpus, by_chunk=not staged)
+        *TOKEN, "df", F.log((n - d + 0.5) / (d + 0.5) + 1.0).alias("idf"),
+        F.ceil(d / F.lit(rows_per_shard)).cast("int").alias("shards"), "max_tf", "min_len")
+    return Bm25Index(blocks, terms, corpus, by_block=not staged)
 
 
 def metadata_filter(have: list[str] | None = None) -> Column:
@@ -118,51 +153,175 @@ def metadata_filter(have: list[str] | None = None) -> Column:
     return cond
 
 
+def _saturated(tf: Column, length_per_tf: Column, k1: float, b: float) -> Column:
+    """Weight of a term frequency. Grows with tf, falls with the length per tf: of a block, the largest of one
+    and the least of the other bound it."""
+    return (k1 + 1) / (1 + k1 * ((1 - b) / tf + b * length_per_tf / F.col("avgdl")))
+
+
+def _terms(queries: DataFrame, index: Bm25Index, carry: tuple[str, ...], k1: float, b: float) -> DataFrame:
+    """One row per question, level and token that the index has, with its weight and the most it can add to a score."""
+    filters = [c for c in queries.columns if c.startswith("f_")]
+    asked = (queries.select("query_id", "academic_level", *filters, *carry, F.explode(tokenize(F.col("text"))).alias("token"))
+             .groupBy("query_id", *TOKEN, *filters, *carry).agg(F.count(F.lit(1)).alias("_qtf")))
+    weight = F.col("_qtf") * F.col("idf")
+    return asked.join(index.terms, TOKEN).join(index.corpus, "academic_level").select(
+        "query_id", *TOKEN, *filters, *carry, "df", "shards", "avgdl", weight.alias("weight"),
+        (weight * _saturated(F.col("max_tf"), F.col("min_len"), k1, b)).alias("bound"))
+
+
+def _meet(index: Bm25Index, terms: DataFrame, small: bool) -> DataFrame:
+    """Blocks of the tokens asked for, a row for each question.
+
+    Terms of checked size are broadcast to the blocks, which lie by block number: a block is shuffled at most once,
+    whatever the number of questions. Larger tables of terms meet them by (level, token, shard), where the blocks of
+    a frequent token are spread over shards.
+    """
+    terms = terms.drop("df", "bound")
+    if small:
+        blocks = index.blocks
+        if not index.by_block:
+            blocks = blocks.join(F.broadcast(terms.select(*TOKEN).distinct()), TOKEN, "left_semi").repartition("block")
+        return blocks.join(F.broadcast(terms.drop("shards")), TOKEN)
+    # only tokens of more than one shard are looked up: at most postings / rows_per_shard of them
+    hot = small_side(index.terms.filter(F.col("shards") > 1).select(*TOKEN, "shards"), BROADCAST_HOT)
+    shard = F.coalesce(F.pmod(F.col("block"), F.col("shards")), F.lit(0)).cast("int")
+    spread_out = index.blocks.join(hot, TOKEN, "left").withColumn("shard", shard).drop("shards")
+    copies = terms.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    return copies.join(spread_out, [*TOKEN, "shard"])
+
+
+def _sums(met: DataFrame, index: Bm25Index, keys: list[str], k1: float, b: float) -> DataFrame:
+    """(keys, block, chunk_id, score) over the postings of ``met`` that pass their question's filters."""
+    filters = [c for c in met.columns if c.startswith("f_")]
+    return _weighed(met.select(*keys, *filters, "block", "weight", "avgdl", F.inline("postings")), index, keys, k1, b)
+
+
+def _weighed(hits: DataFrame, index: Bm25Index, keys: list[str], k1: float, b: float) -> DataFrame:
+    if any(c.startswith("f_") for c in hits.columns):
+        hits = hits.filter(metadata_filter([f for f in FACETS if f in index.blocks.schema["postings"].dataType.elementType.names]))
+    weight = F.col("weight") * _saturated(F.col("tf"), F.col("doc_len") / F.col("tf"), k1, b)
+    return hits.groupBy(*keys, "block", "chunk_id").agg(F.sum(weight).alias("score")).filter(F.col("score") != 0)
+
+
 def bm25_scores(queries: DataFrame, index: Bm25Index, k1: float = fv.BM25_K1, b: float = fv.BM25_B,
                 carry: tuple[str, ...] = (), broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """(query_id, academic_level, chunk_id, score) of every chunk that shares a token.
+    """(query_id, academic_level, chunk_id, score) of every chunk that shares a token: nothing is skipped.
 
     ``queries``: query_id, academic_level (one row per level searched), text and optional
     f_* filters. Repeated question tokens count again. ``carry`` names per-question columns to keep.
-
-    Question terms of checked size are broadcast to the postings, which lie by chunk: a
-    posting is shuffled at most once, whatever the number of questions, and the
-    sum per (question, chunk) needs no shuffle of its own. Larger question tables meet the
-    postings by (level, token, shard), where frequent tokens are spread over shards.
     """
-    filters = [c for c in queries.columns if c.startswith("f_")]
-    asked = (queries.select("query_id", "academic_level", *filters, *carry, F.explode(tokenize(F.col("text"))).alias("token"))
-             .groupBy("query_id", "academic_level", "token", *filters, *carry).agg(F.count(F.lit(1)).alias("_qtf")))
-    terms = (asked.join(index.terms, ["academic_level", "token"]).join(index.corpus, "academic_level")
-             .withColumn("_weight", F.col("_qtf") * F.col("idf")).drop("n", "df", "idf", "_qtf"))
-    token = ["academic_level", "token"]
-    if asked.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        postings = index.postings
-        if not index.by_chunk:
-            needed = F.broadcast(asked.select(*token).distinct())
-            postings = postings.join(needed, token, "left_semi").repartition("chunk_id")
-        hits = postings.join(F.broadcast(terms.drop("shards")), token)
-    else:
-        # only tokens of more than one shard are looked up: at most postings / rows_per_shard of them
-        hot = index.terms.filter(F.col("shards") > 1).select(*token, "shards")
-        shard = F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("shards")), F.lit(0)).cast("int")
-        spread_out = index.postings.join(hot, token, "left").withColumn("shard", shard).drop("shards")
-        copies = terms.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-        hits = copies.join(spread_out, [*token, "shard"])
-    if filters:
-        hits = hits.filter(metadata_filter([f for f in FACETS if f in index.postings.columns]))
-    tf = F.col("tf").cast("double")
-    weight = F.col("_weight") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    return (hits.groupBy("query_id", "academic_level", "chunk_id", *carry)
-            .agg(F.sum(weight).alias("score")).filter(F.col("score") != 0))
+    terms = _terms(queries, index, carry, k1, b)
+    small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
+    return _sums(_meet(index, terms, small), index, ["query_id", "academic_level", *carry], k1, b).drop("block")
+
+
+#: ranks go by rounded scores, and sums depend on their order a little
+_SLACK = 3 * 10.0 ** -RANK_DIGITS
+
+
+def _places(index: Bm25Index, rows: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token, block, chunk_id, weight, avgdl, filters): postings to read for the chunks of ``rows``, if they are there."""
+    others = terms.drop("df", "shards", "bound", "floor", "rest", "needed")
+    return stage(rows.select(*keys, "block", "chunk_id").join(others, keys))
+
+
+def _looked_up(index: Bm25Index, wanted: DataFrame, keys: list[str], k1: float, b: float) -> DataFrame:
+    """(keys, block, chunk_id, score): sums over the wanted postings; only the blocks that hold them are opened."""
+    opened = small_side(wanted.select(*TOKEN, "block").distinct(), BROADCAST_BLOCKS)
+    postings = index.blocks.select(*TOKEN, "block", "postings").join(opened, [*TOKEN, "block"], "left_semi").select(
+        *TOKEN, "block", F.inline("postings"))
+    hits = postings.join(small_side(wanted, BROADCAST_BLOCKS), [*TOKEN, "block", "chunk_id"])
+    return _weighed(hits, index, keys, k1, b)
+
+
+def _with_more(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, chunk_id, score): both sums together."""
+    more = more.select(*keys, "block", "chunk_id", F.col("score").alias("_more"))
+    return rows.select(*keys, "block", "chunk_id", "score").join(more, [*keys, "block", "chunk_id"], "left").withColumn(
+        "score", F.col("score") + F.coalesce("_more", F.lit(0.0))).drop("_more")
+
+
+@dataclass
+class _Search:
+    """terms with ``needed`` (leads to candidates); (keys, block, chunk_id, score over the needed tokens) of the
+    candidates; and, of first guesses and of candidates, the postings that were looked up."""
+
+    terms: DataFrame
+    rows: DataFrame
+    looked_up: list[DataFrame]
+
+
+def _candidates(terms: DataFrame, index: Bm25Index, k: int, group: list[str], keys: list[str], small: bool,
+                k1: float, b: float) -> _Search:
+    # the rarest tokens of each question, one at least, give k guesses; their whole scores bound that of the k-th hit
+    rarest = Window.partitionBy(*group).orderBy("df", *TOKEN).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = terms.withColumn("_read", F.sum("df").over(rarest))
+    seed = (F.col("_read") <= SEED_POSTINGS) | (F.col("_read") == F.col("df"))
+    guesses = stage(top_k(_sums(_meet(index, ordered.filter(seed).drop("_read"), small), index, keys, k1, b),
+                          group, by_score("score", "chunk_id"), k).drop("rank"))
+    first = _places(index, guesses, ordered.filter(~seed).drop("_read"), keys)
+    whole = _with_more(guesses, _looked_up(index, first, keys, k1, b), keys)
+    floors = whole.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), (F.min("score") - _SLACK).alias("floor")).filter(
+        F.col("_n") == k).drop("_n")
+    # tokens from the least bound up: as long as they stay below the floor together, they lead to no candidate
+    least = (Window.partitionBy("query_id", "academic_level").orderBy("bound", "token")
+             .rowsBetween(Window.unboundedPreceding, 0))
+    below = F.coalesce(F.sum("bound").over(least) * (1 + 1e-9) < F.col("floor"), F.lit(False))
+    terms = terms.join(floors, group, "left").withColumn("needed", ~below)
+    rest = F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("bound"))).over(Window.partitionBy("query_id", "academic_level"))
+    terms = stage(terms.withColumn("rest", rest * (1 + 1e-9)).withColumn("floor", F.coalesce("floor", F.lit(0.0))))
+    led = _meet(index, terms.filter("needed"), small)
+    sums = _sums(led, index, [*keys, "floor", "rest"], k1, b).filter(F.col("score") + F.col("rest") >= F.col("floor"))
+    rows, others = stage(sums.select(*keys, "block", "chunk_id", "score", "floor")), terms.filter("not needed")
+    # what the other tokens can add is bounded anew by the blocks that the candidates lie in
+    held = rows.select(*keys, "block").distinct().join(others.select(*keys, "token", "weight", "avgdl"), keys)
+    most = held.join(index.blocks.select(*TOKEN, "block", "max_tf", "min_len"), [*TOKEN, "block"]).groupBy(*keys, "block").agg(
+        (F.sum(F.col("weight") * _saturated(F.col("max_tf"), F.col("min_len"), k1, b)) * (1 + 1e-9)).alias("_most"))
+    rows = stage(rows.join(most, [*keys, "block"], "left").filter(
+        F.col("score") + F.coalesce("_most", F.lit(0.0)) >= F.col("floor")).select(*keys, "block", "chunk_id", "score"))
+    return _Search(terms, rows, [first, _places(index, rows, others, keys)])
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, k: int | str, k_max: int | None = None,
-                per_level: bool = True, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """(query_id, academic_level, chunk_id, score, rank): best ``k`` per level, or over all levels."""
-    keys = ["query_id", "academic_level"] if per_level else ["query_id"]
+                per_level: bool = True, broadcast_terms: int = BROADCAST_TERMS,
+                k1: float = fv.BM25_K1, b: float = fv.BM25_B, plain_postings: int = PLAIN_POSTINGS) -> DataFrame:
+    """(query_id, academic_level, chunk_id, score, rank): best ``k`` per level, or over all levels; exact.
+
+    Equal to the best rows of ``bm25_scores``, which is taken as it is where the tokens asked for have no more than
+    ``plain_postings`` postings in all. ``k`` is a number or the name of a column (then ``k_max`` bounds it).
+    """
+    group = ["query_id", "academic_level"] if per_level else ["query_id"]
+    carry = () if isinstance(k, int) else (k,)
+    limit = k if isinstance(k, int) else k_max
+    if limit is None:
+        raise ValueError("a per-question k needs k_max")
+    keys = ["query_id", "academic_level", *carry]
+    terms = stage(_terms(queries, index, carry, k1, b))
+    asked, postings = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    small = asked <= broadcast_terms
+    if postings <= plain_postings:
+        scores = _sums(_meet(index, terms, small), index, keys, k1, b).drop("block")
+    else:
+        found = _candidates(terms, index, limit, group, keys, small, k1, b)
+        scores = _with_more(found.rows, _looked_up(index, found.looked_up[1], keys, k1, b), keys).drop("block")
     order = by_score("score", "chunk_id")
     if isinstance(k, int):
-        return top_k(bm25_scores(queries, index, broadcast_terms=broadcast_terms), keys, order, k)
-    scores = bm25_scores(queries, index, carry=(k,), broadcast_terms=broadcast_terms)
-    return top_k(scores, keys, order, F.col(k), k_max).drop(k)
+        return top_k(scores, group, order, k)
+    return top_k(scores, group, order, F.col(k), k_max).drop(k)
+
+
+def blocks_read(queries: DataFrame, index: Bm25Index, k: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(academic_level, token, blocks, opened): blocks of each token asked for, and how many of them a search of these
+    questions opens: all of a token that leads to candidates, else those that candidates lie in."""
+    keys = ["query_id", "academic_level"]
+    terms = stage(_terms(queries, index, (), fv.BM25_K1, fv.BM25_B))
+    found = _candidates(terms, index, k, keys, keys, terms.count() <= broadcast_terms, fv.BM25_K1, fv.BM25_B)
+    led = found.terms.filter("needed").select(*TOKEN).distinct().join(index.blocks.select(*TOKEN, "block"), TOKEN)
+    places = [x.select(*TOKEN, "block") for x in found.looked_up]
+    # a chunk looked up need not hold the token: only blocks that are there count
+    held = index.blocks.select(*TOKEN, "block").join(small_side(found.terms.select(*TOKEN).distinct()), TOKEN, "left_semi")
+    opened = (places[0].unionByName(places[1]).unionByName(led).distinct().join(held, [*TOKEN, "block"])
+              .groupBy(*TOKEN).agg(F.count(F.lit(1)).alias("opened")))
+    return held.groupBy(*TOKEN).agg(F.count(F.lit(1)).alias("blocks")).join(opened, TOKEN, "left").select(
+        *TOKEN, "blocks", F.coalesce("opened", F.lit(0)).alias("opened"))

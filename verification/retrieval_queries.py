@@ -85,8 +85,8 @@ def _(spark, sf):
 
 @query("bm25_search_shards", SQL["bm25_search"])
 def _(spark, sf):
-    index = BM.bm25_index(documents(spark, sf), rows_per_shard=100)
-    hits = BM.bm25_search(benchmark_questions(spark, sf), index, 10, broadcast_terms=0)
+    index = BM.bm25_index(documents(spark, sf), rows_per_shard=100, staged=True)
+    hits = BM.bm25_search(benchmark_questions(spark, sf), index, 10, broadcast_terms=0, plain_postings=0)
     return hits.select("query_id", "academic_level", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
@@ -105,26 +105,20 @@ FILTER_SQL = """(f_department is null or f_department = ch.department) and (f_se
  and (f_faculty is null or f_faculty = ch.faculty) and (f_course_code is null or list_contains(ch.course_codes, f_course_code))"""
 
 
-@query("metadata_filter", f"""{QS}, {UNDERSTOOD_SQL}, {DOCS_SQL}, asks as (select query_id, text as qtext, 'undergraduate' as academic_level from q),
+FILTERED_SQL = f"""{QS}, {UNDERSTOOD_SQL}, {DOCS_SQL}, asks as (select query_id, text as qtext, academic_level from q cross join (select distinct academic_level from ch)),
  {bm25_sql('docs', 'asks', 'join uf using (query_id) join ch using (academic_level, chunk_id) where ' + FILTER_SQL)}
- select query_id, chunk_id, rank from (select *, cast(row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) - 1 as int) as rank from sc) where rank < 10""")
-def _(spark, sf):
-    ch = BM.searchable(chunks(spark, sf))
-    u = U.understand(questions(spark, sf), K.all_aliases(chunks(spark, sf))).withColumn("academic_level", F.lit("undergraduate"))
-    asked = u.select("query_id", "academic_level", "text", "f_department", "f_section", "f_faculty", "f_course_code")
-    return BM.bm25_search(asked, BM.bm25_index(ch, BM.rich_text()), 10).select("query_id", "chunk_id", "rank")
+ select query_id, academic_level, chunk_id, rank from (select *, cast(row_number() over (partition by query_id, academic_level order by round(score, 6) desc, chunk_id) - 1 as int) as rank from sc) where rank < 10"""
 
 
-@query("metadata_filter_levels", f"""{QS}, {UNDERSTOOD_SQL}, {DOCS_SQL}, asks as (select query_id, text as qtext, academic_level from q cross join (select distinct academic_level from ch)),
- {bm25_sql('docs', 'asks', 'join uf using (query_id) join ch using (academic_level, chunk_id) where ' + FILTER_SQL)}
- select query_id, academic_level, chunk_id, rank from (select *, cast(row_number() over (partition by query_id, academic_level order by round(score, 6) desc, chunk_id) - 1 as int) as rank from sc) where rank < 10""")
+@query("metadata_filter", FILTERED_SQL)
+@query("metadata_filter_levels", FILTERED_SQL)
 def _(spark, sf):
     """Every question asks every level of the chunk table."""
     ch = BM.searchable(chunks(spark, sf))
     levels = small_side(ch.select("academic_level").distinct())
     u = U.understand(questions(spark, sf), K.all_aliases(chunks(spark, sf))).crossJoin(levels)
     asked = u.select("query_id", "academic_level", "text", "f_department", "f_section", "f_faculty", "f_course_code")
-    return BM.bm25_search(asked, BM.bm25_index(ch, BM.rich_text()), 10).select("query_id", "academic_level", "chunk_id", "rank")
+    return BM.bm25_search(asked, BM.bm25_index(ch, BM.rich_text(), staged=True), 10).select("query_id", "academic_level", "chunk_id", "rank")
 
 
 # --- vector search ----------------------------------------------------------
@@ -183,19 +177,13 @@ def fuse_sql(legs: str) -> str:
  fz as (select query_id, chunk_id, rrf_score, fused_rank from (select *, cast(row_number() over (partition by query_id order by rrf_score desc, first) - 1 as int) as fused_rank from fs) where fused_rank < 30)"""
 
 
-@query("rrf_fuse", f"""with c as {CANDS_SQL}, legs as (select query_id, 0 as leg, fused_rank as rank, chunk_id, page % 3 as page, text from c where fused_rank % 3 <> 0
-  union all select query_id, 1, 24 - fused_rank, chunk_id, page % 3, text from c where fused_rank % 2 = 0), {fuse_sql('legs')}
- select query_id, chunk_id, fused_rank, round(rrf_score, 9) as rrf_score from fz""")
-def _(spark, sf):
-    c = candidates(spark, sf).withColumn("page", F.col("page") % 3)
-    dense = c.filter("fused_rank % 3 <> 0").withColumnRenamed("fused_rank", "rank")
-    sparse = c.filter("fused_rank % 2 = 0").withColumn("rank", 24 - F.col("fused_rank")).drop("fused_rank")
-    return FU.rrf_fuse(dense, sparse).select("query_id", "chunk_id", "fused_rank", F.round("rrf_score", 9).alias("rrf_score"))
+RRF_SQL = f"""with c as {CANDS_SQL}, legs as (select query_id, 0 as leg, fused_rank as rank, chunk_id, page % 3 as page, text from c where fused_rank % 3 <> 0
+  union all select query_id, 1, 24 - fused_rank, chunk_id, page % 3, text from c where fused_rank % 2 = 0 or fused_rank % 3 = 0), {fuse_sql('legs')}
+ select query_id, chunk_id, fused_rank, round(rrf_score, 9) as rrf_score from fz"""
 
 
-@query("rrf_fuse_all", f"""with c as {CANDS_SQL}, legs as (select query_id, 0 as leg, fused_rank as rank, chunk_id, page % 3 as page, text from c where fused_rank % 3 <> 0
-  union all select query_id, 1, 24 - fused_rank, chunk_id, page % 3, text from c where fused_rank % 2 = 0 or fused_rank % 3 = 0), {fuse_sql('legs')}
- select query_id, chunk_id, fused_rank, round(rrf_score, 9) as rrf_score from fz""")
+@query("rrf_fuse", RRF_SQL)
+@query("rrf_fuse_all", RRF_SQL)
 def _(spark, sf):
     """Every candidate stands in a list: of each six ranks two in the dense one, two in the sparse one and two in both."""
     c = candidates(spark, sf).withColumn("page", F.col("page") % 3)
@@ -353,20 +341,13 @@ def _(spark, sf):
     return CX.pack_context_flat(ordered(spark, sf)).select("query_id", F.md5("context").alias("md5"))
 
 
-@query("related_chunks", f"""with r as (select distinct section, department, academic_level, dense_rank() over (order by section, department, academic_level) as k from {CHUNKS_SQL} where page % 5 = 0)
+RELATED_SQL = f"""with r as (select distinct section, department, academic_level from {CHUNKS_SQL})
  select r.section as asked_section, coalesce(r.department, 'NULL') as asked_department, c.chunk_id from r join {CHUNKS_SQL} c on c.academic_level = r.academic_level
-  and c.department is not distinct from r.department and c.section is not distinct from r.section""")
-def _(spark, sf):
-    ch = chunks(spark, sf)
-    asked = ch.filter("page % 5 = 0").select("section", "department", "academic_level").distinct().withColumn(
-        "query_id", F.struct("section", "department"))
-    return PO.related_chunks(asked, ch).select(F.col("query_id.section").alias("asked_section"),
-                                               F.coalesce("query_id.department", F.lit("NULL")).alias("asked_department"), "chunk_id")
+  and c.department is not distinct from r.department and c.section is not distinct from r.section"""
 
 
-@query("related_chunks_all", f"""with r as (select distinct section, department, academic_level from {CHUNKS_SQL})
- select r.section as asked_section, coalesce(r.department, 'NULL') as asked_department, c.chunk_id from r join {CHUNKS_SQL} c on c.academic_level = r.academic_level
-  and c.department is not distinct from r.department and c.section is not distinct from r.section""")
+@query("related_chunks", RELATED_SQL)
+@query("related_chunks_all", RELATED_SQL)
 def _(spark, sf):
     """Every group of the chunk table is asked for, with a department or without."""
     ch = chunks(spark, sf)
@@ -524,20 +505,14 @@ def _(spark, sf):
     return ST.load_snapshot(spark, path, e.schema).select("seq", F.md5("query").alias("query_md5"), F.md5("answer").alias("answer_md5"))
 
 
-@query("upsert_by_id", """with n as (select md5(text) as id, doc_id as seq, source from documents where doc_id % 2 = 1),
+UPSERT_SQL = """with n as (select md5(text) as id, doc_id as seq, source from documents where doc_id % 3 <> 0 or doc_id % 2 = 1),
  l as (select id, max(seq) as seq, arg_max(source, seq) as source from n group by 1),
  o as (select md5(text) as id, min(doc_id) as seq, arg_min(source, doc_id) as source from documents where doc_id % 3 = 0 group by 1)
- select * from l union all select * from o where id not in (select id from l)""")
-def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.md5("text").alias("id"), F.col("doc_id").alias("seq"), "source")
-    old = d.filter("seq % 3 = 0").groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("source", "seq").alias("source"))
-    return ST.upsert_by_id(old, d.filter("seq % 2 = 1"), "id")
+ select * from l union all select * from o where id not in (select id from l)"""
 
 
-@query("upsert_by_id_all", """with n as (select md5(text) as id, doc_id as seq, source from documents where doc_id % 3 <> 0 or doc_id % 2 = 1),
- l as (select id, max(seq) as seq, arg_max(source, seq) as source from n group by 1),
- o as (select md5(text) as id, min(doc_id) as seq, arg_min(source, doc_id) as source from documents where doc_id % 3 = 0 group by 1)
- select * from l union all select * from o where id not in (select id from l)""")
+@query("upsert_by_id", UPSERT_SQL)
+@query("upsert_by_id_all", UPSERT_SQL)
 def _(spark, sf):
     """Every document is on the old side, the new side, or (doc_id % 6 = 3) both."""
     d = table(spark, sf, "documents").select(F.md5("text").alias("id"), F.col("doc_id").alias("seq"), "source")
