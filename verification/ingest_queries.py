@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leafquery.functions import fixed_values as fv, vectors as V
 from leafquery.functions.staging import shared_folder
 from leafquery.functions.text import strip
-from leafquery.operators import chunks as C, embed as E, sections as S, vocab as K
+from leafquery.operators import chunks as C, embed as E, sections as S, trained as TR, vocab as K
 from leafquery.plans import ingest as P
 from leafquery.sources import pages as SP, tables as ST
 
@@ -416,3 +416,11 @@ def _(spark, sf):
 @query("designation_terms", f"select distinct lower(trim(designation)) as term from {CHUNKS_SQL} where designation is not null and length(trim(designation)) between 1 and 50")
 def _(spark, sf):
     return K.designation_terms(chunks(spark, sf)).select(F.col("name").alias("term"))
+
+
+# --- a trained encoder ------------------------------------------------------
+@query("embed_trained")
+def _(spark, sf):
+    """Vectors of all documents by an encoder trained on all of them; no SQL, tests hold it against numpy."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return TR.embed_trained(docs, TR.train(docs, dimension=32, steps=4)).select("chunk_id", "vec")
