@@ -33,8 +33,8 @@ BROADCAST_HOT = 100_000
 SEED_POSTINGS = 2_000
 #: blocks that survive for candidates and may be broadcast
 BROADCAST_BLOCKS = 500_000
-#: postings of all tokens asked for up to which reading them all is cheaper than finding out which to skip
-PLAIN_POSTINGS = 20_000_000
+#: postings of all tokens asked for up to which all are read: finding out which to skip costs more (measured up to 45 million)
+PLAIN_POSTINGS = 1_000_000_000
 TOKEN = ["academic_level", "token"]
 
 
@@ -253,7 +253,8 @@ class _Search:
 
 
 def _candidates(terms: DataFrame, index: Bm25Index, k: int, group: list[str], keys: list[str], small: bool,
-                k1: float, b: float) -> _Search:
+                k1: float, b: float, always: bool) -> _Search | None:
+    """None where the candidates' look-ups would be more than the postings that they save, unless ``always``."""
     # the rarest tokens of each question, one at least, give k guesses; their whole scores bound that of the k-th hit
     rarest = Window.partitionBy(*group).orderBy("df", *TOKEN).rowsBetween(Window.unboundedPreceding, 0)
     ordered = terms.withColumn("_read", F.sum("df").over(rarest))
@@ -280,6 +281,11 @@ def _candidates(terms: DataFrame, index: Bm25Index, k: int, group: list[str], ke
         (F.sum(F.col("weight") * _saturated(F.col("max_tf"), F.col("min_len"), k1, b)) * (1 + 1e-9)).alias("_most"))
     rows = stage(rows.join(most, [*keys, "block"], "left").filter(
         F.col("score") + F.coalesce("_most", F.lit(0.0)) >= F.col("floor")).select(*keys, "block", "chunk_id", "score"))
+    if not always:
+        each = others.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("df").alias("_df"))
+        look_ups = rows.join(each, keys).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        if look_ups > (each.agg(F.sum("_df")).first()[0] or 0):
+            return None
     return _Search(terms, rows, [first, _places(index, rows, others, keys)])
 
 
@@ -289,7 +295,7 @@ def bm25_search(queries: DataFrame, index: Bm25Index, k: int | str, k_max: int |
     """(query_id, academic_level, chunk_id, score, rank): best ``k`` per level, or over all levels; exact.
 
     Equal to the best rows of ``bm25_scores``, which is taken as it is where the tokens asked for have no more than
-    ``plain_postings`` postings in all. ``k`` is a number or the name of a column (then ``k_max`` bounds it).
+    ``plain_postings`` postings in all, or where skipping would save nothing (0: postings are always skipped). ``k`` is a number or the name of a column (then ``k_max`` bounds it).
     """
     group = ["query_id", "academic_level"] if per_level else ["query_id"]
     carry = () if isinstance(k, int) else (k,)
@@ -300,10 +306,12 @@ def bm25_search(queries: DataFrame, index: Bm25Index, k: int | str, k_max: int |
     terms = stage(_terms(queries, index, carry, k1, b))
     asked, postings = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
     small = asked <= broadcast_terms
-    if postings <= plain_postings:
+    found = None
+    if postings > plain_postings:
+        found = _candidates(terms, index, limit, group, keys, small, k1, b, always=not plain_postings)
+    if found is None:
         scores = _sums(_meet(index, terms, small), index, keys, k1, b).drop("block")
     else:
-        found = _candidates(terms, index, limit, group, keys, small, k1, b)
         scores = _with_more(found.rows, _looked_up(index, found.looked_up[1], keys, k1, b), keys).drop("block")
     order = by_score("score", "chunk_id")
     if isinstance(k, int):
@@ -316,7 +324,7 @@ def blocks_read(queries: DataFrame, index: Bm25Index, k: int, broadcast_terms: i
     questions opens: all of a token that leads to candidates, else those that candidates lie in."""
     keys = ["query_id", "academic_level"]
     terms = stage(_terms(queries, index, (), fv.BM25_K1, fv.BM25_B))
-    found = _candidates(terms, index, k, keys, keys, terms.count() <= broadcast_terms, fv.BM25_K1, fv.BM25_B)
+    found = _candidates(terms, index, k, keys, keys, terms.count() <= broadcast_terms, fv.BM25_K1, fv.BM25_B, True)
     led = found.terms.filter("needed").select(*TOKEN).distinct().join(index.blocks.select(*TOKEN, "block"), TOKEN)
     places = [x.select(*TOKEN, "block") for x in found.looked_up]
     # a chunk looked up need not hold the token: only blocks that are there count
