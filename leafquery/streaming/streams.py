@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
+from ..operators.bm25 import rich_text, searchable
+from ..operators.segments import SegmentedIndex
 from ..operators.understand import (academic_level, detect_course, detect_entity, detect_fee_type, detect_person,
                                     detect_section, detect_semester, detect_year_level, is_identity_question,
                                     needs_rewrite, strategy_name, strategy_table)
@@ -21,7 +23,7 @@ from ..plans.answer import route
 from ..plans.ingest import Corpus, chunks_of_pages
 from ..plans.retrieve import retrieve
 from ..sources.pages import PAGE_SCHEMA
-from ..sources.tables import read_or_empty, replace_level
+from ..sources.tables import CHUNK_SCHEMA, read_or_empty, replace_level
 
 STATUS_LOG_SCHEMA = T.StructType([
     T.StructField("academic_level", T.StringType()), T.StructField("ingestion_status", T.StringType()),
@@ -67,13 +69,15 @@ def current_status(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_ingest(pages: DataFrame, chunks_path: str, status_path: str, checkpoint: str, available_now: bool = False,
-                  **chunk_options) -> StreamingQuery:
+                  index_path: str | None = None, **chunk_options) -> StreamingQuery:
     """A complete upload replaces its level; the status goes processing -> completed or failed.
 
     An upload may arrive over any number of micro-batches: its pages are gathered beside the checkpoint,
     one folder for each batch (written anew when a batch is replayed), and its level is replaced by the
     batch that brings its last page. Of several complete uploads of a level the one with the largest
-    upload_id counts. A failure to build the chunks is logged in full and raised, so that the batch is
+    upload_id counts. With ``index_path`` the keyword index and the vocabularies there (``SegmentedIndex``) get the same
+    levels before the status says completed; other levels are not counted again, and a batch that is
+    replayed replaces them once more, by the same rows. A failure to build the chunks is logged in full and raised, so that the batch is
     tried again.
     """
     gathered = f"{checkpoint}-pages"
@@ -98,6 +102,12 @@ def stream_ingest(pages: DataFrame, chunks_path: str, status_path: str, checkpoi
             try:
                 own = kept.filter(F.col("batch_id") <= batch_id).join(complete, ["academic_level", "upload_id"], "left_semi")
                 replace_level(chunks_of_pages(own.select(*PAGE_SCHEMA.names), **chunk_options), chunks_path)
+                if index_path:
+                    names = [r[0] for r in complete.select("academic_level").dropna().collect()]
+                    new = spark.read.schema(CHUNK_SCHEMA).parquet(chunks_path).filter(F.col("academic_level").isin(names))
+                    index = SegmentedIndex(spark, index_path)
+                    index.replace(searchable(new), rich_text(), emptied=tuple(names))
+                    index.compact()
             except Exception as error:
                 _log_status(complete, status_path, batch_id, 1, "failed", str(error))
                 raise

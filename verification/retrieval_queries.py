@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafquery.functions.staging import small_side, stage
 from leafquery.operators import (bm25 as BM, bm25_blocks as BB, context as CX, dense as D, fuse as FU, pool as PO, rerank as RR,
-                                 reuse as RE, understand as U, vocab as K)
+                                 reuse as RE, segments as SG, understand as U, vocab as K)
 from leafquery.operators.ranking import by_score, top_k
 from leafquery.plans.ingest import Corpus
 from leafquery.plans.retrieve import retrieve
@@ -68,6 +68,23 @@ def _(spark, sf):
         "academic_level", "token", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+@query("bm25_segments", SQL["bm25_index"])
+def _(spark, sf):
+    """The index of all documents after changes: stale texts and foreign chunks first, then replaced, upserted, deleted, united."""
+    docs = documents(spark, sf)
+    stale = F.concat(F.lit("stale notice "), F.col("academic_level"), F.lit(" "), F.col("chunk_id").cast("string"))
+    foreign = docs.withColumn("chunk_id", -F.col("chunk_id") - 1)
+    index = SG.SegmentedIndex(spark, new_folder(spark), rows_per_shard=100)
+    index.replace(docs.unionByName(foreign), stale)
+    index.replace(docs.filter("academic_level = 'en'"))
+    index.upsert(docs.filter("academic_level <> 'en'"))
+    index.delete(foreign)
+    index.compact(2)
+    ix = index.index()
+    return ix.terms.join(ix.corpus, "academic_level").select(
+        "academic_level", "token", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query("bm25_postings", BENCH_SQL + """ select academic_level, count(*) as postings, cast(sum(tf) as bigint) as tokens, cast(sum(tf * dl) as bigint) as weight
  from tf join dl using (academic_level, chunk_id) group by 1""")
 def _(spark, sf):
