@@ -34,6 +34,13 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies; one that is not there is passed over."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
 

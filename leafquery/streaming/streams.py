@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
+from ..functions.staging import remove_folder
 from ..operators.bm25 import rich_text, searchable
 from ..operators.segments import SegmentedIndex
 from ..operators.understand import (academic_level, detect_course, detect_entity, detect_fee_type, detect_person,
@@ -68,13 +70,38 @@ def current_status(spark: SparkSession, path: str) -> DataFrame:
     return last.select("academic_level", "_s.*")
 
 
+GATHERED_SCHEMA = T.StructType([*UPLOAD_SCHEMA.fields, T.StructField("upload", T.StringType()),
+                                T.StructField("batch_id", T.LongType())])
+DONE_SCHEMA = T.StructType([T.StructField("upload", T.StringType()), T.StructField("batch_id", T.LongType())])
+#: uploads of one batch whose folders are named one by one; of more, all gathered pages are read
+LISTED_UPLOADS = 10_000
+
+
+def _upload_key() -> Column:
+    """Folder name of an upload: a level may be any string."""
+    return F.concat(F.lit("u"), F.md5(F.to_json(F.struct("academic_level", "upload_id"))))
+
+
+def _forget(spark: SparkSession, gathered: str, batch_id: int) -> None:
+    """Remove the pages of uploads that an earlier batch has completed: this one runs, so that one is committed."""
+    done = read_or_empty(spark, f"{gathered}-done", "parquet", DONE_SCHEMA).filter(F.col("batch_id") < batch_id)
+    batches = set()
+    for row in done.distinct().toLocalIterator():
+        remove_folder(spark, f"{gathered}/upload={row.upload}")
+        batches.add(row.batch_id)
+    for b in sorted(batches):
+        remove_folder(spark, f"{gathered}-done/batch_id={b}")
+
+
 def stream_ingest(pages: DataFrame, chunks_path: str, status_path: str, checkpoint: str, available_now: bool = False,
                   index_path: str | None = None, **chunk_options) -> StreamingQuery:
     """A complete upload replaces its level; the status goes processing -> completed or failed.
 
-    An upload may arrive over any number of micro-batches: its pages are gathered beside the checkpoint,
-    one folder for each batch (written anew when a batch is replayed), and its level is replaced by the
-    batch that brings its last page. Of several complete uploads of a level the one with the largest
+    An upload may arrive over any number of micro-batches: its pages are gathered beside the checkpoint, in a
+    folder of the upload with one partition for each batch (written anew when a batch is replayed), and its level is replaced
+    by the batch that brings its last page. A batch reads the folders of its own uploads only. The
+    pages of a complete upload are removed by the next batch, since the one that completed it may be replayed until
+    then; pages that come for it later begin it anew. Of several complete uploads of a level the one with the largest
     upload_id counts. With ``index_path`` the keyword index and the vocabularies there (``SegmentedIndex``) get the same
     levels before the status says completed; other levels are not counted again, and a batch that is
     replayed replaces them once more, by the same rows. A failure to build the chunks is logged in full and raised, so that the batch is
@@ -84,12 +111,22 @@ def stream_ingest(pages: DataFrame, chunks_path: str, status_path: str, checkpoi
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(batch, gathered, batch_id)
-        kept = spark.read.schema(T.StructType([*UPLOAD_SCHEMA.fields, T.StructField("batch_id", T.LongType())])).parquet(gathered)
-        touched = kept.filter(F.col("batch_id") == batch_id).select("academic_level", "upload_id").distinct()
-        uploads = (kept.filter(F.col("batch_id") <= batch_id).groupBy("academic_level", "upload_id")
-                   .agg(F.count("*").alias("here"), F.max("upload_pages").alias("pages"))
-                   .join(touched, ["academic_level", "upload_id"], "left_semi"))
+        _forget(spark, gathered, batch_id)
+        pages = batch.withColumn("upload", _upload_key())
+        (pages.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("upload", "batch_id").parquet(gathered))
+        own = [r[0] for r in pages.select("upload").distinct().limit(LISTED_UPLOADS + 1).collect()]
+        if not own:
+            return
+        read = spark.read.schema(GATHERED_SCHEMA).option("basePath", gathered)
+        if len(own) <= LISTED_UPLOADS:
+            kept = read.parquet(*[f"{gathered}/upload={u}" for u in own])
+        else:
+            kept = read.parquet(gathered).join(pages.select("upload").distinct(), "upload", "left_semi")
+        kept = kept.filter(F.col("batch_id") <= batch_id)
+        touched = kept.select("academic_level", "upload_id").distinct()
+        uploads = (kept.groupBy("academic_level", "upload_id")
+                   .agg(F.count("*").alias("here"), F.max("upload_pages").alias("pages")))
         ready = (uploads.filter("here >= pages").groupBy("academic_level").agg(F.max("upload_id").alias("upload_id")))
         levels = (touched.select("academic_level").distinct().join(ready, "academic_level", "left")).persist()
         try:
@@ -100,8 +137,8 @@ def stream_ingest(pages: DataFrame, chunks_path: str, status_path: str, checkpoi
             if complete.isEmpty():
                 return
             try:
-                own = kept.filter(F.col("batch_id") <= batch_id).join(complete, ["academic_level", "upload_id"], "left_semi")
-                replace_level(chunks_of_pages(own.select(*PAGE_SCHEMA.names), **chunk_options), chunks_path)
+                newest = kept.join(complete, ["academic_level", "upload_id"], "left_semi")
+                replace_level(chunks_of_pages(newest.select(*PAGE_SCHEMA.names), **chunk_options), chunks_path)
                 if index_path:
                     names = [r[0] for r in complete.select("academic_level").dropna().collect()]
                     new = spark.read.schema(CHUNK_SCHEMA).parquet(chunks_path).filter(F.col("academic_level").isin(names))
@@ -112,6 +149,7 @@ def stream_ingest(pages: DataFrame, chunks_path: str, status_path: str, checkpoi
                 _log_status(complete, status_path, batch_id, 1, "failed", str(error))
                 raise
             _log_status(complete, status_path, batch_id, 1, "completed")
+            write_batch(uploads.filter("here >= pages").select(_upload_key().alias("upload")), f"{gathered}-done", batch_id)
         finally:
             levels.unpersist()
 
@@ -168,26 +206,48 @@ def _later(latest: pd.Timestamp | None, times: pd.Series) -> pd.Timestamp | None
     return newest if latest is None or (newest is not None and newest > latest) else latest
 
 
+def _order(ids: pd.Series) -> np.ndarray:
+    """Numbers to sort by; a question without a number comes last."""
+    return ids.fillna(2 ** 62).astype("int64").to_numpy()
+
+
 def stream_exact_reuse(questions: DataFrame, watermark: str = "1 hour", ttl_ms: int = 3_600_000) -> DataFrame:
     """(key, query_id, answer, hit): an answer seen for the same key before is given again.
 
     questions: key, query_id, ts, answer (of the generator, NULL if there is none yet). The state of a
     key is one answer, dropped ``ttl_ms`` of event time after its last question; a global cap could
-    not be partitioned. Inside one micro-batch the order is that of query_id, over all its rows of a key.
+    not be partitioned. Inside one micro-batch the order is that of query_id, over all its rows of a key; of
+    those only the numbers are held, not the answers, and none once the key has an answer. Of repeated rows of the question
+    that brings the answer, one is no hit.
     """
     def reuse(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         known = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("query_id")
-        latest = _later(None, rows["ts"])
-        answers, hits = [], []
-        for given in rows["answer"]:
-            hits.append(known is not None)
-            known = given if known is None else known
-            answers.append(known)
-        yield pd.DataFrame({"key": key[0], "query_id": rows["query_id"].to_numpy(), "answer": answers, "hit": hits})
+        first, waiting, latest = None, [], None
+        for rows in batches:
+            latest = _later(latest, rows["ts"])
+            if known is not None:
+                yield pd.DataFrame({"key": key[0], "query_id": rows["query_id"], "answer": known, "hit": True})
+                continue
+            waiting.append(rows["query_id"])
+            given = rows[rows["answer"].notna()]
+            if len(given):
+                at = int(_order(given["query_id"]).argmin())
+                found = (int(_order(given["query_id"])[at]), given["answer"].iloc[at])
+                first = found if first is None or found[0] < first[0] else first
+        unused = True
+        for ids in waiting:
+            order = _order(ids)
+            reached = order >= first[0] if first else np.zeros(len(order), dtype=bool)
+            hits = reached.copy()
+            own = np.flatnonzero(order == first[0]) if first and unused else []
+            if len(own):
+                hits[own[0]], unused = False, False
+            yield pd.DataFrame({"key": key[0], "query_id": ids, "answer": np.where(reached, first[1] if first else None, None),
+                                "hit": hits})
+        known = first[1] if first else known
         if known is not None:
             state.update((known,))
             _keep_for(state, latest, ttl_ms)

@@ -94,3 +94,48 @@ def test_state_expires_with_event_time(spark, tmp_path):
     send([("a", 6, "new", 9001)])
     got = {r.query_id: (r.answer, r.hit) for r in spark.read.parquet(out).collect()}
     assert got == {1: ("one", False), 2: ("one", True), 3: ("one", True), 4: (None, False), 5: ("far", False), 6: ("new", False)}
+
+
+def test_pages_of_complete_uploads_go_and_a_replayed_batch_finds_its_own(spark, tmp_path):
+    source, chunks, status, checkpoint = (str(tmp_path / n) for n in ("in", "chunks", "status", "ck"))
+    gathered = tmp_path / "ck-pages"
+
+    def run(*files):
+        for rows in files:
+            spark.createDataFrame(rows, SS.UPLOAD_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        SS.stream_ingest(SS.read_uploads(spark, source, files_per_batch=1), chunks, status, checkpoint, available_now=True).awaitTermination()
+        held = sorted(tuple(r) for r in spark.read.parquet(str(gathered)).select("academic_level", "text").collect())
+        return held, sorted(r.text for r in ST.read_or_empty(spark, chunks, "parquet", ST.CHUNK_SCHEMA).collect())
+
+    page = lambda level, number, text, upload, pages: (upload, level, 2026, number, text, upload, pages)
+    run([page("undergraduate", 1, "one", 1, 2)])
+    held, texts = run([page("undergraduate", 2, "two", 1, 2)])
+    assert [t for _, t in held] == ["one", "two"]  # complete, but its batch may still be replayed
+    last = max((int(p.name) for p in (tmp_path / "ck" / "commits").iterdir() if p.name.isdigit()))
+    for name in (f"{last}", f".{last}.crc"):
+        (tmp_path / "ck" / "commits" / name).unlink(missing_ok=True)
+    assert run() == (held, texts) and len(texts) == 2
+    held, texts = run([page("a/b=c", 1, "other", 2, 5)])
+    assert held == [("a/b=c", "other")] and len(texts) == 2  # only the upload that is not complete
+    assert not list((tmp_path / "ck-pages-done").glob("batch_id=*"))
+
+
+def test_reuse_over_small_arrow_batches_holds_numbers_only(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "key string, query_id long, answer string, ts timestamp"
+    rows = spark.range(40).select(F.lit("k").alias("key"), F.col("id").alias("query_id"),
+                                  F.when(F.col("id") >= 5, F.concat(F.lit("a"), "id")).alias("answer"), F.timestamp_seconds(F.lit(1000)).alias("ts"))
+    extra = rows.filter("query_id = 5").unionByName(rows.filter("query_id = 7").withColumn("query_id", F.lit(None).cast("long")))
+    extra = extra.unionByName(rows.filter("query_id = 1").withColumn("key", F.lit("never answered")))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for batch in (rows.unionByName(extra).orderBy(F.rand(5)), rows.filter("query_id = 3")):
+            batch.coalesce(1).write.mode("append").parquet(source)
+            SS.run_to_folder(SS.stream_exact_reuse(spark.readStream.schema(schema).parquet(source)), out, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = sorted((r.key, -1 if r.query_id is None else r.query_id, r.answer or "", r.hit) for r in spark.read.parquet(out).collect())
+    want = [("k", i, "", False) for i in range(5)] + [("k", 5, "a5", False), ("k", 5, "a5", True)]
+    want += [("k", i, "a5", True) for i in range(6, 40)] + [("k", -1, "a5", True), ("k", 3, "a5", True), ("never answered", 1, "", False)]
+    assert got == sorted(want)

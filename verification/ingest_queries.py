@@ -358,12 +358,11 @@ SCALED = "list_transform(embedding, lambda x: cast(x as double) * (vec_id % 3))"
 
 @query("l2_normalize", f"""with s as (select vec_id, {SCALED} as v from embeddings),
  n as (select vec_id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9) as n from s)
- select vec_id, round(v[1] / n, 6) + 0.0 as first, round(v[-1] / n, 6) + 0.0 as last from n""")
+ select vec_id, cast(i as int) as place, round(v[i + 1] / n, 6) + 0.0 as value from n, unnest(range(len(v))) as r(i)""")
 def _(spark, sf):
     v = F.transform(V.as_doubles(F.col("embedding")), lambda x: x * (F.col("vec_id") % 3))
-    u = V.l2_normalize(v)
-    return table(spark, sf, "embeddings").select("vec_id", (F.round(u[0], 6) + 0.0).alias("first"),
-                                                 (F.round(F.element_at(u, -1), 6) + 0.0).alias("last"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(V.l2_normalize(v)).alias("place", "value")).select(
+        "vec_id", "place", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("cosine", """with c as (select label, embedding as e from embeddings x where vec_id = (select min(vec_id) from embeddings y where y.label = x.label))

@@ -280,12 +280,11 @@ def _(spark, sf):
 
 
 @query("assemble_messages", HISTORY_SQL + f"""10), h as (select query_id, count(*) as n, string_agg(concat(case when role = 'user' then 'user' else 'assistant' end, '=', {TRUNC}), '|' order by back desc) as x from t group by 1)
- select query_id, md5(concat_ws('|', x, concat('user=', text))) as md5, cast(coalesce(n, 0) + 2 as int) as n_messages from q left join h using (query_id)""")
+ select query_id, md5(concat_ws('|', 'system={(H.CONTEXT_PROMPT + "some context").replace("'", "''")}', x, concat('user=', text))) as md5, cast(coalesce(n, 0) + 2 as int) as n_messages from q left join h using (query_id)""")
 def _(spark, sf):
     q = questions(spark, sf).withColumn("intent", F.lit("RAG")).withColumn("context", F.lit("some context"))
     m = H.assemble_messages(q, turns(spark, sf))
-    rest = F.slice("messages", F.lit(2), F.size("messages") - 1)
-    return m.select("query_id", F.md5(F.array_join(F.transform(rest, lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|"))
+    return m.select("query_id", F.md5(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|"))
                     .alias("md5"), F.size("messages").alias("n_messages"))
 
 

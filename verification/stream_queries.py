@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from leafquery.functions.staging import shared_folder
 from leafquery.operators.reuse import exact_key
@@ -86,17 +86,23 @@ def _(spark, sf):
     return spark.read.parquet(out).select("query_id", "intent", shown("seat_route", "seat_route"), "is_pg", "is_ug")
 
 
-@query("stream_exact_reuse", f"""with k as (select conv_id * 1000 + turn as query_id, md5(concat('turn ', cast(turn as string), '|')) as key from conversations where role = 'user')
- select key, count(*) as asked, count(*) - 1 as hits, 1 as answers from k group by 1""")
+# the key of a question is its text and the turn before it; the answer names the question that it was made for
+@query("stream_exact_reuse", f"""with t as (select conv_id, turn, role, text, lag(text) over (partition by conv_id order by turn) as before from conversations),
+ k as (select conv_id * 1000 + turn as query_id, turn, md5(concat(lower(trim(text, {TRIM})), '|', coalesce(before, ''))) as key from t where role = 'user')
+ select query_id, key, concat('answer to ', cast(first_value(query_id) over w as string)) as answer, row_number() over w > 1 as hit
+ from k window w as (partition by key order by turn >= 2, query_id)""")
 def _(spark, sf):
     source, out, checkpoint = folders(spark, "in", "out", "checkpoint")
-    t = table(spark, sf, "conversations").filter("role = 'user'")
-    q = t.select(exact_key(F.concat(F.lit("Turn "), F.col("turn").cast("string")), F.lit("")).alias("key"),
-                 (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"), clock())
-    ST.run_to_folder(ST.stream_exact_reuse(replay(spark, q, source)), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).groupBy("key").agg(
-        F.count(F.lit(1)).alias("asked"), F.sum(F.col("hit").cast("int")).alias("hits"),
-        F.countDistinct("answer").cast("int").alias("answers"))
+    t = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    q = t.filter("role = 'user'").select("turn", exact_key(F.col("text"), F.col("before")).alias("key"), number.alias("query_id"),
+                                         F.concat(F.lit("answer to "), number.cast("string")).alias("answer"), clock())
+    # the later turns come after a restart from the checkpoint
+    for part, mode in (("turn < 2", "error"), ("turn >= 2", "append")):
+        q.filter(part).drop("turn").write.mode(mode).parquet(source)
+        stream = spark.readStream.schema(q.drop("turn").schema).parquet(source)
+        ST.run_to_folder(ST.stream_exact_reuse(stream), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "key", "answer", "hit")
 
 
 @query("stream_history", f"""with t as (select q.conv_id, q.turn, c.role, c.text, c.turn as t2 from conversations q left join conversations c on c.conv_id = q.conv_id
