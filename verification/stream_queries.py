@@ -86,21 +86,23 @@ def _(spark, sf):
     return spark.read.parquet(out).select("query_id", "intent", shown("seat_route", "seat_route"), "is_pg", "is_ug")
 
 
-# the key of a question is its text and the turn before it; the answer names the question that it was made for
+# the key of a question is its text and the turn before it; all are asked twice, and an answer names the question it was made for
 @query("stream_exact_reuse", f"""with t as (select conv_id, turn, role, text, lag(text) over (partition by conv_id order by turn) as before from conversations),
- k as (select conv_id * 1000 + turn as query_id, turn, md5(concat(lower(trim(text, {TRIM})), '|', coalesce(before, ''))) as key from t where role = 'user')
+ o as (select conv_id * 1000 + turn as query_id, turn < 2 as early, md5(concat(lower(trim(text, {TRIM})), '|', coalesce(before, ''))) as key from t where role = 'user'),
+ k as (select * from o union all select query_id + 1000000000000, false, key from o)
  select query_id, key, concat('answer to ', cast(first_value(query_id) over w as string)) as answer, row_number() over w > 1 as hit
- from k window w as (partition by key order by turn >= 2, query_id)""")
+ from k window w as (partition by key order by not early, query_id)""")
 def _(spark, sf):
     source, out, checkpoint = folders(spark, "in", "out", "checkpoint")
     t = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    number = F.col("conv_id") * 1000 + F.col("turn")
-    q = t.filter("role = 'user'").select("turn", exact_key(F.col("text"), F.col("before")).alias("key"), number.alias("query_id"),
-                                         F.concat(F.lit("answer to "), number.cast("string")).alias("answer"), clock())
-    # the later turns come after a restart from the checkpoint
-    for part, mode in (("turn < 2", "error"), ("turn >= 2", "append")):
-        q.filter(part).drop("turn").write.mode(mode).parquet(source)
-        stream = spark.readStream.schema(q.drop("turn").schema).parquet(source)
+    once = t.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("turn") < 2).alias("early"),
+                                            exact_key(F.col("text"), F.col("before")).alias("key"), clock())
+    again = once.withColumn("query_id", F.col("query_id") + 1_000_000_000_000).withColumn("early", F.lit(False))
+    q = once.unionByName(again).withColumn("answer", F.concat(F.lit("answer to "), F.col("query_id").cast("string")))
+    # the others come after a restart from the checkpoint: their keys meet the state or each other
+    for part, mode in (("early", "error"), ("not early", "append")):
+        q.filter(part).drop("early").write.mode(mode).parquet(source)
+        stream = spark.readStream.schema(q.drop("early").schema).parquet(source)
         ST.run_to_folder(ST.stream_exact_reuse(stream), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("query_id", "key", "answer", "hit")
 
