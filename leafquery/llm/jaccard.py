@@ -2,10 +2,12 @@
 
 Documents are sets of word shingles. Most have no partner, and this is seen before any set is moved:
 a document that shares fewer than ``share`` of its shingles with all others together links with none.
-What is left is joined by prefixes in order of document frequency. Each index list is sorted by set size;
-entries whose sizes and positions can't reach the overlap are skipped, one by one. A list is one task and
-is held whole in its memory. A set is first compared with one hub of each list. Later answers are derived from these: two sets near hubs whose own
-distance is known need no comparison unless the distances allow a link.
+What is left is joined by prefixes in order of document frequency. Each index list is sorted by set size and
+position and read as blocks of one (size, position): two blocks that can't reach the overlap are skipped whole.
+A long list is cut into slices of ``CELL`` entries in that order. Pairs of slices, the cells, are groups of their
+own in the shuffle, and a cell whose bounds allow no link is never made. A set is first compared with one hub of
+each list. Later answers are derived from these: two sets near hubs whose own distance is known need no
+comparison unless the distances allow a link.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ SHARE = 80  # of 100
 _CHUNK = 2_000_000
 RANGE_BYTES = 8_000_000
 MEETS = 6
+CELL = 512  # entries in a slice of an index list
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -46,13 +49,26 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def _sparse(who: np.ndarray, n: np.ndarray) -> bytes:
+    """Numbers and their counts, two bytes each where all fit, else four; the first byte tells which."""
+    both = np.stack([who, n])
+    kind = "<u2" if not both.size or both.max() <= 65535 else "<u4"
+    return kind[-1:].encode() + both.astype(kind).tobytes()
+
+
+def _unsparse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    who, n = np.frombuffer(data, "<u" + data[:1].decode(), offset=1).reshape(2, -1).astype(np.int64)
+    return who, n
+
+
 def _shared_counts(docs: DataFrame, ranges: int, width: int) -> DataFrame:
     """(id, hash, n, shared): set size of each row, and how many of its shingles others have too.
 
     Each chunk of documents sends its shingles, four bytes each, to ``ranges`` ranges of the hash
     space. A shingle that a chunk holds twice is known as shared there and sent once for its chunk, so
-    a hot shingle never comes from every document. ``shared`` may count a shingle too many (when 32
-    bits within a range collide), never one too few.
+    a hot shingle never comes from every document. Beside them go the numbers of only those documents that
+    have shingles in the range, so all that is sent grows with the shingles, whatever ``ranges`` is.
+    ``shared`` may count a shingle too many (when 32 bits within a range collide), never one too few.
     """
     mid = "chunk bigint, part bigint, counts binary, shingles binary, ids binary"
     kind = docs.schema["key"].dataType["id"].dataType
@@ -85,10 +101,9 @@ def _shared_counts(docs: DataFrame, ranges: int, width: int) -> DataFrame:
                 for r in np.flatnonzero(np.diff(bounds)):
                     x = slice(bounds[r], bounds[r + 1])
                     by_doc = np.argsort(doc[x], kind="stable")
-                    have = np.bincount(doc[x], minlength=len(sets) + 1)
                     chunk.append(number)
                     parts.append(int(r))
-                    counts.append(have.astype("<u4").tobytes() if have.max() > 65535 else have.astype("<u2").tobytes())
+                    counts.append(_sparse(*np.unique(doc[x], return_counts=True)))
                     shingles.append(low[x][by_doc].astype("<u4").tobytes())
                     ids.append(None)
                 # the keys travel to the end of the chunk as a group of their own
@@ -120,14 +135,11 @@ def _shared_counts(docs: DataFrame, ranges: int, width: int) -> DataFrame:
         twice[order[:-1][same]] = True
         at, counts = 0, []
         for have, own in zip(table["counts"].to_pylist(), sent):
-            n = np.frombuffer(have, "<u2")
-            if n.sum() != len(own):
-                n = np.frombuffer(have, "<u4")
+            who, n = _unsparse(have)
             total = np.concatenate([[0], np.cumsum(twice[at:at + len(own)])])
             ends = np.cumsum(n)
-            got = (total[ends] - total[ends - n])[:-1]
-            some = np.flatnonzero(got)
-            counts.append(np.stack([some, got[some]]).astype("<u4").tobytes())
+            got = total[ends] - total[ends - n]
+            counts.append(_sparse(who[got > 0], got[got > 0]))
             at += len(own)
         return pa.table([table["chunk"], table["part"], pa.array(counts, pa.binary()),
                          pa.nulls(len(table), pa.binary()), table["ids"]], ["chunk", "part", "counts", "shingles", "ids"])
@@ -135,12 +147,13 @@ def _shared_counts(docs: DataFrame, ranges: int, width: int) -> DataFrame:
     def collect(key, table):
         ids = table["ids"].to_pylist()
         keys = pa.ipc.open_stream(next(x for x in ids if x is not None)).read_all()
-        shared = keys["shared"].to_numpy().copy()
+        # one place more, for what was asked for the chunk as a whole
+        shared = np.append(keys["shared"].to_numpy(), 0)
         for x in table["counts"].to_pylist():
             if x is not None:
-                who, n = np.frombuffer(x, "<u4").reshape(2, -1)
+                who, n = _unsparse(x)
                 shared[who] += n
-        return pa.table([keys["key"].combine_chunks(), keys["n"], pa.array(shared, pa.int64())],
+        return pa.table([keys["key"].combine_chunks(), keys["n"], pa.array(shared[:-1], pa.int64())],
                         ["key", "n", "shared"])
 
     sent = docs.select("key", "text").mapInArrow(send, mid)
@@ -153,8 +166,8 @@ def _viable(n1, p1, n2, p2, share: int):
     return (100 + share) * most >= share * (n1 + n2)
 
 
-def _lists(batches, columns):
-    """Index lists, one after the other, from rows that are sorted by shingle."""
+def _lists(batches, columns, keys: int):
+    """Index lists, one after the other, from rows sorted by their first ``keys`` columns."""
     rest = None
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -162,7 +175,7 @@ def _lists(batches, columns):
             cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
         if not len(cols[0]):
             continue
-        cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0)) + 1
         last = cuts[-1] if len(cuts) else 0
         for a, b in zip([0, *cuts[:-1]] if len(cuts) else [], cuts):
             if b - a > 1:
@@ -172,18 +185,30 @@ def _lists(batches, columns):
         yield rest
 
 
-def _pairs_of_list(n, p, share):
-    """For each entry i of a list sorted by set size: (i, later entries j that position and size allow)."""
-    for i in range(len(n) - 1):
-        stop = np.searchsorted(n, n[i] * 100 // share, "right")
-        j = np.arange(i + 1, stop)
-        if len(j):
-            j = j[_viable(n[i], p[i], n[j], p[j], share)]
+def _pairs_of_list(n, p, part, share):
+    """For each entry i of a list sorted by (n, p): (i, later entries j that position and size allow).
+
+    Entries of one (n, p) are a block; whether two blocks can hold a link is asked once for both. A list of two
+    slices (``part``) gives pairs across them only, one of a single slice all its pairs.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (p[1:] != p[:-1])]))
+    ends = np.append(starts[1:], len(n))
+    size, place = n[starts], p[starts]
+    across = part.min() != part.max()
+    for x in range(len(starts)):
+        y = np.arange(x, np.searchsorted(size, size[x] * 100 // share, "right"))
+        y = y[_viable(size[x], place[x], size[y], place[y], share)]
+        if not len(y):
+            continue
+        reach = np.concatenate([np.arange(starts[k], ends[k]) for k in y])
+        for i in range(starts[x], ends[x]):
+            j = reach[np.searchsorted(reach, i, "right"):]
+            j = j[part[j] != part[i]] if across else j
             if len(j):
                 yield i, j
 
 
-def _meetings(n, p, sid, share: int, comp=None):
+def _meetings(n, p, sid, part, share: int, comp=None):
     """Pairs to compare first: a row of the index gives MEETS + 1 of them at most.
 
     Each entry of a list meets the first entry before it that it could link with, a hub of many, and MEETS at
@@ -192,7 +217,7 @@ def _meetings(n, p, sid, share: int, comp=None):
     """
     first, other, seen = np.full(len(n), -1), np.full((MEETS, len(n)), -1), np.zeros(len(n))
     rng = np.random.default_rng(int(sid.sum() & 0x7FFFFFFF))
-    for i, j in _pairs_of_list(n, p, share):
+    for i, j in _pairs_of_list(n, p, part, share):
         j = j if comp is None else j[comp[j] != comp[i]]
         seen[j] += 1
         first[j] = np.where(first[j] < 0, i, first[j])
@@ -203,21 +228,71 @@ def _meetings(n, p, sid, share: int, comp=None):
             yield int(sid[i]), int(sid[k])
 
 
-def _scan(index: DataFrame, columns: list[str], schema: str, emit, parts_of: str = "shingle") -> DataFrame:
-    """Apply ``emit`` to every list; its results are deduplicated within a task, batch by batch."""
+def _sliced(index: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(index with ``part``, the slice of its list; bounds of the slices of long lists).
+
+    A list of at most ``cell`` entries is one slice. Longer ones are cut in the order of (n, p), from counts of
+    blocks alone; a block that spans slices is dealt over them by a hash of its sets. Bounds (shingle, part,
+    n_low, n_high, room) hold for all that a slice may have; with a column ``comp`` also its range.
+    """
+    long_ = stage(index.groupBy("shingle").agg(F.count("*").alias("_len")).filter(F.col("_len") > cell).select("shingle"))
+    comp = [F.min("comp").alias("comp_low"), F.max("comp").alias("comp_high")] if "comp" in index.columns else []
+    blocks = index.join(long_, "shingle").groupBy("shingle", "n", "p").agg(F.count("*").alias("_count"), *comp)
+    before = Window.partitionBy("shingle").orderBy("n", "p").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stage(blocks.withColumn("_start", F.coalesce(F.sum("_count").over(before), F.lit(0))))
+    at = F.col("_start") + F.pmod(F.xxhash64("shingle", "sid"), "_count")
+    own = index.join(blocks.select("shingle", "n", "p", "_count", "_start"), ["shingle", "n", "p"], "left").withColumn(
+        "part", F.coalesce(F.floor(at / cell), F.lit(0)).cast("bigint")).drop("_count", "_start")
+    spans = F.sequence(*[F.floor(x / cell).cast("bigint") for x in (F.col("_start"), F.col("_start") + F.col("_count") - 1)])
+    ranges = [F.min("comp_low").alias("comp_low"), F.max("comp_high").alias("comp_high")] if comp else []
+    bounds = blocks.withColumn("part", F.explode(spans)).groupBy("shingle", "part").agg(
+        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max(F.col("n") - F.col("p")).alias("room"), *ranges)
+    return own, bounds
+
+
+def _cells(index: DataFrame, share: int, cell: int) -> DataFrame:
+    """Index rows with ``part`` and their cells (x, y): a row for each cell that an entry takes part in.
+
+    Lists of one slice are the cell (0, 0). Of longer ones all pairs of slices whose bounds allow a link are
+    cells, so that a list of m entries is read by groups of at most about two slices, m / ``cell`` times.
+    """
+    own, bounds = _sliced(index, cell)
+    bounds = stage(bounds)
+    left = bounds.select("shingle", *[F.col(c).alias(f"l_{c}") for c in bounds.columns if c != "shingle"])
+    met = left.join(bounds, "shingle").filter("l_part <= part").filter(
+        (share * F.col("n_low") <= 100 * F.col("l_n_high")) &
+        ((100 + share) * F.least("l_room", "room") >= share * (F.col("l_n_low") + F.col("n_low"))))
+    if "comp" in index.columns:
+        met = met.filter("least(l_comp_low, comp_low) < greatest(l_comp_high, comp_high)")
+    met = met.select("shingle", F.col("l_part").alias("x"), F.col("part").alias("y"))
+    takes = stage(met.withColumn("part", F.explode(F.array_distinct(F.array("x", "y")))))
+    # a slice of a long list that is in no cell has nothing to say
+    cut = stage(bounds.select("shingle").distinct())
+    short = own.join(cut, "shingle", "left_anti").withColumns({"x": F.lit(0).cast("bigint"), "y": F.lit(0).cast("bigint")})
+    return short.unionByName(own.join(takes, ["shingle", "part"]).select(short.columns))
+
+
+def _scan(index: DataFrame, columns: list[str], schema: str, emit, share: int, cell: int, whole: bool = True) -> DataFrame:
+    """Apply ``emit`` to every list, cell by cell; its results are deduplicated within a task, batch by batch.
+
+    With ``whole`` every pair of entries that bounds allow is in one cell; else only pairs of one slice are.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
+    keys = ["shingle", "x", "y"] if whole else ["shingle", "part"]
+    columns = keys + [c for c in ("part", *columns) if c not in keys]
 
     def run(batches):
         found: set[tuple] = set()
-        for own in _lists(batches, columns):
-            found.update(emit(*own[1:]))
+        for own in _lists(batches, columns, len(keys)):
+            found.update(emit(**{c: v for c, v in zip(columns, own) if c not in ("shingle", "x", "y")}))
             if len(found) > 200_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found])
                 found = set()
         if found:
             yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found])
 
-    dealt = index.select(*columns).repartition(F.col(parts_of)).sortWithinPartitions("shingle", "n", "p", "sid")
+    rows = _cells(index, share, cell) if whole else _sliced(index, cell)[0]
+    dealt = rows.select(*columns).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "n", "p", "sid")
     return dealt.mapInArrow(run, schema)
 
 
@@ -257,7 +332,7 @@ def _relabelled(known: DataFrame, comps: DataFrame) -> DataFrame:
     return own.join(stage(mixed), "shingle", "left_semi")
 
 
-def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
+def set_links(sets: DataFrame, share: int = SHARE, cell: int = CELL) -> DataFrame:
     """(id, component) of the distinct sets (sid, n, shingles) that have a link."""
     def explode(batches):
         for batch in batches:
@@ -279,10 +354,11 @@ def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
                   .withColumn("p", F.col("n") - F.count("*").over(held) + F.row_number().over(order) - 1)
                   .filter(F.col("p") < prefix).select("shingle", "n", F.col("p").cast("bigint").alias("p"), "sid"))
 
-    def hubs(n, p, sid):
-        return _meetings(n, p, sid, share)
+    def hubs(n, p, sid, part):
+        return _meetings(n, p, sid, part, share)
 
-    first = _overlaps(_scan(index, ["shingle", "n", "p", "sid"], "a bigint, b bigint", hubs).distinct(), sets)
+    pair = "a bigint, b bigint"
+    first = _overlaps(_scan(index, ["n", "p", "sid"], pair, hubs, share, cell, whole=False).distinct(), sets)
     comps = stage(components(_linked(first, share).select("a", "b")))
     # the nearest hub of each set, and how far it is
     near = (_linked(first, share).groupBy(F.col("b").alias("sid"))
@@ -292,22 +368,22 @@ def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
         "shingle", "n", "p", "sid", F.coalesce("hub", "sid").alias("hub"), F.coalesce("d", F.lit(0.0)).alias("d"))
     # lists whose sets are all of one component have no more to say
     known = stage(_relabelled(known, comps))
-    columns = ["shingle", "n", "p", "sid", "comp", "hub", "d"]
+    columns = ["n", "p", "sid", "comp", "hub", "d"]
 
-    def strangers(n, p, sid, comp, hub, d):
-        return _meetings(n, p, sid, share, comp)
+    def strangers(n, p, sid, part, comp, hub, d):
+        return _meetings(n, p, sid, part, share, comp)
 
-    again = _overlaps(_scan(known, columns, "a bigint, b bigint", strangers).distinct(), sets)
+    again = _overlaps(_scan(known, columns, pair, strangers, share, cell, whole=False).distinct(), sets)
     comps = stage(extend(comps, _linked(again, share).select("a", "b")))
     known = stage(_relabelled(known, comps))
 
-    def hub_pairs(n, p, sid, comp, hub, d):
-        for i, j in _pairs_of_list(n, p, share):
+    def hub_pairs(n, p, sid, part, comp, hub, d):
+        for i, j in _pairs_of_list(n, p, part, share):
             j = j[comp[j] != comp[i]]
             for h, slack in zip(hub[j].tolist(), (d[j] + d[i]).tolist()):
                 yield (int(hub[i]), h, slack) if hub[i] < h else (h, int(hub[i]), slack)
 
-    apart = stage(_scan(known, columns, "a bigint, b bigint, slack double", hub_pairs)
+    apart = stage(_scan(known, columns, "a bigint, b bigint, slack double", hub_pairs, share, cell)
                   .groupBy("a", "b").agg(F.max("slack").alias("slack")))
     second = _overlaps(apart.select("a", "b"), sets)
     comps = stage(extend(comps, _linked(second, share).select("a", "b")))
@@ -318,8 +394,8 @@ def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
         _distance() <= 1 - share / 100 + F.col("slack") + 1e-9).select("a", "b")
     open_ = stage(_apart(far, comps).select(F.col("a").alias("hub_a"), F.col("b").alias("hub_b")))
 
-    def set_pairs(n, p, sid, comp, hub, d):
-        for i, j in _pairs_of_list(n, p, share):
+    def set_pairs(n, p, sid, part, comp, hub, d):
+        for i, j in _pairs_of_list(n, p, part, share):
             j = j[(comp[j] != comp[i]) & ((d[j] > 0) | (d[i] > 0))]
             for k in j.tolist():
                 a, b = (i, k) if hub[i] < hub[k] else (k, i)
@@ -327,13 +403,14 @@ def set_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
 
     # only lists and sets near a hub of an open pair are read again
     near_open = stage(open_.select(F.col("hub_a").alias("hub")).union(open_.select("hub_b")).distinct())
-    third = _scan(known.join(near_open, "hub", "left_semi"), columns, "a bigint, b bigint, hub_a bigint, hub_b bigint", set_pairs)
+    third = _scan(stage(known.join(near_open, "hub", "left_semi")), columns,
+                  "a bigint, b bigint, hub_a bigint, hub_b bigint", set_pairs, share, cell)
     third = third.join(open_, ["hub_a", "hub_b"], "left_semi").select("a", "b").distinct()
     return extend(comps, _linked(_overlaps(third, sets), share).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, share: int = SHARE, width: int = SHINGLE, *, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
+                       text_col: str = "text", cell: int = CELL) -> DataFrame:
     """(key, id, n_shingles, component_id, component_key): one row for each row of ``docs``.
 
     Two documents link when their sets of ``width``-word shingles have ``share`` percent of their
@@ -341,7 +418,9 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, width: int = SHINGLE
     one shingle; null, empty and blank texts have none and link with nothing. Repeated rows and
     copies are one set each, so they are never compared with each other. A null id takes part and
     yields to any other in the minimum. ``key`` is that of ``common.row_key``; ``component_key`` is a
-    number of the component, null for documents that no other comes near.
+    number of the component, null for documents that no other comes near. A text of any length is read
+    whole, in one task. An empty table gives an empty result. ``cell`` bounds the entries of an index list that
+    are held together, about twice as many; it never changes the result.
     """
     rows = keyed(docs, id_col, text_col).select("id", "text", "key")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -365,7 +444,7 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, width: int = SHINGLE
     sets = stage(own.groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"),
                                         F.min("key.id").alias("least"))
                  .withColumn("sid", F.monotonically_increasing_id()))
-    comps = set_links(sets, share)
+    comps = set_links(sets, share, cell)
     named = sets.select("sid", "sig", "least").join(comps, F.col("sid") == F.col("id"), "left").select(
         "sig", "least", F.coalesce("component", "sid").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("low"))
