@@ -228,8 +228,8 @@ def _meetings(n, p, sid, part, share: int, comp=None):
             yield int(sid[i]), int(sid[k])
 
 
-def _sliced(index: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
-    """(index with ``part``, the slice of its list; bounds of the slices of long lists).
+def _sliced(index: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index with ``part``, the slice of its list; bounds of the slices of long lists; shingles of long lists).
 
     A list of at most ``cell`` entries is one slice. Longer ones are cut in the order of (n, p), from counts of
     blocks alone; a block that spans slices is dealt over them by a hash of its sets. Bounds (shingle, part,
@@ -247,7 +247,7 @@ def _sliced(index: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
     ranges = [F.min("comp_low").alias("comp_low"), F.max("comp_high").alias("comp_high")] if comp else []
     bounds = blocks.withColumn("part", F.explode(spans)).groupBy("shingle", "part").agg(
         F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max(F.col("n") - F.col("p")).alias("room"), *ranges)
-    return own, bounds
+    return own, bounds, long_
 
 
 def _cells(index: DataFrame, share: int, cell: int) -> DataFrame:
@@ -256,8 +256,7 @@ def _cells(index: DataFrame, share: int, cell: int) -> DataFrame:
     Lists of one slice are the cell (0, 0). Of longer ones all pairs of slices whose bounds allow a link are
     cells, so that a list of m entries is read by groups of at most about two slices, m / ``cell`` times.
     """
-    own, bounds = _sliced(index, cell)
-    bounds = stage(bounds)
+    own, bounds, long_ = _sliced(index, cell)
     left = bounds.select("shingle", *[F.col(c).alias(f"l_{c}") for c in bounds.columns if c != "shingle"])
     met = left.join(bounds, "shingle").filter("l_part <= part").filter(
         (share * F.col("n_low") <= 100 * F.col("l_n_high")) &
@@ -265,10 +264,9 @@ def _cells(index: DataFrame, share: int, cell: int) -> DataFrame:
     if "comp" in index.columns:
         met = met.filter("least(l_comp_low, comp_low) < greatest(l_comp_high, comp_high)")
     met = met.select("shingle", F.col("l_part").alias("x"), F.col("part").alias("y"))
-    takes = stage(met.withColumn("part", F.explode(F.array_distinct(F.array("x", "y")))))
     # a slice of a long list that is in no cell has nothing to say
-    cut = stage(bounds.select("shingle").distinct())
-    short = own.join(cut, "shingle", "left_anti").withColumns({"x": F.lit(0).cast("bigint"), "y": F.lit(0).cast("bigint")})
+    takes = met.withColumn("part", F.explode(F.array_distinct(F.array("x", "y"))))
+    short = own.join(long_, "shingle", "left_anti").withColumns({"x": F.lit(0).cast("bigint"), "y": F.lit(0).cast("bigint")})
     return short.unionByName(own.join(takes, ["shingle", "part"]).select(short.columns))
 
 
