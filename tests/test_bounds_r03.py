@@ -48,3 +48,26 @@ def test_slices_change_no_similarity(spark, monkeypatch):
     whole = answers()
     monkeypatch.setattr(dense, "_MATMUL_CELLS", 7)
     assert answers() == whole
+
+
+def test_small_cells_do_not_copy_a_large_group_without_end(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 2) for i in range(400)], "id long, vec array<double>, label int")
+    q, c = df.select(F.col("id").alias("query_id"), "vec", "label"), df.select(F.col("id").alias("chunk_id"), "vec", "label")
+
+    def answers(**options):
+        return sorted((r.query_id, r.rank, r.chunk_id) for r in dense.knn_search(q, c, 3, level="label", **options).collect())
+
+    sizes = spark.sparkContext.accumulator(0)
+    best = dense._best_of_block
+
+    def counted(a, b, k):
+        sizes.add(len(a) + len(b))
+        return best(a, b, k)
+
+    monkeypatch.setattr(dense, "_best_of_block", counted)
+    found = answers(broadcast_rows=0, cell_rows=2, cell_queries=2)
+    read = sizes.value
+    monkeypatch.undo()
+    assert found == answers()
+    assert 800 <= read <= 2 * 400 * dense.COPIES
