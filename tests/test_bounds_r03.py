@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafquery.operators import dense, understand as U
+from leafquery.operators import bm25, dense, understand as U
 
 
 def names_plan(spark):
@@ -71,3 +71,20 @@ def test_small_cells_do_not_copy_a_large_group_without_end(spark, monkeypatch):
     monkeypatch.undo()
     assert found == answers()
     assert 800 <= read <= 2 * 400 * dense.COPIES
+
+
+def test_counting_tasks_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("chunk_id"), F.lit("en").alias("academic_level"),
+                                   F.concat(F.lit("one two "), (F.col("id") % 7).cast("string")).alias("text"))
+    q = spark.createDataFrame([(1, "en", "one 3"), (2, "en", "5 two two")], "query_id long, academic_level string, text string")
+
+    def answers():
+        index = bm25.bm25_index(docs, staged=True)
+        hits = bm25.bm25_search(q, index, 4).collect()
+        return index.parts, sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in hits)
+
+    few, found = answers()
+    monkeypatch.setattr(bm25, "TASK_BYTES", 100)
+    many, again = answers()
+    assert few == spark.sparkContext.defaultParallelism and many == 27 and again == found
+    assert bm25.bm25_index(docs).postings.rdd.getNumPartitions() == many
