@@ -228,6 +228,21 @@ def _meetings(n, p, sid, part, share: int, comp=None):
             yield int(sid[i]), int(sid[k])
 
 
+def _hub_pairs(n, p, part, comp, hub, d, share: int) -> dict[tuple[int, int], float]:
+    """(a, b) of the hubs of entries that may link, with the largest sum of their distances to them.
+
+    Sets near one hub are many and their distances all differ, so a pair of hubs has one row, not one a pair of sets.
+    """
+    out: dict[tuple[int, int], float] = {}
+    for i, j in _pairs_of_list(n, p, part, share):
+        j = j[comp[j] != comp[i]]
+        own = int(hub[i])
+        for h, slack in zip(hub[j].tolist(), (d[j] + d[i]).tolist()):
+            key = (own, h) if own < h else (h, own)
+            out[key] = max(slack, out.get(key, slack))
+    return out
+
+
 def _sliced(index: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index with ``part``, the slice of its list; bounds of the slices of long lists; shingles of long lists).
 
@@ -273,7 +288,8 @@ def _cells(index: DataFrame, share: int, cell: int) -> DataFrame:
 def _scan(index: DataFrame, columns: list[str], schema: str, emit, share: int, cell: int, whole: bool = True) -> DataFrame:
     """Apply ``emit`` to every list, cell by cell; its results are deduplicated within a task, batch by batch.
 
-    With ``whole`` every pair of entries that bounds allow is in one cell; else only pairs of one slice are.
+    With ``whole`` every pair of entries that bounds allow is in one cell; else only pairs of one slice are. Where ``emit``
+    gives a dict, its values are numbers of which the largest counts: a key comes out once with that of its batch.
     """
     names = [c.split()[0] for c in schema.split(", ")]
     keys = ["shingle", "x", "y"] if whole else ["shingle", "part"]
@@ -281,13 +297,23 @@ def _scan(index: DataFrame, columns: list[str], schema: str, emit, share: int, c
 
     def run(batches):
         found: set[tuple] = set()
+        most: dict[tuple, float] = {}
+
+        def rows():
+            return pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in (*found, *((*k, v) for k, v in most.items()))])
+
         for own in _lists(batches, columns, len(keys)):
-            found.update(emit(**{c: v for c, v in zip(columns, own) if c not in ("shingle", "x", "y")}))
-            if len(found) > 200_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found])
-                found = set()
-        if found:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found])
+            got = emit(**{c: v for c, v in zip(columns, own) if c not in ("shingle", "x", "y")})
+            if isinstance(got, dict):
+                for k, v in got.items():
+                    most[k] = max(v, most.get(k, v))
+            else:
+                found.update(got)
+            if len(found) + len(most) > 200_000:
+                yield rows()
+                found, most = set(), {}
+        if found or most:
+            yield rows()
 
     rows = _cells(index, share, cell) if whole else _sliced(index, cell)[0]
     dealt = rows.select(*columns).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "n", "p", "sid")
@@ -376,10 +402,7 @@ def set_links(sets: DataFrame, share: int = SHARE, cell: int = CELL) -> DataFram
     known = stage(_relabelled(known, comps))
 
     def hub_pairs(n, p, sid, part, comp, hub, d):
-        for i, j in _pairs_of_list(n, p, part, share):
-            j = j[comp[j] != comp[i]]
-            for h, slack in zip(hub[j].tolist(), (d[j] + d[i]).tolist()):
-                yield (int(hub[i]), h, slack) if hub[i] < h else (h, int(hub[i]), slack)
+        return _hub_pairs(n, p, part, comp, hub, d, share)
 
     apart = stage(_scan(known, columns, "a bigint, b bigint, slack double", hub_pairs, share, cell)
                   .groupBy("a", "b").agg(F.max("slack").alias("slack")))
