@@ -170,14 +170,30 @@ def all_codes_and_programs(text: Column) -> dict[str, Column]:
     }
 
 
-def _rows(text: Column, pattern: str, needs: str, fields: list[str], stripped: tuple[str, ...] = ()) -> Column:
+def _before_ends(text: Column, end: str, before: int) -> Column:
+    """The matches of ``end`` in ``text`` with at most ``before`` characters of their line in front of each; the rest goes.
+
+    What lies between two ends is cut to its last line and that to its last characters, behind a line break, so a
+    row pattern that has its free text in front of ``end`` finds the rows that it finds in the whole text.
+    """
+    def kept(between: Column, match: Column) -> Column:
+        near = F.substring(F.substring_index(between, "\n", -1), -before, before)
+        return F.concat(F.when(near != between, F.concat(F.lit("\n"), near)).otherwise(between), match)
+
+    # nothing ends what lies behind the last match: it is null and not joined
+    return F.array_join(F.zip_with(F.split(text, java_regex(end), -1), all_matches(text, end), kept), "")
+
+
+def _rows(text: Column, pattern: str, needs: str, fields: list[str], stripped: tuple[str, ...] = (),
+          search: str | None = None, within: Column | None = None) -> Column:
     """One struct per match of a lazy row pattern.
 
     The patterns try up to a hundred lengths at every character, so only texts with the
     part that a match must have (``needs``, a linear scan) are searched, once; the groups
-    then come from the short matches.
+    then come from the short matches. ``search`` finds the same matches at less cost, ``within`` is a shorter text with the same ones.
     """
-    found = F.when(matches(text, needs), all_matches(text, pattern)).otherwise(F.array().cast("array<string>"))
+    found = F.when(matches(text, needs), all_matches(text if within is None else within, search or pattern)).otherwise(
+        F.array().cast("array<string>"))
 
     def group(match: Column, i: int, name: str) -> Column:
         value = F.regexp_extract(match, java_regex(pattern), i)
@@ -192,11 +208,12 @@ def extract_faculty_rows(text: Column) -> Column:
 
 def extract_course_rows(text: Column) -> Column:
     return _rows(text, fv.COURSE_ROW_PATTERN, fv.COURSE_ROW_NEEDS, ["course_code", "course_title", "credit_hours"],
-                 ("course_title",))
+                 ("course_title",), search=fv.COURSE_ROW_SEARCH)
 
 
 def extract_fee_rows(text: Column) -> Column:
-    return _rows(text, fv.FEE_ROW_PATTERN, fv.FEE_ROW_NEEDS, ["fee_type", "amount"])
+    return _rows(text, fv.FEE_ROW_PATTERN, fv.FEE_ROW_NEEDS, ["fee_type", "amount"],
+                 within=_before_ends(text, fv.FEE_ROW_END, fv.FEE_ROW_BEFORE))
 
 
 def fee_amount(amount: Column) -> Column:
