@@ -13,6 +13,7 @@ from .sections import cut_before
 
 _HEADER_LINE = r"(?m)^[^\S\n]*#{1,4}(?: .*|[^\S\n]*)$"
 _NOT_PRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+_NOT_PRINTABLE_IN_LINE = r"[\p{C}\p{Z}&&[^ \n]]"
 _PARAGRAPH_JOIN = "  \n"
 _FENCE = r"(?m)(?=^[^\S\n]*(?:```|~~~))"
 #: stands for a # at the start of a line of fenced code; a code point that no text may contain
@@ -36,8 +37,13 @@ def shield_tables(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- header cuts ------------------------------------------------------------
 def _clean_lines(segment: Column) -> Column:
     """Strip lines, drop non-printing characters, join paragraphs by a hard line break."""
-    lines = F.transform(F.split(segment, "\n", -1),
-                        lambda x: F.regexp_replace(F.replace(strip(x), F.lit(_CODE_MARK), F.lit("#")), _NOT_PRINTABLE, ""))
+    lines = F.split(segment, "\n", -1)
+
+    def shown(x: Column) -> Column:
+        return F.replace(strip(x), F.lit(_CODE_MARK), F.lit("#"))
+
+    lines = F.when(F.regexp_like(segment, F.lit(_NOT_PRINTABLE_IN_LINE)), F.transform(lines, lambda x: F.regexp_replace(
+        shown(x), _NOT_PRINTABLE, ""))).otherwise(F.transform(lines, shown))
     return F.regexp_replace(F.btrim(F.array_join(lines, "\n"), F.lit("\n")), r"\n{2,}", _PARAGRAPH_JOIN)
 
 
@@ -57,13 +63,17 @@ def header_parts(text: Column) -> Column:
     """
     segments = F.filter(F.transform(cut_before(_shield_fences(text), _HEADER_LINE), _clean_lines), lambda s: s != "")
     part = "struct<h1:string,h2:string,h3:string,h4:string,text:string>"
+    # what a segment's first line says is found once, not in each use inside the fold
+    first = F.transform(segments, lambda s: F.struct(s.alias("seg"), F.substring_index(s, "\n", 1).alias("line")))
+    marked = F.transform(first, lambda s: F.struct(
+        s["seg"].alias("seg"), F.length(F.regexp_extract(s["line"], r"^(#{1,4})(?= |$)", 1)).alias("depth"),
+        strip(F.regexp_extract(s["line"], r"^#{1,4}( .*)?", 1)).alias("title")))
     start = F.struct(F.array().cast(f"array<{part}>").alias("parts"),
                      *[F.lit(None).cast("string").alias(h) for h in LEVELS])
 
-    def step(acc: Column, seg: Column) -> Column:
-        marks = F.regexp_extract(seg, r"^(#{1,4})(?= |\n|$)", 1)
-        depth = F.length(marks)
-        title = F.when(depth > 0, strip(F.regexp_extract(seg, r"^#{1,4}( [^\n]*)?", 1)))
+    def step(acc: Column, marked_segment: Column) -> Column:
+        seg, depth = marked_segment["seg"], marked_segment["depth"]
+        title = F.when(depth > 0, marked_segment["title"])
         now = [F.when(depth == i, title).when((depth > 0) & (depth < i), F.lit(None)).otherwise(acc[h])
                for i, h in enumerate(LEVELS, 1)]
         size = F.size(acc["parts"])
@@ -81,15 +91,18 @@ def header_parts(text: Column) -> Column:
         appended = F.concat(acc["parts"], F.array(F.struct(*heads, seg.alias("text"))))
         return F.struct(F.when(joins, merged).otherwise(appended).alias("parts"), *heads)
 
-    return F.aggregate(segments, start, step)["parts"]
+    return F.aggregate(marked, start, step)["parts"]
+
 
+def split_by_headers(prose: DataFrame, whole: Column | None = None) -> DataFrame:
+    """One row per header part (header_seq); h1..h4 are merged in and re-joined into heading_path.
 
-def split_by_headers(prose: DataFrame) -> DataFrame:
-    """One row per header part (header_seq); h1..h4 are merged in and re-joined into heading_path."""
-    parts = header_parts(F.col("text"))
+    Rows where ``whole`` holds stay one part as they are.
+    """
+    uncut = F.array(F.struct(*[F.lit(None).cast("string").alias(h) for h in LEVELS], F.col("text").alias("text")))
+    parts = header_parts(F.col("text") if whole is None else F.when(~whole, F.col("text")))
     # a text that cleans to nothing stays one part as it is
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.struct(
-        *[F.lit(None).cast("string").alias(h) for h in LEVELS], F.col("text").alias("text"))))
+    parts = F.when(F.size(parts) > 0, parts).otherwise(uncut)
     keep = [c for c in prose.columns if c not in ("text", "heading_path", *LEVELS)]
     rows = prose.select(*keep, F.col("heading_path").alias("_path"),
                         F.posexplode(parts).alias("header_seq", "_part"))
@@ -140,15 +153,16 @@ def split_prose(text: str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OV
     return [c for c in (p.strip() for p in out) if c]
 
 
-def split_text(parts: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
-    """Prose rows -> chunk rows with chunk_index and chunk_size. Only oversize texts visit Python."""
+def split_text(parts: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP, whole: Column | None = None) -> DataFrame:
+    """Prose rows -> chunk rows with chunk_index and chunk_size. Only oversize texts visit Python, and none where ``whole`` holds."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split_long(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else split_prose(t, size, overlap))
 
     text = F.col("text")
-    long_text = F.when(F.length(text) > size, text)
+    too_long = F.length(text) > size
+    long_text = F.when(too_long if whole is None else too_long & ~whole, text)
     pieces = F.coalesce(split_long(long_text), F.filter(F.array(strip(text)), lambda t: t != ""))
     keep = [c for c in parts.columns if c not in ("text", "chunk_index", "chunk_size")]
     return (parts.select(*keep, F.posexplode(pieces).alias("chunk_index", "text"))
@@ -170,13 +184,13 @@ def split_fixed(texts: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.C
 
 
 def chunk_sections(sections: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
-    """Tables whole, everything else by headers and then by size."""
-    tables, prose = shield_tables(sections)
-    null_heads = [F.lit(None).cast("string").alias(h) for h in LEVELS]
-    # a pipe cannot appear inside a part: any text with one was shielded before
-    cut = split_text(split_by_headers(prose), size, overlap)
-    whole = tables.select("*", *null_heads, F.lit(0).alias("header_seq"))
-    return whole.unionByName(cut.select(*whole.columns))
+    """Tables whole, everything else by headers and then by size: one pass over the sections for both."""
+    rows = sections.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
+    rows = rows.withColumn("_whole", is_table(rows))
+    # a pipe cannot appear inside a part: any text with one is whole
+    cut = split_text(split_by_headers(rows, F.col("_whole")), size, overlap, F.col("_whole"))
+    added = [c for c in ("chunk_index", "chunk_size", *LEVELS, "header_seq") if c not in sections.columns]
+    return cut.select(*sections.columns, *added)
 
 
 # --- derived columns --------------------------------------------------------

@@ -58,8 +58,14 @@ def scan_context(rows: DataFrame, strict: bool = False) -> DataFrame:
     text = F.col("text")
     patterns = {"page": fv.PAGE_PATTERN, "faculty": fv.FACULTY_PATTERN, "program": fv.PROGRAM_PATTERN,
                 "department": fv.DEPARTMENT_PATTERN_STRICT if strict else fv.DEPARTMENT_PATTERN}
-    found = rows.select("*", line_headings(text).alias("_heads"), *[
-        first_match(text, p).alias(f"_{n}") for n, p in patterns.items()])
+    # words of which a match has one: looked for first, since that costs less than the pattern
+    needs = {"faculty": ["faculty", "school", "college"], "department": ["department", "dept"]}
+
+    def match_of(name: str) -> Column:
+        match = first_match(text, patterns[name])
+        return F.when(contains_any(F.lower(text), needs[name]), match) if name in needs else match
+
+    found = rows.select("*", line_headings(text).alias("_heads"), *[match_of(n).alias(f"_{n}") for n in patterns])
 
     def about_department(h: Column) -> Column:
         return contains_any(F.lower(h), ["department", "dept"])
