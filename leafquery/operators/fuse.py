@@ -56,14 +56,16 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = fv.RRF_LIMIT, constan
 def fuse_legs(rows: DataFrame, k: int = fv.RRF_LIMIT, constant: float = fv.RRF_CONSTANT) -> DataFrame:
     """Fused candidates with rrf_score and fused_rank (0-based), at most ``k`` per question.
 
-    rows: query_id, leg (dense or sparse), rank (0-based), text, page and further columns. Inside a
+    rows: query_id, leg (dense or sparse), rank (0-based), text, page and further columns (``signature``: the
+    ``text_signature`` of the text, else made here). Inside a
     list the later rank of a repeated key counts while its first row stays; the dense
     row wins over the sparse one. One aggregation replaces a full outer join.
     """
-    meta = [c for c in rows.columns if c not in ("query_id", "leg", "rank", "score")]
+    meta = [c for c in rows.columns if c not in ("query_id", "leg", "rank", "score", "signature")]
+    signature = F.col("signature") if "signature" in rows.columns else text_signature(F.col("text"))
     keyed = rows.select("query_id", F.when(F.col("leg") == "dense", 0).otherwise(1).alias("_leg"),
                         F.col("rank").alias("_rank"), F.struct(*meta).alias("_row"), page_key(rows.columns).alias("_page"),
-                        text_signature(F.col("text")).alias("_sig"))
+                        signature.alias("_sig"))
     where = F.struct("_leg", "_rank")
 
     def part(leg: int) -> Column:

@@ -7,9 +7,13 @@ import functools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.staging import small_side
 from ..functions.text import all_matches, contains_either, text_or_null, tokenize
+from .fuse import text_signature
 
 QUESTION_FIELDS = ("department", "program", "section", "entity", "year_level")
+#: questions whose tokens may be broadcast to their hits
+BROADCAST_QUESTIONS = 100_000
 
 
 def special_terms(text: Column) -> Column:
@@ -21,13 +25,31 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+def token_set(text: Column) -> Column:
+    return F.array_distinct(tokenize(text))
+
+
+def with_overlap(hits: DataFrame, asked: DataFrame, chunks: DataFrame, broadcast_questions: int = BROADCAST_QUESTIONS) -> DataFrame:
+    """Chunks joined to ``hits`` (query_id, chunk_id, ...) with ``overlap`` and ``signature``.
+
+    A chunk that many questions find is cut into tokens once.
+    """
+    q = small_side(asked.select("query_id", token_set(F.col("text")).alias("_q_tokens")), broadcast_questions)
+    c = chunks.withColumn("_tokens", token_set(F.col("text"))).withColumn("signature", text_signature(F.col("text")))
+    return c.join(hits, "chunk_id").join(q, "query_id").withColumn(
+        "overlap", jaccard(F.col("_q_tokens"), F.col("_tokens"))).drop("_q_tokens", "_tokens")
+
+
 def _inside(needle: Column, haystack: Column) -> Column:
     return F.coalesce((needle != "") & F.contains(haystack, F.lower(needle)), F.lit(False))
 
 
 def rerank_score(candidates: DataFrame, understood: DataFrame) -> DataFrame:
-    """Candidates with ``rerank_score``; terms are added in one fixed order of double additions."""
-    asked = understood.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("_q_tokens"),
+    """Candidates with ``rerank_score``; terms are added in one fixed order of double additions.
+
+    A column ``overlap`` (``jaccard`` of the tokens of question and text) is taken as it is.
+    """
+    asked = understood.select("query_id", token_set(F.col("text")).alias("_q_tokens"),
                               F.transform(special_terms(F.col("text")), F.lower).alias("_q_terms"),
                               *[F.col(c).alias(f"_q_{c}") for c in QUESTION_FIELDS])
     rows = candidates.join(asked, "query_id")
@@ -48,7 +70,7 @@ def rerank_score(candidates: DataFrame, understood: DataFrame) -> DataFrame:
         ("year", year),
         ("entity", _inside(F.col("_q_entity"), low)),
     ]
-    overlap = jaccard(F.col("_q_tokens"), F.array_distinct(tokenize(F.col("text"))))
+    overlap = F.col("overlap") if "overlap" in candidates.columns else jaccard(F.col("_q_tokens"), token_set(F.col("text")))
     score = F.col("rrf_score") * fv.RERANK_WEIGHTS["rrf"] + overlap * fv.RERANK_WEIGHTS["jaccard"]
     for name, cond in boosts:
         score = score + F.when(cond, fv.RERANK_BOOSTS[name]).otherwise(0.0)

@@ -11,7 +11,7 @@ from ..operators.context import pack_context
 from ..operators.dense import knn_search
 from ..operators.fuse import fuse_legs, route_levels
 from ..operators.pool import dedup_pool, expand_page, expand_section, expand_table, order_pool
-from ..operators.rerank import rerank
+from ..operators.rerank import rerank, with_overlap
 from ..operators.understand import choose_strategy, understand
 from .ingest import Corpus
 
@@ -48,7 +48,7 @@ def retrieve_pool(q: DataFrame, corpus: Corpus, dense: bool = True, sparse: bool
     """Fused, reranked, expanded, deduplicated and ordered chunks per prepared question."""
     # a few hits per question: written, their size is known, and chunks are read once without a shuffle of texts
     hits = small_side(stage(search_both(q, corpus, dense, sparse)), BROADCAST_HITS)
-    fused = fuse_legs(corpus.chunks.drop("vec").join(hits, "chunk_id"))
+    fused = fuse_legs(with_overlap(hits, q, corpus.chunks.drop("vec")))
     plan = q.select("query_id", "rerank_k", F.col("expand_section").alias("_es"), F.col("expand_page").alias("_ep"),
                     F.col("expand_table").alias("_et"), (~F.col("is_pg") & ~F.col("is_ug")).alias("_unclear"))
     fused = fused.join(plan, "query_id")

@@ -65,3 +65,25 @@ def test_only_the_best_of_a_cell_leave_it(tables, monkeypatch):
     left = BM.bm25_grid(q, index, 2)
     assert left.groupBy("query_id", "academic_level").count().agg(F.max("count")).first()[0] <= 2
     assert BM.bm25_scores(q, index).count() > 10 * left.count()
+
+
+def test_tokens_of_a_chunk_are_cut_before_its_hits_are_joined(spark):
+    """Before, each hit cut the text of its chunk again; scores are the same."""
+    from leafquery.operators.fuse import fuse_legs
+    from leafquery.operators.rerank import rerank, with_overlap
+    chunks = spark.createDataFrame([("a", " Fee of the chair,\nfee ", 1), ("b", "", 2), ("c", None, 2), ("d", "ÉTION dans lab", 3)],
+                                   "chunk_id string, text string, page int").selectExpr(
+        "*", *[f"cast(null as string) as {n}" for n in ("heading", "heading_path", "department", "program", "section")])
+    hits = spark.createDataFrame([(q, leg, c, r) for q in (1, 2, 3) for leg in ("dense", "sparse") for r, c in enumerate("abcd")],
+                                 "query_id long, leg string, chunk_id string, rank int")
+    q = spark.createDataFrame([(1, "fee of chairman"), (2, "dans"), (3, "?")], "query_id long, text string").selectExpr(
+        "*", *[f"cast(null as string) as {n}" for n in ("department", "program", "section", "entity", "year_level")])
+
+    def scored(rows):
+        return sorted((r.query_id, r.chunk_id, r.text or "", r.rerank_score, r.rerank_rank) for r in rerank(fuse_legs(rows), q, 2).collect())
+
+    early = with_overlap(hits, q, chunks)
+    got = scored(early)
+    assert got == scored(chunks.join(hits, "chunk_id")) and len({r[3] for r in got}) > 4
+    plan = early._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("AS _tokens#") > plan.index("Join")
