@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.staging import small_side, stage
-from ..operators.bm25 import bm25_search
+from ..operators.bm25 import GRID_HITS, bm25_search
 from ..operators.context import pack_context
 from ..operators.dense import knn_search
 from ..operators.fuse import fuse_legs, route_levels
@@ -39,7 +39,7 @@ def search_both(q: DataFrame, corpus: Corpus, dense: bool = True, sparse: bool =
                     .select("query_id", F.lit("dense").alias("leg"), "chunk_id", "rank", "score"))
     if sparse:
         asked = routes.filter(F.col("leg") == "sparse").join(q.select("query_id", "text", *FILTERS), "query_id")
-        legs.append(bm25_search(asked, corpus.index, "k", MAX_SEARCH_K, per_level=False)
+        legs.append(bm25_search(asked, corpus.index, "k", MAX_SEARCH_K, per_level=False, grid_hits=GRID_HITS)
                     .select("query_id", F.lit("sparse").alias("leg"), "chunk_id", "rank", "score"))
     return legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
 
