@@ -48,7 +48,8 @@ def retrieve_pool(q: DataFrame, corpus: Corpus, dense: bool = True, sparse: bool
     """Fused, reranked, expanded, deduplicated and ordered chunks per prepared question."""
     # a few hits per question: written, their size is known, and chunks are read once without a shuffle of texts
     hits = small_side(stage(search_both(q, corpus, dense, sparse)), BROADCAST_HITS)
-    fused = fuse_legs(with_overlap(hits, q, corpus.chunks.drop("vec")))
+    # texts are shuffled once: fusion, rerank and the pool are all sums and windows of one question
+    fused = fuse_legs(with_overlap(hits, q, corpus.chunks.drop("vec")).repartition("query_id"))
     plan = q.select("query_id", "rerank_k", F.col("expand_section").alias("_es"), F.col("expand_page").alias("_ep"),
                     F.col("expand_table").alias("_et"), (~F.col("is_pg") & ~F.col("is_ug")).alias("_unclear"))
     fused = fused.join(plan, "query_id")
